@@ -62,9 +62,10 @@ def incomplete_domains(pages: DataFrame, least: int = 3) -> DataFrame:
 
 def discover_links(pages: DataFrame) -> DataFrame:
     """Distinct (url, domain, link, link_domain) found in page html."""
+    # the outer form keeps Spark from adding a size filter that scans the html twice
     found = pages.select(
         "url", tx.domain_of(F.col("url")).alias("domain"),
-        F.explode(F.array_distinct(tx.hrefs(F.col("html")))).alias("href"))
+        F.explode_outer(F.array_distinct(tx.hrefs(F.col("html")))).alias("href"))
     links = found.select(
         "url", "domain", tx.resolve_link(F.col("url"), F.col("href")).alias("link"))
     return (links.filter(F.col("link").isNotNull())

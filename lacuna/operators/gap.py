@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from lacuna.functions import vectors as vx
 from lacuna.schemas import COMPETITOR, NOISE_ID, OWN
 
-# Centroids travel in slabs of about this many bytes; a single slab is small
-# enough to broadcast, several slabs are joined by key.
-SLAB_BYTES = 8 << 20
+# Centroids travel in slabs of at most this many topics. One slab is bounded (at
+# 1536 numbers per vector about 6 MB), so it may be broadcast; several slabs are
+# joined by key.
+SLAB_TOPICS = 512
 
 # Distances are compared after rounding to this many decimals, so that equal
 # vectors tie no matter in which matrix product they were multiplied.
@@ -40,7 +41,7 @@ def centroids(pages: DataFrame) -> DataFrame:
 
 
 def _pack_own(batches):
-    """One row per Arrow batch: page ids in order and their stacked unit vectors."""
+    """One row per Arrow batch: own pages by id and their stacked unit vectors."""
     for pdf in batches:
         if len(pdf):
             pdf = pdf.sort_values("page_id", kind="stable")
@@ -48,25 +49,32 @@ def _pack_own(batches):
             size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
             rows = rows / np.where(size > 0, size, 1.0)
             yield pd.DataFrame({
-                "own_ids": [pdf["page_id"].tolist()], "own_flat": [rows.ravel()]})
+                "ids": [pdf["page_id"].tolist()], "urls": [pdf["url"].tolist()],
+                "titles": [pdf["title"].tolist()], "own_flat": [rows.ravel()]})
 
 
 def _slab_minimum(batches):
     """Per block of own pages and slab of topics: the nearest page of each topic."""
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            own = np.asarray(row.own_flat).reshape(len(row.own_ids), -1)
+            own = np.asarray(row.own_flat).reshape(len(row.ids), -1)
             topics = np.asarray(row.topic_flat).reshape(len(row.topic_ids), -1)
             dist = np.round(1.0 - own @ topics.T, DISTANCE_DECIMALS)
             best = dist.argmin(axis=0)
             yield pd.DataFrame({
                 "cluster_id": np.asarray(row.topic_ids, dtype=np.int32),
-                "page_id": np.asarray(row.own_ids, dtype=object)[best],
-                "distance": dist[best, np.arange(len(best))]})
+                "distance": dist[best, np.arange(len(best))],
+                "page_id": np.asarray(row.ids, dtype=object)[best],
+                "url": np.asarray(row.urls, dtype=object)[best],
+                "title": np.asarray(row.titles, dtype=object)[best]})
 
 
-def nearest_own(pages: DataFrame, topics: DataFrame, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """Nearest own page of every topic: (cluster_id, page_id, distance).
+_PACKED = "ids array<string>, urls array<string>, titles array<string>, own_flat array<double>"
+_WINNERS = "cluster_id int, distance double, page_id string, url string, title string"
+
+
+def nearest_own(pages: DataFrame, topics: DataFrame, slab_topics: int = SLAB_TOPICS) -> DataFrame:
+    """Nearest own page of every topic: (cluster_id, distance, page_id, url, title).
 
     Own pages never move: each task packs its own batches and meets every slab
     of centroids, keeps one winner per topic and batch, and the winners are
@@ -74,10 +82,8 @@ def nearest_own(pages: DataFrame, topics: DataFrame, slab_bytes: int = SLAB_BYTE
     that reads no vectors; it fixes the slab count and thereby whether the
     centroids may be broadcast.
     """
-    topic_count = (clustered(pages).select("cluster_id").distinct().count())
-    first = pages.select(F.size("vector").alias("dim")).first()
-    dim = max(first["dim"] if first else 1, 1)
-    slabs = max(1, math.ceil(topic_count * dim * 8 / slab_bytes))
+    topic_count = clustered(pages).select("cluster_id").distinct().count()
+    slabs = max(1, math.ceil(topic_count / slab_topics))
 
     packed = topics.groupBy(F.pmod(F.hash("cluster_id"), F.lit(slabs)).alias("slab")).agg(
         F.collect_list("cluster_id").alias("topic_ids"),
@@ -85,15 +91,16 @@ def nearest_own(pages: DataFrame, topics: DataFrame, slab_bytes: int = SLAB_BYTE
     if slabs == 1:
         packed = F.broadcast(packed)
 
-    own = (pages.filter(F.col("source") == OWN).select("page_id", "vector")
-           .mapInPandas(_pack_own, "own_ids array<string>, own_flat array<double>")
+    blank = F.lit("")
+    own = (pages.filter(F.col("source") == OWN)
+           .select("page_id", F.coalesce("url", blank).alias("url"),
+                   F.coalesce("title", blank).alias("title"), "vector")
+           .mapInPandas(_pack_own, _PACKED)
            .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))))
-    winners = own.join(packed, "slab").drop("slab").mapInPandas(
-        _slab_minimum, "cluster_id int, page_id string, distance double")
+    winners = own.join(packed, "slab").drop("slab").mapInPandas(_slab_minimum, _WINNERS)
     return winners.groupBy("cluster_id").agg(
-        F.min(F.struct("distance", "page_id")).alias("best")).select(
-        "cluster_id", F.col("best.page_id").alias("page_id"),
-        F.col("best.distance").alias("distance"))
+        F.min(F.struct("distance", "page_id", "url", "title")).alias("best")).select(
+        "cluster_id", "best.*")
 
 
 def coverage_score(distance, threshold: float):
@@ -106,20 +113,15 @@ def gap_clusters(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Gap report without examples, least covered topic first."""
     topics = centroids(pages)
     best = nearest_own(pages, topics.select("cluster_id", "centroid"))
-    own = pages.filter(F.col("source") == OWN).select(
-        "page_id", F.col("url").alias("own_url"), F.col("title").alias("own_title"))
     d = F.col("distance")
     return (
-        topics.drop("centroid").join(best, "cluster_id").join(own, "page_id")
+        topics.drop("centroid").join(best, "cluster_id")
         .select(
             "cluster_id", "cluster_label", "page_count",
             (d <= F.lit(float(threshold))).alias("covered"),
             coverage_score(d, threshold).alias("coverage_score"),
             F.round(d, 4).alias("min_distance_to_own"),
-            F.struct(
-                F.coalesce("own_url", F.lit("")).alias("url"),
-                F.coalesce("own_title", F.lit("")).alias("title"),
-                F.round(d, 4).alias("distance")).alias("best_own_page"),
+            F.struct("url", "title", F.round(d, 4).alias("distance")).alias("best_own_page"),
             "first_page_id")
         .orderBy("coverage_score", "first_page_id"))
 

@@ -14,6 +14,8 @@ NOISE_LABEL = "noise"
 N_TERMS = 5
 MIN_TITLE_WORD = 4
 
+KEYWORD, TITLE, MARKER = "keyword", "title", "page"
+
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
@@ -21,51 +23,58 @@ def _strip(text):
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def _top_terms(rows: DataFrame, n_terms: int) -> DataFrame:
-    """(cluster_id, page_id, pos, term) -> (cluster_id, label): most frequent
-    terms, ties by first appearance."""
-    counted = rows.groupBy("cluster_id", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "pos")).alias("first"))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "first")
-    top = counted.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n_terms)
-    ordered = F.sort_array(F.collect_list(F.struct("rn", "term")))
-    return top.groupBy("cluster_id").agg(
-        F.array_join(F.transform(ordered, lambda e: e["term"]), SEPARATOR).alias("label"))
-
-
-def keyword_labels(pages: DataFrame, n_terms: int = N_TERMS) -> DataFrame:
-    words = pages.select(
-        "cluster_id", "page_id", F.posexplode("keywords").alias("pos", "keyword"))
-    words = words.select(
-        "cluster_id", "page_id", "pos", F.lower(_strip(F.col("keyword"))).alias("term"))
-    return _top_terms(words.filter(F.col("term") != ""), n_terms)
+def _label_terms(pages: DataFrame) -> DataFrame:
+    """One row per keyword and title word of a page: (cluster_id, page_id, kind, pos, term).
 
-
-def title_labels(pages: DataFrame, n_terms: int = N_TERMS) -> DataFrame:
-    words = pages.select(
+    A marker row per page keeps topics that have no term at all. Unclassified
+    pages give the marker only.
+    """
+    def entry(kind: str, pos, term):
+        return F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), term.alias("term"))
+
+    marker = F.array(entry(MARKER, F.lit(0), F.lit("")))
+    words = F.transform(
+        F.coalesce("keywords", F.array().cast("array<string>")),
+        lambda k, i: entry(KEYWORD, i, F.lower(_strip(k))))
+    title = F.transform(
+        F.split(F.lower(F.coalesce("title", F.lit(""))), f"{_SPACE}+"),
+        lambda w, i: entry(TITLE, i, w))
+    real = F.col("cluster_id") != NOISE_ID
+    # the outer form keeps Spark from adding a size filter that evaluates the
+    # keyword expression a second time
+    return pages.select(
         "cluster_id", "page_id",
-        F.posexplode(F.split(F.lower("title"), f"{_SPACE}+")).alias("pos", "term"))
-    return _top_terms(words.filter(F.length("term") >= MIN_TITLE_WORD), n_terms)
+        F.inline_outer(F.when(real, F.concat(marker, words, title)).otherwise(marker)))
 
 
 def topic_labels(pages: DataFrame, n_terms: int = N_TERMS) -> DataFrame:
     """(cluster_id, cluster_label) for every cluster id in ``pages``, noise included.
 
-    Titles are used only for topics whose pages hold no keyword entry at all;
-    blank keywords count as entries and give ``unlabelled``.
+    The most frequent keywords of a topic make its label, ties by first
+    appearance. Titles are used only for topics whose pages hold no keyword
+    entry at all; blank keywords count as entries and give ``unlabelled``.
+    ``pages`` is read once, and terms are counted map-side before they move.
     """
-    pages = pages.select("cluster_id", "page_id", "title", "keywords")
-    topics = pages.groupBy("cluster_id").agg(
-        F.sum(F.coalesce(F.when(F.col("keywords").isNotNull(), F.size("keywords")), F.lit(0)))
-        .alias("entries"))
-    real = pages.filter(F.col("cluster_id") != NOISE_ID)
-    by_keyword = keyword_labels(real, n_terms).withColumnRenamed("label", "kw")
-    without = topics.filter(F.col("entries") == 0).select("cluster_id")
-    by_title = title_labels(
-        real.join(without, "cluster_id", "left_semi"), n_terms).withColumnRenamed("label", "tw")
-    return (topics.join(by_keyword, "cluster_id", "left").join(by_title, "cluster_id", "left")
-            .select("cluster_id", F.when(F.col("cluster_id") == NOISE_ID, NOISE_LABEL)
-                    .otherwise(F.coalesce("kw", "tw", F.lit(NO_LABEL))).alias("cluster_label")))
+    counted = _label_terms(pages).groupBy("cluster_id", "kind", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "pos")).alias("first"))
+    long_enough = F.length("term") >= F.when(F.col("kind") == TITLE, MIN_TITLE_WORD).otherwise(1)
+    w = Window.partitionBy("cluster_id", "kind", "usable").orderBy(F.desc("n"), "first")
+    top = (counted.withColumn("usable", long_enough)
+           .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n_terms))
+
+    def label(kind: str):
+        chosen = F.when(F.col("usable") & (F.col("kind") == kind), F.struct("rn", "term"))
+        terms = F.transform(F.sort_array(F.collect_list(chosen)), lambda e: e["term"])
+        return F.nullif(F.array_join(terms, SEPARATOR), F.lit(""))
+
+    grouped = top.groupBy("cluster_id").agg(
+        label(KEYWORD).alias("kw"), label(TITLE).alias("tw"),
+        F.max(F.col("kind") == KEYWORD).alias("entries"))
+    return grouped.select(
+        "cluster_id",
+        F.when(F.col("cluster_id") == NOISE_ID, NOISE_LABEL)
+        .when(F.col("entries"), F.coalesce("kw", F.lit(NO_LABEL)))
+        .otherwise(F.coalesce("tw", F.lit(NO_LABEL))).alias("cluster_label"))
 
 
 def assign_labels(assignments: DataFrame, labels: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def text_blocks(parsed: DataFrame) -> DataFrame:
     """Text blocks of assistant messages, one row each."""
     assistant = parsed.filter(F.col("event.type") == "assistant")
     blocks = assistant.select(
-        "worker", "line_no", F.posexplode("event.message.content").alias("block_no", "block"))
+        "worker", "line_no", F.posexplode_outer("event.message.content").alias("block_no", "block"))
     return blocks.filter(F.col("block.type") == "text").select(
         "worker", "line_no", "block_no", F.col("block.text").alias("text"))
 
