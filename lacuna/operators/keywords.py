@@ -56,27 +56,35 @@ def terms(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def ranked_terms(all_terms: Column) -> Column:
-    """array<struct<neg, term>>: distinct terms, most frequent first, ties by term.
+def top_terms(all_terms: Column, n: int) -> Column:
+    """First ``n`` distinct terms, most frequent first, ties by term.
 
     Equal terms are neighbours after one sort, so a count is the distance
-    between the starts of two runs.
+    between the starts of two runs. The n-th largest count is found on plain
+    integers; only terms that reach it are ordered as (count, term) pairs.
     """
     def of_sorted(s: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(s) - 1),
             lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
 
-        def run(b: Column) -> Column:
-            return F.transform(b, lambda p, j: F.struct(
-                (p - F.coalesce(F.get(b, j + 1), F.size(s))).alias("neg"),
-                F.get(s, p).alias("term")))
+        def runs(b: Column) -> Column:
+            sizes = F.transform(b, lambda p, j: F.coalesce(F.get(b, j + 1), F.size(s)) - p)
 
-        return F.sort_array(let(starts, run))
+            def chosen(c: Column) -> Column:
+                cut = F.get(F.sort_array(c), F.greatest(F.size(c) - n, F.lit(0)))
+                frequent = let(cut, lambda least: F.filter(
+                    F.sequence(F.lit(0), F.size(c) - 1), lambda j: F.get(c, j) >= least))
+                pairs = F.transform(frequent, lambda j: F.struct(
+                    (-F.get(c, j)).alias("neg"), F.get(s, F.get(b, j)).alias("term")))
+                return F.transform(F.slice(F.sort_array(pairs), 1, n), lambda r: r["term"])
 
-    empty = F.array().cast("array<struct<neg:int,term:string>>")
-    return let(F.sort_array(all_terms),
-               lambda s: F.when(F.size(s) > 0, of_sorted(s)).otherwise(empty))
+            return let(sizes, chosen)
+
+        return let(starts, runs)
+
+    return let(F.sort_array(all_terms), lambda s: F.when(F.size(s) > 0, of_sorted(s))
+               .otherwise(F.array().cast("array<string>")))
 
 
 def keyword_list(title: Column, content: Column, n: int = N_KEYWORDS,
@@ -84,8 +92,7 @@ def keyword_list(title: Column, content: Column, n: int = N_KEYWORDS,
     blank = F.lit("")
     title = F.coalesce(title, blank)
     text = F.concat_ws(" ", *([title] * TITLE_WEIGHT), F.coalesce(content, blank))
-    ranked = let(tokens(text, stopwords), lambda w: ranked_terms(terms(w)))
-    return F.transform(F.slice(ranked, 1, min(n, max_features)), lambda r: r["term"])
+    return let(tokens(text, stopwords), lambda w: top_terms(terms(w), min(n, max_features)))
 
 
 def with_keywords(pages: DataFrame, n: int = N_KEYWORDS, max_features: int = MAX_FEATURES,
