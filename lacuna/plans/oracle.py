@@ -195,6 +195,16 @@ resets AS (
             + INTERVAL 60 SECOND AS resume FROM timed)
 """
 
+VECTORS = """
+unit AS (
+  SELECT CAST(vec_id AS VARCHAR) AS page_id, list_transform(embedding, lambda x: x::DOUBLE
+         / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v
+  FROM embeddings),
+pairs AS (
+  SELECT a.page_id, b.page_id AS neighbour_id, list_dot_product(a.v, b.v) AS dot
+  FROM unit a JOIN unit b ON a.page_id <> b.page_id)
+"""
+
 HAS_LIMIT = " OR ".join(f"contains(lower(text), '{p}')" for p in LIMIT_PHRASES)
 
 ORACLE = {
@@ -446,4 +456,64 @@ SELECT worker, {stamp("previous")} AS last_output, {stamp("ts")} AS next_output,
          epoch_us(ts) - epoch_us(lag(ts) OVER w) AS idle
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
 WHERE idle >= 900000000""",
+
+    "knn_exact": f"""WITH {VECTORS}
+SELECT page_id, neighbour_id, round(1 - dot, 6) AS distance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(1 - dot, 10), neighbour_id)
+            AS rank FROM pairs) WHERE rank <= 5""",
+    "core_distances": f"""WITH {VECTORS}
+SELECT page_id, round(d, 6) AS core FROM (
+  SELECT page_id, sqrt(greatest(2 - 2 * dot, 0)) AS d,
+         row_number() OVER (PARTITION BY page_id ORDER BY dot DESC) AS rank FROM pairs)
+WHERE rank = 5""",
+    "clustering_quality": f"""WITH {PAGE_STORE}
+SELECT count(DISTINCT cluster_id) FILTER (cluster_id >= 0) AS topics,
+       avg(CASE WHEN cluster_id = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS noise_ratio
+FROM page_store WHERE source = 'competitor'""",
+    "sinks_roundtrip": f"""WITH {KEYWORDS}
+SELECT page_id AS id, url, title, coalesce(keywords, '') AS keywords, cluster_id, cluster_label,
+       CASE WHEN cluster_id = -1 THEN '' ELSE cluster_label END AS topic,
+       {stamp("ts")} AS written_at, cluster_id::DOUBLE AS x, length(title)::DOUBLE AS y
+FROM page_store LEFT JOIN (
+  SELECT page_id, string_agg(term, ', ' ORDER BY r) AS keywords FROM ranked GROUP BY page_id)
+USING (page_id)""",
+    "gap_roundtrip": f"""WITH {_gap(0.77)}
+SELECT cluster_id, cluster_label, page_count, covered, coverage_score, min_distance_to_own,
+       best_url, least(page_count, 5) AS examples, (SELECT count(*) FROM report) AS total_clusters
+FROM report""",
+    "embed_hashing": f"""WITH {PAGE_STORE}
+SELECT page_id, true AS valid, CAST(256 AS BIGINT) AS dim, 1.0::DOUBLE AS norm
+FROM page_store""",
+    "ingest_metadata": f"""WITH {KEYWORDS}
+SELECT page_id, CASE WHEN m = 1 THEN 'llm' ELSE 'tfidf' END AS metadata_mode,
+       CASE WHEN m = 1 THEN title ELSE '' END AS summary,
+       CASE WHEN m = 1 THEN substr(title, 1, 5) || ', ' || least(length(content), 15000)
+            ELSE coalesce(keywords, '') END AS keywords
+FROM (SELECT *, CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 3 AS m FROM page_store)
+LEFT JOIN (
+  SELECT page_id, string_agg(term, ', ' ORDER BY r) AS keywords FROM ranked GROUP BY page_id)
+USING (page_id)""",
+    "stream_upsert": f"""WITH {HTML}
+SELECT md5(url) AS page_id, url, title, domain, 'competitor' AS source,
+       substr(content, 1, 500) AS content_snippet, CAST(NULL AS INTEGER) AS cluster_id,
+       CAST(64 AS BIGINT) AS dim
+FROM html_pages WHERE length(trim(content)) >= 1""",
+    "stream_silence": f"""WITH marked AS (
+  SELECT CAST(user_id AS VARCHAR) AS worker, ts,
+         coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 900000000, true) AS opens
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (
+  SELECT *, sum(opens::INTEGER) OVER (PARTITION BY worker ORDER BY ts
+            ROWS UNBOUNDED PRECEDING) AS session FROM marked),
+sessions AS (
+  SELECT worker, min(ts) AS first_output, max(ts) AS last_output, count(*) AS lines
+  FROM numbered GROUP BY worker, session)
+SELECT worker, {stamp("first_output")} AS first_output, {stamp("last_output")} AS last_output,
+       lines
+FROM sessions
+WHERE last_output + INTERVAL 15 MINUTE
+      <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
 }
+ORACLE["stream_usage"] = ORACLE["usage_totals"]
+ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
+ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]

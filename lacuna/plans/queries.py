@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions import text as tx
-from lacuna.operators import explore, frontier, gap, ingest, jobs, labels, logs, usage
+from lacuna.functions import vectors as vx
+from lacuna.operators import (
+    explore,
+    frontier,
+    gap,
+    ingest,
+    jobs,
+    knn,
+    labels,
+    layout,
+    logs,
+    topics,
+    usage,
+)
 from lacuna.operators.keywords import with_keywords
+from lacuna.operators.lineage import work_folder
+from lacuna.plans import analyze as pl
 from lacuna.plans import views
 from lacuna.sources import pages as store
+from lacuna.sources import reports
+from lacuna.sources.page_table import PageTable
 from lacuna.sources.query_list import first_queries
+from lacuna.streaming import streams
 
 # Short sample list for the test texts; real runs pass their own.
 STOPWORDS = ("the", "and", "that", "der", "die", "und", "les", "des", "que", "los", "para")
@@ -438,6 +460,179 @@ def log_silence(spark, sf):
         stamp("next_output").alias("next_output"), "idle_minutes")
 
 
+# -- neighbours, topics, projection ------------------------------------------
+
+def knn_exact(spark, sf):
+    """Five nearest other pages of every page."""
+    near = knn.nearest_pages(views.vector_pages(spark, sf), 5)
+    return near.select("page_id", "neighbour_id", F.round("distance", 6).alias("distance"),
+                       F.col("rank").cast("bigint").alias("rank"))
+
+
+def core_distances(spark, sf):
+    points = knn.collapse(views.vector_pages(spark, sf))
+    lists = knn.neighbour_lists(knn.pack(points, knn.EUCLIDEAN), 5)
+    cores = knn.core_distances(points, lists, 5)
+    return points.members.join(cores, "pid").select(
+        "page_id", F.round("core", 6).alias("core"))
+
+
+def hdbscan_topics(spark, sf):
+    return topics.cluster_pages(views.vector_pages(spark, sf), 3)
+
+
+def clustering_quality(spark, sf):
+    return explore.topic_quality(views.page_store(spark, sf).filter(
+        F.col("source") == "competitor"))
+
+
+def projection_pca(spark, sf):
+    return pl.project(_keyword_pages(spark, sf), pl.AXES)
+
+
+def projection_umap(spark, sf):
+    return layout.neighbour_layout(views.vector_pages(spark, sf))
+
+
+def analyze_topics(spark, sf):
+    """Discovered topics of competitor pages with their labels."""
+    return pl.find_topics(_keyword_pages(spark, sf), 3)
+
+
+# -- sinks, plug-ins, streams ------------------------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/lacuna-{uuid.uuid4().hex}"
+
+
+def sinks_roundtrip(spark, sf):
+    """Projection and assignment reports written and read back."""
+    out = _folder(spark)
+    pages = store.with_defaults(_keyword_pages(spark, sf))
+    table = reports.projection_table(pages.withColumns({
+        "x": F.col("cluster_id").cast("float"), "y": F.length("title").cast("float")}))
+    reports.write_projection(table, f"{out}/projection")
+    reports.write_clusters(pages, f"{out}/clusters")
+    names = reports.read_labels(spark, f"{out}/clusters").withColumnRenamed(
+        "cluster_label", "topic")
+    placed = reports.read_clusters(spark, f"{out}/clusters").select(
+        F.col("page_id").alias("id"), "cluster_id")
+    # own pages and noise share the id -1, so the map has one more row than ids
+    named = names.groupBy("cluster_id").agg(F.min("topic").alias("topic"))
+    return reports.read_projection(spark, f"{out}/projection").drop("cluster_id").join(
+        placed, "id").join(named, "cluster_id").select(
+        "id", "url", "title", "keywords", "cluster_id", "cluster_label", "topic",
+        stamp("timestamp").alias("written_at"),
+        F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def gap_roundtrip(spark, sf):
+    """Nested coverage report and its summary written and read back."""
+    out = _folder(spark)
+    pages = views.page_store(spark, sf)
+    report = gap.gap_report(pages, HIGH)
+    reports.write_gap_report(report, gap.gap_summary(report, pages, HIGH), out)
+    summary = reports.read_gap_summary(spark, out).select(
+        "total_clusters", F.lit(1).alias("one"))
+    best = F.col("best_own_page")
+    return reports.read_gap_report(spark, out).withColumn("one", F.lit(1)).join(
+        summary, "one").select(
+        "cluster_id", "cluster_label", "page_count", "covered", "coverage_score",
+        "min_distance_to_own", best["url"].alias("best_url"),
+        F.size("example_pages").cast("bigint").alias("examples"), "total_clusters")
+
+
+def embed_hashing(spark, sf):
+    """Default embedding with the vector-size guard."""
+    good, bad = ingest.validate_vectors(
+        ingest.embed(views.page_store(spark, sf).drop("vector"), size=256), 256)
+    rows = good.select("page_id", "vector", F.lit(True).alias("valid")).unionByName(
+        bad.select("page_id", "vector", F.lit(False).alias("valid")))
+    return rows.select("page_id", "valid", F.size("vector").cast("bigint").alias("dim"),
+                       F.round(vx.norm(F.col("vector")), 4).alias("norm"))
+
+
+@F.pandas_udf(T.StructType().add("summary", T.StringType())
+              .add("keywords", T.ArrayType(T.StringType())))
+def _sample_enricher(title: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """Stand-in for a chat model: echoes the title."""
+    known = title.notna()
+    return pd.DataFrame({
+        "summary": title.where(known, None),
+        "keywords": [[t[:5], str(len(c))] if ok else None
+                     for t, c, ok in zip(title, content, known)]})
+
+
+def ingest_metadata(spark, sf):
+    """Metadata by mode; every third page asks for an unknown mode."""
+    pages = views.page_store(spark, sf)
+    number = F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint") % 3
+    mode = F.when(number == 0, "tfidf").when(number == 1, "llm").otherwise("other")
+    rows = ingest.with_metadata(pages.drop("summary", "metadata_mode"), mode, _sample_enricher,
+                                stopwords=STOPWORDS)
+    return rows.select("page_id", "metadata_mode", "summary",
+                       F.array_join("keywords", ", ").alias("keywords"))
+
+
+def stream_upsert(spark, sf):
+    """Raw pages streamed into a page table, read back from the table."""
+    out = _folder(spark)
+    raw = views.table(spark, sf, "pages")
+    table = PageTable(spark, f"{out}/table")
+
+    def records(batch: DataFrame) -> DataFrame:
+        return ingest.page_records(
+            ingest.html_pages(batch), settings=pl.Settings(vector_size=64))
+
+    streams.upsert_stream(streams.read_stream(spark, sf, raw.schema, "pages.parquet"), table,
+                          records, f"{out}/checkpoint").awaitTermination()
+    table.compact()
+    return table.read().select(
+        "page_id", "url", "title", "domain", "source", "content_snippet",
+        "cluster_id", F.size("vector").cast("bigint").alias("dim"))
+
+
+def stream_usage(spark, sf):
+    out = _folder(spark)
+    schema = views.table(spark, sf, "events").schema
+    events = views.usage_from_events(streams.read_stream(spark, sf, schema, "events.parquet"))
+    streams.usage_stream(events, f"{out}/totals", f"{out}/checkpoint").awaitTermination()
+    return streams.read_usage(spark, f"{out}/totals")
+
+
+def _stream_log(spark, sf) -> DataFrame:
+    schema = views.table(spark, sf, "conversations").schema
+    return views.log_from_conversations(
+        streams.read_stream(spark, sf, schema, "conversations.parquet"))
+
+
+def _streamed(spark, rows: DataFrame) -> DataFrame:
+    out = _folder(spark)
+    streams.append_stream(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+def stream_limit_hits(spark, sf):
+    hits = logs.limit_hits(_stream_log(spark, sf))
+    return _streamed(spark, hits).select(
+        "worker", "line_no", "exact", stamp("resume_at").alias("resume_at"))
+
+
+def stream_text_blocks(spark, sf):
+    blocks = logs.text_blocks(logs.parse_log(_stream_log(spark, sf)))
+    return _streamed(spark, blocks).select(
+        "worker", "line_no", F.col("block_no").cast("bigint").alias("block_no"), "text")
+
+
+def stream_silence(spark, sf):
+    schema = views.table(spark, sf, "events").schema
+    events = streams.read_stream(spark, sf, schema, "events.parquet").select(
+        F.col("user_id").cast("string").alias("worker"), F.col("ts"))
+    return _streamed(spark, streams.silence_stream(events)).select(
+        "worker", stamp("first_output").alias("first_output"),
+        stamp("last_output").alias("last_output"), "lines")
+
+
 QUERIES = {f.__name__: f for f in (
     gap_report, gap_report_077, gap_summary, gap_coverage_pct, gap_examples, gap_cards,
     gap_filter_missing, gap_filter_min_pages, top_clusters,
@@ -453,4 +648,8 @@ QUERIES = {f.__name__: f for f in (
     usage_totals, usage_cost, usage_projection,
     log_text_blocks, log_raw_lines, log_tool_counts, log_denied, log_errors, log_limit_hits,
     log_reset_times, log_silence,
+    knn_exact, core_distances, hdbscan_topics, clustering_quality, projection_pca,
+    projection_umap, analyze_topics,
+    sinks_roundtrip, gap_roundtrip, embed_hashing, ingest_metadata, stream_upsert, stream_usage,
+    stream_limit_hits, stream_text_blocks, stream_silence,
 )}
