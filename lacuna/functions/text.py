@@ -63,8 +63,11 @@ def decode_entities(text: Column) -> Column:
     out = text
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = let(out, lambda t: _numeric_entities(t, "&#", "[0-9]{1,6}", 10))
-    out = let(out, lambda t: _numeric_entities(t, "&#x", "[0-9a-fA-F]{1,5}", 16))
+    def numeric(text: Column) -> Column:
+        decimal = _numeric_entities(text, "&#", "[0-9]{1,6}", 10)
+        return let(decimal, lambda t: _numeric_entities(t, "&#x", "[0-9a-fA-F]{1,5}", 16))
+
+    out = let(out, lambda t: F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 

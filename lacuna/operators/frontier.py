@@ -83,16 +83,18 @@ def site_map(pages: DataFrame, cap: int = 100) -> DataFrame:
         links.select("domain", F.col("link").alias("url")).distinct(), cap)
 
 
-def crawl_report(actions: DataFrame, saved: DataFrame, failed: DataFrame) -> DataFrame:
+def crawl_report(actions: DataFrame, fetched: DataFrame, min_chars: int = 1) -> DataFrame:
     """Per domain: the action taken, pages saved and pages that failed.
 
-    ``saved`` and ``failed`` hold one row per page with its domain.
+    ``fetched`` holds one row per page with its domain and content; a page with
+    less than ``min_chars`` of text has failed.
     """
-    ok = saved.groupBy("domain").agg(F.count(F.lit(1)).alias("saved"))
-    bad = failed.groupBy("domain").agg(F.count(F.lit(1)).alias("failed"))
+    good = F.coalesce(F.length(F.trim("content")) >= min_chars, F.lit(False))
+    pages = fetched.select("domain", good.alias("good")).groupBy("domain").agg(
+        F.count_if("good").alias("saved"), F.count_if(~F.col("good")).alias("failed"))
     zero = F.lit(0)
-    return actions.join(ok, "domain", "left").join(bad, "domain", "left").select(
-        "domain", "action", F.col("known"),
+    return actions.join(pages, "domain", "left").select(
+        "domain", "action", "known",
         F.coalesce("saved", zero).alias("saved"), F.coalesce("failed", zero).alias("failed"))
 
 

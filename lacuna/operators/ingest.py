@@ -17,11 +17,18 @@ METADATA_MODES = ("tfidf", "llm")
 
 
 def html_pages(raw: DataFrame, source: str = COMPETITOR, query: Column | str = "") -> DataFrame:
-    """(url, html) -> (url, title, content, domain, source, query), blank pages included."""
-    return raw.select(
+    """(url, html) -> (url, title, content, domain, source, query), blank pages included.
+
+    The text comes out of a generator, so that filters and later columns on it use
+    the finished text and do not repeat the extraction.
+    """
+    kept = [c for c in raw.columns if c not in ("url", "html")]
+    texts = raw.select("url", "html", *kept, F.explode_outer(
+        F.array(tx.html_text(F.col("html")))).alias("content"))
+    return texts.select(
         "url",
         tx.html_title(F.col("html")).alias("title"),
-        tx.html_text(F.col("html")).alias("content"),
+        "content",
         tx.domain_of(F.col("url")).alias("domain"),
         F.lit(source).alias("source"),
         (F.lit(query) if isinstance(query, str) else query).alias("query"))

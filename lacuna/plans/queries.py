@@ -321,8 +321,7 @@ def crawl_report(spark, sf):
     actions = frontier.frontier_actions(candidates, _stored(spark, sf))
     pages = ingest.html_pages(views.table(spark, sf, "pages"))
     # pages under 300 characters count as failed
-    return frontier.crawl_report(
-        actions, ingest.has_text(pages, 300), ingest.without_text(pages, 300))
+    return frontier.crawl_report(actions, pages, 300)
 
 
 # -- jobs and usage ----------------------------------------------------------
