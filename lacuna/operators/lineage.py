@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 FOLDER_SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lacuna-work-")
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables, named by ``spark.checkpoint.dir``.
 
@@ -20,8 +26,7 @@ def work_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {FOLDER_SETTING} to a shared folder")
-        folder = tempfile.mkdtemp(prefix="lacuna-work-")
-        spark.conf.set(FOLDER_SETTING, folder)
+        folder = _local_folder()
     return folder.rstrip("/")
 
 

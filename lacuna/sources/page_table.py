@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.schemas import PAGE_SCHEMA
-from lacuna.sources.pages import latest_pages, patch_pages
+from lacuna.sources.pages import patch_pages, upsert_pages
 
 _DELIVERY = T.StructType([*PAGE_SCHEMA.fields, T.StructField("batch", T.LongType())])
 _LOG = "version int, merged_batch bigint"
@@ -60,9 +60,7 @@ class PageTable:
         fresh = self._deliveries(merged)
         if fresh is None:
             return snapshot
-        rows = snapshot.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(
-            fresh.withColumnRenamed("batch", "seq"))
-        return latest_pages(rows).select(*PAGE_SCHEMA.names)
+        return upsert_pages(snapshot, fresh.withColumnRenamed("batch", "seq"))
 
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
         """Store a batch; delivering the same id again replaces it."""

@@ -37,13 +37,22 @@ def latest_pages(rows: DataFrame) -> DataFrame:
 def upsert_pages(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Last write wins per page id; a page written again loses its topic.
 
-    ``batch`` may carry ``seq`` (order of delivery); without it the batch is
-    newer than the store at equal timestamps.
+    ``batch`` may carry ``seq`` (order of delivery); at equal timestamps it is
+    newer than the store. Stored rows are only filtered by the ids they lose
+    to, so with a small batch the wide store is neither shuffled nor sorted. The
+    batch is read several times: pass a stored table.
     """
     if "seq" not in batch.columns:
         batch = batch.withColumn("seq", F.lit(1).cast("bigint"))
-    old = store.withColumn("seq", F.lit(-1).cast("bigint"))
-    return latest_pages(old.unionByName(batch, allowMissingColumns=True))
+    newest = latest_pages(batch)
+    stored = store.select("page_id", F.col("timestamp").alias("_stored"))
+    offered = newest.select("page_id", F.col("timestamp").alias("_new"))
+    late = stored.join(offered, "page_id").filter(
+        F.col("_stored").isNotNull()
+        & F.coalesce(F.col("_new") < F.col("_stored"), F.lit(True))).select("page_id")
+    winners = newest.join(late, "page_id", "left_anti")
+    kept = store.join(winners.select("page_id"), "page_id", "left_anti")
+    return kept.unionByName(winners, allowMissingColumns=True).select(*store.columns)
 
 
 def patch_pages(store: DataFrame, patch: DataFrame) -> DataFrame:
