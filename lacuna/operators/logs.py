@@ -30,7 +30,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
     """Non-blank lines with the parsed event, or the text in ``raw`` when not JSON."""
     trimmed = lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     parsed = trimmed.withColumn("event", F.from_json("line", LOG_EVENT_SCHEMA))
-    is_json = F.col("event").isNotNull() & F.col("line").startswith("{")
+    is_json = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()
     return parsed.withColumns({
         "event": F.when(is_json, F.col("event")),
         "raw": F.when(~is_json, F.col("line"))})

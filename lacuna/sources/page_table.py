@@ -62,8 +62,16 @@ class PageTable:
             return snapshot
         return upsert_pages(snapshot, fresh.withColumnRenamed("batch", "seq"))
 
+    def next_batch(self) -> int:
+        """Smallest id above all deliveries so far."""
+        return self._last_delivery(self._head()[1]) + 1
+
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
-        """Store a batch; delivering the same id again replaces it."""
+        """Store a batch; delivering the same id again replaces it.
+
+        An id that is already merged into a snapshot is taken for a replay and
+        has no effect, so ids must rise (see ``next_batch``).
+        """
         batch.select(*PAGE_SCHEMA.names).write.mode("overwrite").parquet(
             f"{self.root}/deliveries/batch={batch_id}")
 

@@ -37,14 +37,17 @@ def read_log_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_stream(raw: DataFrame, table: PageTable, records: Callable[[DataFrame], DataFrame],
-                  checkpoint: str, compact_every: int = 0) -> StreamingQuery:
+                  checkpoint: str, compact_every: int = 0,
+                  first_id: int = 0) -> StreamingQuery:
     """Store arriving pages. Replaying a batch replaces the same delivery.
 
     ``records`` turns raw rows into page records. Late pages lose to newer ones
-    by timestamp when the table is read.
+    by timestamp when the table is read. A stream that starts with a new
+    checkpoint on a table with deliveries passes ``table.next_batch()`` as
+    ``first_id``, and the same value at every restart.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        table.deliver(records(batch), batch_id)
+        table.deliver(records(batch), first_id + batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
             table.compact()
 

@@ -319,11 +319,13 @@ def test_log_lines(spark):
         ("w", 5, '{"type":"rate_limit_event","rate_limit_info":{"status":"allowed"}}'),
         ("w", 6, '{"type":"rate_limit_event","rate_limit_info":{"status":"denied"}}'),
         ("w", 7, '{"type":"result","subtype":"error"}'),
+        ("w", 8, "{not json"),
     ], "worker string, line_no int, line string")
     parsed = logs.parse_log(lines)
-    assert parsed.count() == 6
+    assert parsed.count() == 7
     assert [r["text"] for r in logs.text_blocks(parsed).orderBy("block_no").collect()] == ["a", "c"]
-    assert [r["raw"] for r in parsed.filter("raw is not null").collect()] == ["plain {not json"]
+    assert sorted(r["raw"] for r in parsed.filter("raw is not null").collect()) == [
+        "plain {not json", "{not json"]
     assert [tuple(r) for r in logs.tool_counts(parsed).collect()] == [("unknown", 1)]
     assert [r["resume_at"] for r in logs.denied_limits(parsed).collect()] == [None]
     assert [r["error"] for r in logs.error_results(parsed).collect()] == ["unknown error"]
