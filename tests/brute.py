@@ -16,13 +16,17 @@ def core(dist, k):
     return others[:, min(k, n - 1) - 1]
 
 
-def leaf_topics(rows, size):
-    """Leaf topics as a set of frozensets of row numbers; copies merge first among ties."""
+def leaf_topics(rows, size, copies_first=True):
+    """Leaf topics as a set of frozensets of row numbers.
+
+    Among edges of equal weight, copies of one vector merge first unless told
+    otherwise.
+    """
     dist = distance_matrix(rows)
     near = core(dist, size)
     reach = np.maximum(dist, np.maximum(near[:, None], near[None, :]))
     n = len(dist)
-    edges = sorted((reach[i, j], dist[i, j] > 0, i, j) for i in range(n) for j in range(i + 1, n))
+    edges = sorted((reach[i, j], copies_first and dist[i, j] > 0, i, j) for i in range(n) for j in range(i + 1, n))
     parts = {i: ([i], "leaf" if size <= 1 else "small") for i in range(n)}
     home = list(range(n))
     topics = set()

@@ -94,6 +94,14 @@ def test_unstructured_vectors(spark):
     assert {frozenset(g) for g in groups.values()} == brute.leaf_topics(rows, 3)
 
 
+def test_scaled_copies_in_small_blocks(spark, planted):
+    """Vectors of one direction and different length are separate points at distance 0."""
+    rows = np.vstack([planted, planted[:8] * 2, planted[:8] * 4])
+    groups = found(topics.cluster_pages(frame(spark, rows), 4, block_rows=5))
+    assert {frozenset(g) for g in groups.values()} == brute.leaf_topics(
+        rows, 4, copies_first=False)
+
+
 def test_one_group_is_all_noise(spark):
     rows = [[1.0, 0.01 * i] for i in range(12)]
     got = topics.cluster_pages(frame(spark, rows), 5)
