@@ -4,24 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import sharding, topk, url_filter
+from lacuna.llm import packing, phrases, sharding, topk, url_filter
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
          ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+VOCABULARY = packing.Vocabulary(
+    public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.topology(40)
     rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
@@ -34,7 +48,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op4_phrase_fingerprint": op4_phrase_fingerprint,
     "op6_sharding": op6_sharding,
     "op10_top_k": op10_top_k,
 }
