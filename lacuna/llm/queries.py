@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import packing, phrases, sharding, topk, url_filter
+from lacuna.llm import mixing, packing, phrases, sharding, topk, url_filter
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
@@ -36,6 +36,11 @@ def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.topology(40)
     rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op4_phrase_fingerprint": op4_phrase_fingerprint,
+    "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op10_top_k": op10_top_k,
 }
