@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import mixing, packing, phrases, sharding, topk, url_filter
+from lacuna.llm import mixing, packing, phrases, sharding, topk, toxicity, url_filter
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
@@ -47,6 +47,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("law", F.lit("key"))
 
 
+def toxicity_categories() -> dict[str, Column]:
+    """The labels' two columns as a chain; quality comes first and toxicity last."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+                          toxicity_categories())
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -58,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_phrase_fingerprint": op4_phrase_fingerprint,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op10_top_k": op10_top_k,
 }
