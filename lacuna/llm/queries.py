@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import mixing, packing, phrases, sharding, topk, toxicity, url_filter
+from lacuna.llm import jaccard, mixing, packing, phrases, sharding, topk, toxicity, url_filter
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
@@ -32,6 +32,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_phrase_fingerprint": op4_phrase_fingerprint,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
