@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import jaccard, mixing, packing, phrases, sharding, substrings, topk, toxicity, url_filter
+from lacuna.llm import jaccard, katz, mixing, packing, phrases, sharding, substrings, topk, toxicity, url_filter
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
@@ -65,6 +65,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz.score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -79,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_katz": op9_katz,
     "op10_top_k": op10_top_k,
 }
