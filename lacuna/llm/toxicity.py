@@ -1,9 +1,10 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other. A category's logistic model sees hashed
-words and word stems of the text and the probabilities of the categories before it. In
-training these probabilities are out-of-fold: each row's come from a model that never
-saw the row, so a later model learns from values as uncertain as those it will meet.
+Categories are predicted one after the other. A category's logistic model sees which telling
+words and word beginnings occur in the text, and the probabilities of the categories
+before it. In training these probabilities are out-of-fold: each row's come from a model
+whose terms and weights were chosen without the row, so a later model learns from
+values as uncertain as those it will meet.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,58 +22,92 @@ from lacuna.operators.lineage import cut
 
 #: Labelled rows that a model is fitted on, about; a larger table is thinned by a hash of the id.
 TRAINING_ROWS = 20_000
-DIMENSIONS = 1 << 16
-STEM = 5
+#: Terms of a model, by chi-square; each occurs in at least LEAST_ROWS training rows.
+TERMS = 1000
+LEAST_ROWS = 3
+BEGINNINGS = (4, 5, 6)
 FOLDS = 3
-ITERATIONS = 25
-REGULARISATION = 1e-4
+ITERATIONS = 50
+REGULARISATION = 1e-5
 THRESHOLD = 0.5
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Model(NamedTuple):
+    terms: CountVectorizerModel
+    weights: LogisticRegressionModel
+
+
 class Chain(NamedTuple):
-    """One model per category, in order; a number where the labels don't vary."""
+    """One model per category, in order; a number where labels don't vary or no term occurs often."""
     categories: tuple[str, ...]
-    models: tuple[LogisticRegressionModel | float, ...]
+    models: tuple[Model | float, ...]
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """``docs`` with a vector ``base`` of the words and stems that occur in ``text``."""
+def _terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``terms``: the lower-cased words of ``text`` and, marked, their beginnings."""
     words = F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), _SPACE)
     words = F.array_distinct(F.filter(words, lambda w: w != ""))
-    marked = F.concat("words", F.array_distinct(
-        F.transform("words", lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))))
     # an array column of its own, so that the words are split once
-    rows = docs.withColumn("words", F.explode(F.array(words))).withColumn("terms", marked)
-    return HashingTF(inputCol="terms", outputCol="base", numFeatures=DIMENSIONS,
-                     binary=True).transform(rows).drop("words", "terms")
-
-
-def _chained(rows: DataFrame, before: Sequence[str]) -> DataFrame:
-    if not before:
-        return rows.withColumn("features", F.col("base"))
-    return VectorAssembler(inputCols=["base", *before], outputCol="features").transform(rows)
-
-
-def _fit(rows: DataFrame, label: str) -> LogisticRegressionModel | float:
-    seen = rows.agg(F.avg(label).alias("mean"), F.count(label).alias("n")).first()
-    if not seen["n"] or seen["mean"] in (0.0, 1.0):
-        return float(seen["mean"] or 0.0)
-    return LogisticRegression(
+    rows = docs.withColumn("words", F.explode(F.array(words)))
+    begun = [F.transform(F.filter("words", lambda w, n=n: F.char_length(w) >= n),
+                         lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in BEGINNINGS]
+    return rows.withColumn("terms", F.concat("words", *begun)).drop("words")
+
+
+def _term_counts(train: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Per term and fold: rows that have it, and of these the positive ones of each label."""
+    sums = [F.count(F.when(F.col("fold") == f, 1)).alias(f"rows_{f}") for f in range(FOLDS)]
+    sums += [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0.0)).alias(f"{c}_{f}")
+             for c in labels for f in range(FOLDS)]
+    rows = train.select("fold", *labels, F.explode(F.array_distinct("terms")).alias("term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), *sums).filter(F.col("rows") >= LEAST_ROWS)
+
+
+def _vocabulary(counts: DataFrame, train: DataFrame, label: str, without: int | None) -> list[str]:
+    """The TERMS terms that tell most about ``label`` in the rows outside fold ``without``."""
+    folds = [f for f in range(FOLDS) if f != without]
+    total = train.filter(F.col("fold").isin(folds)).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0.0)).alias("yes")).first()
+    n, yes = float(total["n"]), float(total["yes"])
+    has = sum((F.col(f"rows_{f}") for f in folds), F.lit(0)).cast("double")
+    both = sum((F.col(f"{label}_{f}") for f in folds), F.lit(0.0))
+    # chi-square of the two-by-two table of having the term and the label
+    odd = both * n - has * yes
+    spread = has * (n - has) * yes * (n - yes)
+    chi = F.when(spread > 0, odd * odd * n / spread)
+    best = counts.filter(has >= LEAST_ROWS).select("term", chi.alias("chi")).filter("chi > 0")
+    return [r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+
+
+def _featured(rows: DataFrame, terms: CountVectorizerModel, before: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=["occurs", *before], outputCol="features").transform(terms.transform(rows))
+
+
+def _fit(train: DataFrame, counts: DataFrame, label: str, before: Sequence[str],
+         without: int | None = None) -> Model | float:
+    rows = train if without is None else train.filter(F.col("fold") != without)
+    seen = rows.agg(F.avg(label).alias("mean")).first()["mean"]
+    if seen in (None, 0.0, 1.0):
+        return float(seen or 0.0)
+    vocabulary = _vocabulary(counts, train, label, without)
+    if not vocabulary:
+        return float(seen)
+    terms = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="occurs", binary=True)
+    return Model(terms, LogisticRegression(
         featuresCol="features", labelCol=label, maxIter=ITERATIONS, regParam=REGULARISATION,
         standardization=False, probabilityCol="probability_", rawPredictionCol="raw_",
-        predictionCol="prediction_").fit(rows)
+        predictionCol="prediction_").fit(_featured(rows, terms, before)))
 
 
-def _predict(rows: DataFrame, model: LogisticRegressionModel | float, before: Sequence[str],
-             name: str) -> DataFrame:
+def _predict(rows: DataFrame, model: Model | float, before: Sequence[str], name: str) -> DataFrame:
     if isinstance(model, float):
         return rows.withColumn(name, F.lit(model))
-    scored = model.transform(_chained(rows, before))
+    scored = model.weights.transform(_featured(rows, model.terms, before))
     return (scored.withColumn(name, vector_to_array("probability_")[1])
-            .drop("features", "probability_", "raw_", "prediction_"))
+            .drop("occurs", "features", "probability_", "raw_", "prediction_"))
 
 
 def probability(category: str) -> str:
@@ -93,14 +128,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    train = cut(_features(texts).withColumn("fold", fold))
+    train = cut(_terms(texts).withColumn("fold", fold).drop("text"))
+    counts = cut(_term_counts(train, list(categories)))
     before: list[str] = []
-    models: list[LogisticRegressionModel | float] = []
+    models: list[Model | float] = []
     for i, label in enumerate(categories):
-        models.append(_fit(_chained(train, before), label))
+        models.append(_fit(train, counts, label, before))
         if i + 1 < len(categories):
-            folds = [_predict(train.filter(F.col("fold") == f),
-                              _fit(_chained(train.filter(F.col("fold") != f), before), label),
+            folds = [_predict(train.filter(F.col("fold") == f), _fit(train, counts, label, before, f),
                               before, probability(label)) for f in range(FOLDS)]
             joined = folds[0]
             for part in folds[1:]:
@@ -116,7 +151,7 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",)) -> D
     The whole text counts; a null or empty text has no words, and its probabilities are those of the
     models' intercepts. Repeated rows stay; columns not kept may have any name.
     """
-    rows = _features(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), "text"))
+    rows = _terms(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), "text"))
     before: list[str] = []
     for category, model in zip(chain.categories, chain.models):
         rows = _predict(rows, model, before, probability(category))
