@@ -188,12 +188,11 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
     Copies come back to texts by id and text hash. Rows that agree in both are one text:
     their copies are added up and one of them is repeated.
     """
-    copies = mix(docs, weights, cap).groupBy(
-        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"),
-    ).agg(F.sum("copies").alias("times"))
-    rows = docs.withColumn("of_text", F.xxhash64("text")).dropDuplicates(["doc_id", "of_text"])
-    joined = rows.alias("d").join(copies.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.of_id"))
-                                  & (F.col("d.of_text") == F.col("m.of_text")))
-    return (joined.filter("times > 0")
-            .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-            .select(*(F.col(f"d.`{c}`") for c in docs.columns)))
+    last = (1 << 63) - 1
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("row_key")
+    copies = mix(docs, weights, cap).groupBy(key, F.col("text_hash").alias("row_hash")).agg(
+        F.sum("copies").cast("int").alias("times"))
+    rows = docs.select(F.struct("*").alias("row"), key, F.xxhash64("text").alias("row_hash"))
+    joined = rows.dropDuplicates(["row_key", "row_hash"]).join(copies, ["row_key", "row_hash"])
+    times = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return joined.filter("times > 0").select("row", times).select("row.*")
