@@ -30,6 +30,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: log2 of the number of counters that estimate frequencies for the global order.
 ORDER_BITS = 20
 FRAGMENTS = 8
+#: log2 of the number of bits in the filter on documents whose sets are needed.
+FILTER_BITS = 23
 
 _BLOCKS = 64
 _FLUSH = 1 << 20
@@ -47,8 +49,8 @@ def _class_of(shingles: np.ndarray) -> int:
 def _profiles(batches: Iterator[pa.RecordBatch], width: int, bits: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row (doc_id, n_shingles, class) per document, then the task's counters in blocks."""
     counts, held, size = np.zeros(1 << bits, dtype=np.int64), [], 0
-    schema = pa.schema([("doc_id", kind), ("n_shingles", pa.int64()), ("class", pa.int64()),
-                        ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", kind), ("text_hash", pa.int64()), ("n_shingles", pa.int64()),
+                        ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         sizes, classes = [], []
         for text in batch.column(1):
@@ -61,14 +63,16 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int, bits: int, kind: pa
                 counts += np.bincount(_bucket(np.concatenate(held), bits), minlength=len(counts))
                 held, size = [], 0
         none = [None] * len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-                                          pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
+             pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
     if held:
         counts += np.bincount(_bucket(np.concatenate(held), bits), minlength=len(counts))
     blocks = [c.tobytes() for c in np.split(counts, _BLOCKS)] if counts.any() else []
     none = [None] * len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
-                                      pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(none, kind), *[pa.array(none, pa.int64())] * 3,
+         pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
 
 
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +103,11 @@ def _order(blocks: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Postings (shingle, class, n, at) of the rare end of every set, once per class and task."""
+    """Postings (shingle, class, n) of the rare end of every set, once per class and task."""
     rank, _ = shared.value
     seen: set[int] = set()
     for batch in batches:
-        rows: list[list[np.ndarray]] = [[], [], [], []]
+        rows: list[list[np.ndarray]] = [[], [], []]
         for text in batch.column(1):
             shingles = words.shingle_set(text.as_py(), width)
             size = len(shingles)
@@ -113,19 +117,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int)
             seen.add(name)
             length = size - -(-size * NUMERATOR // DENOMINATOR) + 1
             ranks = rank[_bucket(shingles, bits)]
-            if length < size:
-                # all that can lie in the prefix, then in order
-                near = np.flatnonzero(ranks <= np.partition(ranks, length - 1)[length - 1])
-                near = near[np.argsort(ranks[near], kind="stable")][:length]
-            else:
-                near = np.argsort(ranks, kind="stable")
+            # shingles rise, so those of one counter are in the order of their hashes
+            near = np.argsort(ranks, kind="stable")[:length]
             rows[0].append(shingles[near].view(np.int64))
             rows[1].append(np.full(length, name, dtype=np.int64))
             rows[2].append(np.full(length, size, dtype=np.int32))
-            rows[3].append(np.arange(length, dtype=np.int32))
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows],
-                                             names=["shingle", "class", "n", "at"])
+                                             names=["shingle", "class", "n"])
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -135,6 +134,8 @@ def _fragments(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int)
         classes, parts, lists = [], [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             shingles = words.shingle_set(text.as_py(), width)
+            if _class_of(shingles) != name:
+                continue
             of = fragment[_bucket(shingles, bits)]
             for part in np.unique(of).tolist():
                 classes.append(name)
@@ -145,10 +146,21 @@ def _fragments(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int)
             names=["class", "fragment", "shingles"])
 
 
-def _possible(a_n: Column, a_at: Column, b_n: Column, b_at: Column) -> Column:
-    """Can sets whose first common shingle is at these places still reach the threshold?"""
-    room = F.least(a_n - a_at, b_n - b_at)
-    return room * (NUMERATOR + DENOMINATOR) >= (a_n + b_n) * NUMERATOR
+def _alike(a_n: Column, b_n: Column) -> Column:
+    """Are two sets near enough in size to reach the threshold?"""
+    return F.least(a_n, b_n) * DENOMINATOR >= F.greatest(a_n, b_n) * NUMERATOR
+
+
+def _needed() -> Column:
+    """Shingles that the rare ends of a pair (u_n, v_n) must share to reach the threshold.
+
+    What is common and not in both rare ends lies beyond the rare end that stops first.
+    """
+    def up(x: Column, by: int) -> Column:
+        return F.floor((x + (by - 1)) / by)
+
+    total = up((F.col("u_n") + F.col("v_n")) * NUMERATOR, NUMERATOR + DENOMINATOR)
+    return total + 1 - up(F.greatest("u_n", "v_n") * NUMERATOR, DENOMINATOR)
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -169,9 +181,45 @@ def _pairs(a: str, b: str) -> list[Column]:
             for name, x, y, c in (("u", a, b, "class"), ("v", b, a, "class"), ("u_n", a, b, "n"), ("v_n", b, a, "n"))]
 
 
+def _listed(ids: DataFrame, spark) -> Column:
+    """A filter on doc_id that holds for all of ``ids`` (first) and for few others.
+
+    It reads 2 ** FILTER_BITS bits, so that most texts nobody asked for are not shuffled.
+    """
+    wide = 1 << 15  # bits in one bitmap of Spark's bitmap functions
+    bit = F.pmod(F.xxhash64("first"), F.lit(1 << FILTER_BITS))
+    maps = (ids.select(F.floor(bit / wide).alias("page"), (bit % wide).alias("bit"))
+            .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    table = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for row in maps:
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        table[row["page"] * len(bits):(row["page"] + 1) * len(bits)] = bits
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def listed(at):
+        import pandas as pd
+
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+    return listed(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
+
+
+def _sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shared, width: int, bits: int) -> DataFrame:
+    """The fragments of all sets in ``pairs``, each read from its first document."""
+    names = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
+    wanted = cut(names.join(classes, "class"))
+    texts = rows.filter(_listed(wanted, rows.sparkSession)).join(
+        wanted, F.col("doc_id") == F.col("first")).select("class", "text")
+    # of rows that share an id, the one whose set is of the class
+    return texts.mapInArrow(lambda b: _fragments(b, shared, width, bits),
+                            "class bigint, fragment int, shingles array<bigint>").dropDuplicates(["class", "fragment"])
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
                     fragments: int = FRAGMENTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id, text_hash) of every document.
 
     Two documents are linked when their sets of lower-cased ``width``-word shingles have a Jaccard
     similarity of 0.8 or more; component_id is the smallest doc_id that links reach. Null
@@ -189,15 +237,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(id_type)
-    profile = cut(rows.mapInArrow(
+    profile = cut(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         lambda b: _profiles(b, width, bits, kind),
-        f"doc_id {id_type.simpleString()}, n_shingles bigint, class bigint, block int, counts binary"))
+        f"doc_id {id_type.simpleString()}, text_hash bigint, n_shingles bigint, class bigint, block int, counts binary"))
     shared = spark.sparkContext.broadcast(_order(profile.filter("block is not null"), bits, fragments))
-    members = profile.filter("block is null").select("doc_id", "n_shingles", "class")
+    members = profile.filter("block is null").select("doc_id", "text_hash", "n_shingles", "class")
     classes = cut(members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first")))
 
     postings = rows.mapInArrow(lambda b: _prefixes(b, shared, width, bits),
-                               "shingle bigint, class bigint, n int, at int")
+                               "shingle bigint, class bigint, n int")
     same = Window.partitionBy("shingle")
     lists = cut(postings.withColumn("least", F.min("class").over(same))
                 .withColumn("most", F.max("class").over(same))
@@ -206,32 +254,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
 
     # link each list to its most shared member
     degree = lists.groupBy("class").agg(F.sum("size").alias("degree"))
-    ranked = cut(lists.join(degree, "class"))
-    pivots = ranked.groupBy("shingle").agg(
-        F.max(F.struct("degree", "class", "n", "at")).alias("top")).select(
-        "shingle", F.col("top.class").alias("class"), F.col("top.n").alias("n"), F.col("top.at").alias("at"))
+    ranked = cut(lists.drop("size").join(degree, "class"))
+    pivots = ranked.groupBy("shingle").agg(F.max(F.struct("degree", "class", "n")).alias("top")).select(
+        "shingle", F.col("top.class").alias("class"), F.col("top.n").alias("n"))
     a, p = ranked.alias("a"), pivots.alias("p")
-    star = cut(a.join(p, "shingle").filter(
-        (F.col("a.class") != F.col("p.class"))
-        & _possible(F.col("a.n"), F.col("a.at"), F.col("p.n"), F.col("p.at"))).select(*_pairs("a", "p")).distinct())
-    wanted = lists.select("class").distinct().join(classes, "class")
-    texts = wanted.join(rows, F.col("first") == F.col("doc_id")).select("class", "text")
-    sets = cut(texts.dropDuplicates(["class"]).mapInArrow(
-        lambda b: _fragments(b, shared, width, bits), "class bigint, fragment int, shingles array<bigint>"))
-    links = cut(_verified(star, sets))
+    star = a.join(p, "shingle").filter((F.col("a.class") != F.col("p.class")) & _alike(F.col("a.n"), F.col("p.n")))
+    star = cut(star.select(*_pairs("a", "p")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
+               .filter(F.col("common") * 2 >= _needed()).drop("common"))
+    links = cut(_verified(star, cut(_sets(star, classes, rows, shared, width, bits))))
     found = cut(connected_components(links))
 
     # what the stars left apart is compared across components
     placed = ranked.join(found, F.col("class") == F.col("node"), "left").select(
-        "shingle", "class", "n", "at", F.coalesce("component", "class").alias("component"))
+        "shingle", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     mixed = mixed.filter("least < most").select("shingle")
     apart = cut(placed.join(mixed, "shingle"))
     a, b = apart.alias("a"), apart.alias("b")
     across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component"))
-                    & _possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")))
-    rest = cut(across.select(*_pairs("a", "b")).distinct().join(star.select("u", "v"), ["u", "v"], "left_anti"))
-    more = _verified(rest, sets)
+                    & _alike(F.col("a.n"), F.col("b.n")))
+    across = across.select(*_pairs("a", "b")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
+    rest = cut(across.filter(F.col("common") >= _needed()).drop("common")
+               .join(star.select("u", "v"), ["u", "v"], "left_anti"))
+    more = _verified(rest, cut(_sets(rest, classes, rows, shared, width, bits)))
     component = cut(connected_components(links.unionByName(more)))
 
     named = component.join(classes, F.col("node") == F.col("class"))
@@ -239,6 +284,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
     named = named.join(smallest, "component").select("class", "component_id")
     known = classes.join(named, "class", "left").select(
         "class", F.coalesce("component_id", "first").alias("component_id"))
-    empty = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = members.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return members.filter("n_shingles > 0").join(known, "class").select(
-        "doc_id", "n_shingles", "component_id").unionByName(empty)
+        "doc_id", "n_shingles", "component_id", "text_hash").unionByName(empty)
+
+
+def first_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents with the smallest doc_id of each group of near duplicates, all columns kept.
+
+    Rows of one id and text are one document. Documents without words stay, and so do those without
+    id unless a document with id is their near duplicate.
+    """
+    last = (1 << 63) - 1
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("row_key")
+    near = near_duplicates(docs, width)
+    later = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        key, F.col("text_hash").alias("row_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key, F.xxhash64("text").alias("row_hash"))
+    return (rows.dropDuplicates(["row_key", "row_hash"])
+            .join(later, ["row_key", "row_hash"], "left_anti").select("row.*"))
