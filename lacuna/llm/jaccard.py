@@ -34,7 +34,7 @@ FRAGMENTS = 8
 FILTER_BITS = 23
 
 _BLOCKS = 64
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 
 
 def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int, bits: int, kind: pa
     counts, held, size = np.zeros(1 << bits, dtype=np.int64), [], 0
     schema = pa.schema([("doc_id", kind), ("text_hash", pa.int64()), ("n_shingles", pa.int64()),
                         ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-    for batch in batches:
+    for batch in words.slices(batches):
         sizes, classes = [], []
         for text in batch.column(1):
             shingles = words.shingle_set(text.as_py(), width)
@@ -106,7 +106,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int)
     """Postings (shingle, class, n) of the rare end of every set, once per class and task."""
     rank, _ = shared.value
     seen: set[int] = set()
-    for batch in batches:
+    for batch in words.slices(batches):
         rows: list[list[np.ndarray]] = [[], [], []]
         for text in batch.column(1):
             shingles = words.shingle_set(text.as_py(), width)
@@ -130,7 +130,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int)
 def _fragments(batches: Iterator[pa.RecordBatch], shared, width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (class, fragment, shingles) of the given texts."""
     _, fragment = shared.value
-    for batch in batches:
+    for batch in words.slices(batches):
         classes, parts, lists = [], [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             shingles = words.shingle_set(text.as_py(), width)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words whose hashes a worker keeps at a time.
-CACHE = 1 << 19
+CACHE = 1 << 17
+#: Rows of an Arrow batch worked on at a time; whole batches of long texts would take much memory.
+SLICE = 1024
 
 
 class _Hashes(dict):
@@ -21,6 +26,12 @@ _HASHES = _Hashes()
 _U = np.uint64
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of characters other than U+0020 and U+0009 to U+000D, as UTF-8.
 
