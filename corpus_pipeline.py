@@ -5,11 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lacuna.llm import jaccard, mixing, packing, substrings, toxicity
+from lacuna.llm.queries import VOCABULARY, toxicity_categories
 from lacuna.operators.lineage import cut
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = toxicity.judge(docs, labels, toxicity_categories(), keep=docs.columns)
+    return judged.filter(~F.col("toxic")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return jaccard.first_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of earlier ones; those with nothing left go."""
+    keep = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    cleaned = substrings.remove_repeats(docs, with_text=True, keep=keep)
+    left = cleaned.filter((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    return left.select(*keep, F.col("kept_text").alias("text"),
+                       F.char_length("kept_text").cast("bigint").alias("n_chars")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.repeat_documents(docs, weights=(1, 2, 3), cap=3.0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, VOCABULARY)
+
+
 #: (name, function of (spark, docs, sf_dir)); each stage works on what the one before kept.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: SQL twin of ``run``; SQL can't express the classifier of the first stage.
 ORACLE_SQL = None

@@ -33,7 +33,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    rows = jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

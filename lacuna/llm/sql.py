@@ -73,8 +73,37 @@ _TOP_K = """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in e
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_COMPONENTS = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_transform({_WORDS}, lambda x:
+        translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+        FROM w, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+        WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM documents
+        UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+    FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+_REPEATS = f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+        FROM w, unnest(range(1, len(w) - 48)) AS t(i)),
+    f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN f USING (g), unnest(range(50)) AS t(k) WHERE first < doc_id),
+    lost AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id),
+    kept AS (SELECT w.doc_id, w, coalesce(len(p), 0) AS removed,
+        CASE WHEN p IS NULL THEN w ELSE [x for x, i in w if NOT list_contains(p, i)] END AS k
+        FROM w LEFT JOIN lost USING (doc_id))
+    SELECT doc_id, len(w) AS n_words, removed AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
 ORACLE = {
     "op2_url_filter": _url_filter(),
+    "op3_jaccard_join": _COMPONENTS,
     "op6_sharding": _SHARDS,
+    "op8_substring_dedup": _REPEATS,
     "op10_top_k": _TOP_K,
 }
