@@ -31,10 +31,8 @@ NAMED_ENTITIES = {
     "&euro;": "€",
 }
 
-# Size limits of stored and embedded text.
+# Fixed value: length of the stored snippet.
 SNIPPET_CHARS = 500
-EMBED_CHARS = 30_000
-METADATA_CHARS = 15_000
 
 _NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
@@ -52,7 +50,7 @@ def _numeric_entities(text: Column, opening: str, digits: str, base: int) -> Col
     def put(acc: Column, code: Column) -> Column:
         number = F.conv(code, base, 10).cast("bigint")
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        char = F.when(number.between(0xD800, 0xDFFF), "\ufffd").otherwise(char)
+        char = F.when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").otherwise(char)
         return F.replace(acc, F.concat(F.lit(opening), code, F.lit(";")), char)
 
     # rows without numeric entities skip the fold
@@ -64,8 +62,8 @@ def decode_entities(text: Column) -> Column:
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
     def numeric(text: Column) -> Column:
-        decimal = _numeric_entities(text, "&#", "[0-9]{1,6}", 10)
-        return let(decimal, lambda t: _numeric_entities(t, "&#x", "[0-9a-fA-F]{1,5}", 16))
+        decimal = _numeric_entities(text, "&#", "0*[0-9]{1,7}", 10)
+        return let(decimal, lambda t: _numeric_entities(t, "&#x", "0*[0-9a-fA-F]{1,6}", 16))
 
     out = let(out, lambda t: F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
@@ -114,9 +112,9 @@ def ingest_ts() -> Column:
 
 
 def embed_text(title: Column, content: Column) -> Column:
+    """Whole text that is embedded."""
     blank = F.lit("")
-    joined = F.concat_ws("\n\n", F.coalesce(title, blank), F.coalesce(content, blank))
-    return F.substring(joined, 1, EMBED_CHARS)
+    return F.concat_ws("\n\n", F.coalesce(title, blank), F.coalesce(content, blank))
 
 
 def hrefs(html: Column) -> Column:

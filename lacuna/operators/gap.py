@@ -29,8 +29,11 @@ def clustered(pages: DataFrame) -> DataFrame:
 
 
 def centroids(pages: DataFrame) -> DataFrame:
-    """One row per topic: unit centroid, size, label and id of its first page."""
-    unit = clustered(pages).select(
+    """One row per topic: unit centroid, size, label and id of its first page.
+
+    Pages without a vector have no place to be near to and are not counted.
+    """
+    unit = clustered(pages).filter(F.col("vector").isNotNull()).select(
         "cluster_id", "cluster_label", "page_id",
         vx.l2_normalize(F.col("vector")).alias("v"))
     return unit.groupBy("cluster_id").agg(
@@ -92,7 +95,7 @@ def nearest_own(pages: DataFrame, topics: DataFrame, slab_topics: int = SLAB_TOP
         packed = F.broadcast(packed)
 
     blank = F.lit("")
-    own = (pages.filter(F.col("source") == OWN)
+    own = (pages.filter((F.col("source") == OWN) & F.col("vector").isNotNull())
            .select("page_id", F.coalesce("url", blank).alias("url"),
                    F.coalesce("title", blank).alias("title"), "vector")
            .mapInPandas(_pack_own, _PACKED)
@@ -165,8 +168,7 @@ def gap_summary(report: DataFrame, pages: DataFrame, threshold: float) -> DataFr
     stored = pages.agg(
         F.count_if(F.col("source") == OWN).alias("own_pages_count"),
         F.count_if(F.col("source") == COMPETITOR).alias("competitor_pages_count"))
-    one = F.lit(1).alias("one")
-    return topics.withColumn("one", one).join(stored.withColumn("one", one), "one").select(
+    return topics.crossJoin(F.broadcast(stored)).select(  # one row each
         "total_clusters", "covered_clusters", "missing_clusters",
         F.lit(float(threshold)).alias("coverage_threshold"),
         "own_pages_count", "competitor_pages_count")

@@ -51,16 +51,17 @@ def validate_vectors(pages: DataFrame, size: int) -> tuple[DataFrame, DataFrame]
 Embedder = Callable[[Column], Column]
 
 
-def embed(pages: DataFrame, embedder: Embedder | None = None, size: int = 1536) -> DataFrame:
+def embed(pages: DataFrame, embedder: Embedder | None = None, size: int = 1536,
+          chars: int | None = None) -> DataFrame:
     """Add ``vector``.
 
     ``embedder`` maps the text column to an ``array<float>`` column, normally a
-    scalar-iterator ``pandas_udf`` that loads a model once per task. The default
-    hashes words into ``size`` buckets: stable and fast, but not semantic.
+    scalar-iterator ``pandas_udf`` that loads a model once per task; ``chars`` cuts the
+    text for models with an input limit. The default reads whole texts and hashes words into ``size`` buckets: stable and fast, but not semantic.
     """
     text = tx.embed_text(F.col("title"), F.col("content"))
     if embedder is not None:
-        return pages.withColumn("vector", embedder(text))
+        return pages.withColumn("vector", embedder(F.substring(text, 1, chars) if chars else text))
     work = pages.withColumn("_text", text)
     work = Tokenizer(inputCol="_text", outputCol="_words").transform(work)
     work = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(work)
@@ -78,12 +79,14 @@ Enricher = Callable[[Column, Column], Column]
 
 
 def with_metadata(pages: DataFrame, mode: Column | str, enricher: Enricher | None = None,
-                  default_mode: str = "tfidf", stopwords: Sequence[str] = ()) -> DataFrame:
+                  default_mode: str = "tfidf", stopwords: Sequence[str] = (),
+                  chars: int | None = None) -> DataFrame:
     """Add metadata_mode, summary and keywords.
 
     Unknown modes fall back to ``default_mode``. The ``llm`` arm takes a user
     column function (title, content) -> struct<summary, keywords>; NULL or no
-    function gives empty metadata.
+    function gives empty metadata. ``chars`` cuts the content for functions with an
+    input limit.
     """
     if default_mode not in METADATA_MODES:
         raise ValueError(f"unknown metadata mode: {default_mode}")
@@ -99,7 +102,7 @@ def with_metadata(pages: DataFrame, mode: Column | str, enricher: Enricher | Non
             "keywords": F.when(is_chat, no_words).otherwise(words)})
     # only rows of the chat mode carry text into the user's function
     title = F.when(is_chat, F.col("title"))
-    content = F.when(is_chat, F.substring("content", 1, tx.METADATA_CHARS))
+    content = F.when(is_chat, F.substring("content", 1, chars) if chars else F.col("content"))
     out = out.withColumn("_meta", enricher(title, content))
     out = out.withColumns({
         "summary": F.when(is_chat, F.coalesce("_meta.summary", F.lit(""))).otherwise(""),

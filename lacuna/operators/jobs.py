@@ -25,11 +25,19 @@ def new_jobs(queries: DataFrame, now: Column) -> DataFrame:
 
 
 def seed_jobs(jobs: DataFrame, queries: DataFrame, now: Column, reset: bool = False) -> DataFrame:
-    """Add queries that have no job yet; ``reset`` starts from an empty table."""
+    """Add queries that have no job yet; ``reset`` starts from an empty table.
+
+    New jobs keep the order of their list and come after all jobs there are.
+    """
     fresh = new_jobs(queries, now)
     if reset:
         return fresh
-    return jobs.unionByName(fresh.join(jobs.select("query"), "query", "left_anti"))
+    fresh = fresh.join(jobs.select("query"), "query", "left_anti")
+    shift = jobs.agg(F.max("seq").alias("last")).crossJoin(
+        F.broadcast(fresh.agg(F.min("seq").alias("first")))).select(
+        F.coalesce(F.col("last") + 1 - F.col("first"), F.lit(0)).alias("shift"))
+    moved = fresh.crossJoin(F.broadcast(shift))  # one row
+    return jobs.unionByName(moved.withColumn("seq", F.col("seq") + F.col("shift")).drop("shift"))
 
 
 def reset_stale(jobs: DataFrame, now: Column, minutes: int = 120) -> DataFrame:
@@ -61,7 +69,8 @@ def apply_outcomes(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     ``done`` and ``failed`` keep the start time, ``pending`` clears it. A job
     keeps its old error unless the outcome is ``failed``.
     """
-    w = Window.partitionBy("query").orderBy(F.desc("at"), F.desc("outcome"))
+    w = Window.partitionBy("query").orderBy(
+        F.desc("at"), F.desc("outcome"), F.desc("error"))
     last = (outcomes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
             .select("query", "outcome", "at", F.col("error").alias("new_error")))
     outcome = F.col("outcome")

@@ -28,7 +28,7 @@ RESET_MARGIN_SECONDS = 60
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """Non-blank lines with the parsed event, or the text in ``raw`` when not JSON."""
-    trimmed = lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
+    trimmed = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).filter(F.col("line") != "")
     parsed = trimmed.withColumn("event", F.from_json("line", LOG_EVENT_SCHEMA))
     is_json = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()
     return parsed.withColumns({
@@ -122,7 +122,7 @@ def limit_hits(lines: DataFrame, wait_hours: int = 5) -> DataFrame:
                    + F.make_dt_interval(hours=F.lit(wait_hours))).alias("resume_at"))
 
 
-def silences(events: DataFrame, minutes: int = 15, bucket: str = "day") -> DataFrame:
+def silences(events: DataFrame, minutes: int = 15, bucket: str = "hour") -> DataFrame:
     """Gaps of at least ``minutes`` between two events of one worker.
 
     Rows are ordered inside (worker, time bucket) only; gaps across buckets come

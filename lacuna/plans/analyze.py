@@ -28,8 +28,9 @@ class Analysis:
 
 
 def find_topics(pages: DataFrame, min_cluster_size: int = 5) -> DataFrame:
-    """(page_id, cluster_id, cluster_label) of all competitor pages."""
-    competitor = with_defaults(pages_by_source(pages, COMPETITOR))
+    """(page_id, cluster_id, cluster_label) of all competitor pages that have a vector."""
+    competitor = with_defaults(pages_by_source(pages, COMPETITOR)).filter(
+        F.col("vector").isNotNull())
     if competitor.isEmpty():
         raise ValueError("no competitor pages stored")
     found = cut(topics.cluster_pages(competitor.select("page_id", "vector"), min_cluster_size))
@@ -40,7 +41,7 @@ def find_topics(pages: DataFrame, min_cluster_size: int = 5) -> DataFrame:
 def project(pages: DataFrame, method: str = GRAPH, settings: Settings = Settings(),
             **options) -> DataFrame:
     """Projection table of all pages; ``method`` is graph or axes."""
-    pages = with_defaults(pages)
+    pages = with_defaults(pages).filter(F.col("vector").isNotNull())
     if pages.isEmpty():
         raise ValueError("no vectors stored")
     vectors = pages.select("page_id", "vector")
@@ -86,9 +87,3 @@ def analyze_table(table: PageTable, out: str, settings: Settings = Settings(),
     reports.write_projection(result.projection, f"{out}/projection")
     reports.write_gap_report(result.report, result.summary, f"{out}/gap")
     return result
-
-
-def cluster_summary(pages: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(cluster_id, pages, cluster_label) of an assignment."""
-    return (pages.select("page_id").join(assignments, "page_id")
-            .groupBy("cluster_id", "cluster_label").agg(F.count(F.lit(1)).alias("pages")))

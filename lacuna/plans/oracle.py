@@ -19,10 +19,10 @@ page_store AS (
            d.text AS content,
            TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id AS INTEGER)) AS ts,
            e.embedding AS vector,
-           CASE WHEN d.doc_id % 10 = 0 OR d.doc_id % 13 = 0 THEN -1 ELSE e.label END AS cluster_id,
+           CAST(CASE WHEN d.doc_id % 10 = 0 OR d.doc_id % 13 = 0 THEN -1 ELSE d.doc_id // 10 % 10 END AS INTEGER) AS cluster_id,
            CASE WHEN d.doc_id % 10 = 0 THEN '' WHEN d.doc_id % 13 = 0 THEN 'noise'
-                ELSE 'topic ' || e.label END AS cluster_label
-    FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id))
+                ELSE 'topic ' || (d.doc_id // 10 % 10) END AS cluster_label
+    FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id))
 """
 
 
@@ -31,7 +31,7 @@ def _gap(threshold: float) -> str:
 dims AS (
   SELECT page_id, source, cluster_id, unnest(vector)::DOUBLE AS x,
          generate_subscripts(vector, 1) AS i
-  FROM page_store WHERE source = 'own' OR cluster_id <> -1),
+  FROM page_store WHERE vector IS NOT NULL AND (source = 'own' OR cluster_id <> -1)),
 norms AS (SELECT page_id, sqrt(sum(x * x)) AS n FROM dims GROUP BY page_id),
 unit AS (
   SELECT d.page_id, source, cluster_id, i, x / n AS x
@@ -51,7 +51,8 @@ best AS (
 topics AS (
   SELECT cluster_id, count(*) AS page_count, arg_min(cluster_label, page_id) AS cluster_label,
          min(page_id) AS first_page_id
-  FROM page_store WHERE source = 'competitor' AND cluster_id <> -1 GROUP BY cluster_id),
+  FROM page_store WHERE source = 'competitor' AND cluster_id <> -1 AND vector IS NOT NULL
+  GROUP BY cluster_id),
 report AS (
   SELECT t.cluster_id, t.cluster_label, t.page_count, b.d <= {threshold} AS covered,
          round(greatest(0.0, 1 - b.d / {threshold}), 4) AS coverage_score,
@@ -238,8 +239,10 @@ SELECT cluster_id, cluster_label, page_count, covered,
 FROM report JOIN shown USING (cluster_id)""",
     "gap_filter_missing": f"""WITH {_gap(0.77)}
 SELECT cluster_id, page_count, coverage_score FROM report WHERE NOT covered""",
+    "gap_filter_covered": f"""WITH {_gap(0.77)}
+SELECT cluster_id, page_count, coverage_score FROM report WHERE covered""",
     "gap_filter_min_pages": f"""WITH {_gap(0.77)}
-SELECT cluster_id, page_count, covered FROM report WHERE page_count >= 45""",
+SELECT cluster_id, page_count, covered FROM report WHERE page_count >= 41""",
     "top_clusters": f"""WITH {_gap(0.77)}
 SELECT substr(cluster_label, 1, 30) AS label, page_count AS pages, covered FROM report
 ORDER BY page_count DESC, coverage_score, first_page_id LIMIT 12""",
@@ -334,7 +337,7 @@ FROM top GROUP BY cluster_id""",
 SELECT url, content, length(content) AS n_chars FROM html_pages WHERE length(trim(content)) >= 1""",
     "ingest_records": f"""WITH {HTML}
 SELECT md5(url) AS page_id, url, domain, substr(content, 1, 500) AS content_snippet,
-       md5(substr(title || chr(10) || chr(10) || content, 1, 30000)) AS embed_md5
+       md5(title || chr(10) || chr(10) || content) AS embed_md5
 FROM html_pages WHERE length(trim(content)) >= 1""",
     "url_domains": f"SELECT url, {DOMAIN} AS domain FROM pages",
     "discover_links": f"WITH {LINKS} SELECT url, domain, link, link_domain FROM links",
@@ -349,6 +352,8 @@ SELECT page_id, CASE WHEN source = 'own' THEN title ELSE 'new ' || title END AS
        CASE WHEN source = 'own' THEN cluster_label END AS cluster_label,
        {stamp("CASE WHEN source = 'own' THEN ts ELSE ts + INTERVAL 1 DAY END")} AS written_at
 FROM page_store""",
+    "upsert_ties": f"""WITH {PAGE_STORE}
+SELECT page_id, 'copy 3' AS title, source, {stamp("ts + INTERVAL 1 DAY")} AS written_at FROM page_store""",
     "patch_clusters": f"""WITH {PAGE_STORE}
 SELECT page_id, url,
        CAST(CASE WHEN cluster_id >= 5 THEN cluster_id + 100 ELSE cluster_id END AS INTEGER)
@@ -373,12 +378,22 @@ FROM actions LEFT JOIN outcome USING (domain)""",
 
     "query_list": """
 SELECT conv_id AS seq, text AS query FROM conversations
-WHERE turn = 0 AND role = 'user' AND conv_id < 50""",
+WHERE turn = 0 AND role = 'user' ORDER BY conv_id, text LIMIT 50""",
     "jobs_seed": f"""WITH {JOBS}
 SELECT {JOB_COLUMNS} FROM jobs
 UNION ALL
 SELECT 'query ' || c_custkey, 'pending', '2024-01-30 12:00:00', NULL, NULL, NULL FROM customer
 WHERE 'query ' || c_custkey NOT IN (SELECT query FROM jobs)""",
+    "jobs_seed_order": f"""WITH {JOBS}, fresh AS (
+  SELECT -c_custkey AS seq, 'query ' || c_custkey AS query FROM customer
+  WHERE 'query ' || c_custkey NOT IN (SELECT query FROM jobs))
+SELECT seq, query, status FROM jobs
+UNION ALL
+SELECT seq + 1 + (SELECT max(seq) FROM jobs) - (SELECT min(seq) FROM fresh), query, 'pending' FROM fresh""",
+    "jobs_seed_reset": """
+SELECT 'query ' || c_custkey AS query, 'pending' AS status, '2024-01-30 12:00:00' AS created_at,
+       CAST(NULL AS VARCHAR) AS started_at, CAST(NULL AS VARCHAR) AS finished_at,
+       CAST(NULL AS VARCHAR) AS error FROM customer""",
     "jobs_stale": f"""WITH {JOBS}, fresh AS (
   SELECT * REPLACE (CASE WHEN stale THEN 'pending' ELSE status END AS status,
                     CASE WHEN stale THEN NULL ELSE started_at END AS started_at)
@@ -487,7 +502,7 @@ FROM page_store""",
     "ingest_metadata": f"""WITH {KEYWORDS}
 SELECT page_id, CASE WHEN m = 1 THEN 'llm' ELSE 'tfidf' END AS metadata_mode,
        CASE WHEN m = 1 THEN title ELSE '' END AS summary,
-       CASE WHEN m = 1 THEN substr(title, 1, 5) || ', ' || least(length(content), 15000)
+       CASE WHEN m = 1 THEN substr(title, 1, 5) || ', ' || length(content)
             ELSE coalesce(keywords, '') END AS keywords
 FROM (SELECT *, CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 3 AS m FROM page_store)
 LEFT JOIN (

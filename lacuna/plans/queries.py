@@ -87,8 +87,13 @@ def gap_filter_missing(spark, sf):
         "cluster_id", "page_count", "coverage_score")
 
 
+def gap_filter_covered(spark, sf):
+    return gap.filter_report(_report(spark, sf, HIGH), "covered").select(
+        "cluster_id", "page_count", "coverage_score")
+
+
 def gap_filter_min_pages(spark, sf):
-    return gap.filter_report(_report(spark, sf, HIGH), "all", 45).select(
+    return gap.filter_report(_report(spark, sf, HIGH), "all", 41).select(
         "cluster_id", "page_count", "covered")
 
 
@@ -268,6 +273,17 @@ def upsert_lww(spark, sf):
                          stamp("timestamp").alias("written_at"))
 
 
+def upsert_ties(spark, sf):
+    """Two copies of each page in one delivery, written at one time: the later arrival wins."""
+    pages = views.page_store(spark, sf).drop("content")
+    copies = F.explode(F.array(F.lit(2), F.lit(1), F.lit(3)))
+    batch = pages.withColumn("arrival", copies).withColumns({
+        "title": F.concat(F.lit("copy "), F.col("arrival").cast("string")),
+        "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 DAY")})
+    return store.upsert_pages(pages, batch).select(
+        "page_id", "title", "source", stamp("timestamp").alias("written_at"))
+
+
 def patch_clusters(spark, sf):
     pages = views.page_store(spark, sf)
     patch = pages.filter(F.col("cluster_id") >= 5).select(
@@ -284,7 +300,7 @@ def _organic(spark, sf):
 
 
 def _stored(spark, sf):
-    """Earlier crawl: pages of every query but the first ten, as competitor pages."""
+    """Earlier crawl: results ranked after the fifth, as competitor pages."""
     seen = views.search_results(spark, sf).filter(F.col("rank") > 5)
     return seen.select("url", tx.domain_of(F.col("url")).alias("domain"),
                        F.lit("competitor").alias("source"))
@@ -356,6 +372,24 @@ def jobs_seed(spark, sf):
     return _job_rows(jobs.seed_jobs(known, fresh, _utc(NOW)))
 
 
+def _customer_list(spark, sf):
+    return views.table(spark, sf, "customer").select(
+        (-F.col("c_custkey")).alias("seq"),
+        F.concat(F.lit("query "), F.col("c_custkey").cast("string")).alias("query"))
+
+
+def jobs_seed_order(spark, sf):
+    """Jobs after seeding a list in falling order: new jobs follow all old ones."""
+    return jobs.seed_jobs(views.jobs_view(spark, sf), _customer_list(spark, sf), _utc(NOW)).select(
+        "seq", "query", "status")
+
+
+def jobs_seed_reset(spark, sf):
+    """Seeding that starts from an empty table."""
+    rows = jobs.seed_jobs(views.jobs_view(spark, sf), _customer_list(spark, sf), _utc(NOW), reset=True)
+    return _job_rows(rows)
+
+
 def jobs_stale(spark, sf):
     return _job_rows(jobs.reset_stale(views.jobs_view(spark, sf), _utc(NOW)))
 
@@ -531,11 +565,9 @@ def gap_roundtrip(spark, sf):
     pages = views.page_store(spark, sf)
     report = gap.gap_report(pages, HIGH)
     reports.write_gap_report(report, gap.gap_summary(report, pages, HIGH), out)
-    summary = reports.read_gap_summary(spark, out).select(
-        "total_clusters", F.lit(1).alias("one"))
+    summary = reports.read_gap_summary(spark, out).select("total_clusters")
     best = F.col("best_own_page")
-    return reports.read_gap_report(spark, out).withColumn("one", F.lit(1)).join(
-        summary, "one").select(
+    return reports.read_gap_report(spark, out).crossJoin(F.broadcast(summary)).select(  # one row
         "cluster_id", "cluster_label", "page_count", "covered", "coverage_score",
         "min_distance_to_own", best["url"].alias("best_url"),
         F.size("example_pages").cast("bigint").alias("examples"), "total_clusters")
@@ -634,15 +666,15 @@ def stream_silence(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     gap_report, gap_report_077, gap_summary, gap_coverage_pct, gap_examples, gap_cards,
-    gap_filter_missing, gap_filter_min_pages, top_clusters,
+    gap_filter_missing, gap_filter_covered, gap_filter_min_pages, top_clusters,
     own_pages, option_lists, assigned_pages, domain_filter, store_stats, competitor_domains,
     distinct_counts, dashboard, top_domains, map_view_filtered, map_layers, map_counts,
     explorer_search, explorer_filter, detail_rows, page_defaults,
     page_keywords, topic_labels, topic_labels_title_fallback,
     ingest_titles, ingest_text, ingest_records, url_domains, discover_links, site_map,
-    upsert_lww, patch_clusters,
+    upsert_lww, upsert_ties, patch_clusters,
     top_k_results, frontier_actions, unknown_domains, page_cap, incomplete_domains, crawl_report,
-    query_list, jobs_seed, jobs_stale, jobs_retry, jobs_retry_count, jobs_outcomes,
+    query_list, jobs_seed, jobs_seed_order, jobs_seed_reset, jobs_stale, jobs_retry, jobs_retry_count, jobs_outcomes,
     jobs_next_batch, jobs_started, jobs_stats, jobs_failed,
     usage_totals, usage_cost, usage_projection,
     log_text_blocks, log_raw_lines, log_tool_counts, log_denied, log_errors, log_limit_hits,

@@ -14,14 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with content, vector and a planted topic id per page."""
+    """Every document as a page with a planted topic id; vector is NULL where none is known."""
     docs = table(spark, sf_dir, "documents")
     vecs = table(spark, sf_dir, "embeddings")
     own = F.col("doc_id") % 10 == 0
     noise = F.col("doc_id") % 13 == 0
     host = F.concat(F.col("source"), F.lit(".example"))
     url = F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string"))
-    return docs.join(vecs, F.col("doc_id") == F.col("vec_id")).select(
+    topic = F.floor(F.col("doc_id") / 10) % 10
+    return docs.join(vecs, F.col("doc_id") == F.col("vec_id"), "left").select(
         tx.page_id(url).alias("page_id"),
         url.alias("url"),
         F.substring("text", 1, 60).alias("title"),
@@ -34,9 +35,9 @@ def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.snippet(F.col("text")).alias("content_snippet"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("timestamp"),
         F.col("embedding").alias("vector"),
-        F.when(own | noise, -1).otherwise(F.col("label")).cast("int").alias("cluster_id"),
+        F.when(own | noise, -1).otherwise(topic).cast("int").alias("cluster_id"),
         F.when(own, "").when(noise, "noise").otherwise(
-            F.concat(F.lit("topic "), F.col("label").cast("string"))).alias("cluster_label"),
+            F.concat(F.lit("topic "), topic.cast("string"))).alias("cluster_label"),
         F.col("text").alias("content"),
     )
 

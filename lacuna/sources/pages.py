@@ -24,14 +24,16 @@ def with_defaults(pages: DataFrame) -> DataFrame:
 
 
 def latest_pages(rows: DataFrame) -> DataFrame:
-    """One row per page id: the newest by (timestamp, seq), taken whole.
+    """One row per page id: the newest by (timestamp, seq, arrival), taken whole.
 
-    The rank filter also runs before the shuffle, so a page delivered very often
+    ``arrival`` (order inside a delivery) is optional. What still ties is ordered by a
+    hash of the whole row, so no layout or retry changes the winner. The rank filter also runs before the shuffle, so a page delivered very often
     leaves each map task as one row.
     """
-    w = Window.partitionBy("page_id").orderBy(F.desc("timestamp"), F.desc("seq"))
+    order = [F.desc(c) for c in ("timestamp", "seq", "arrival") if c in rows.columns]
+    w = Window.partitionBy("page_id").orderBy(*order, F.xxhash64(*sorted(rows.columns)))
     return (rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
-            .drop("rn", "seq"))
+            .drop("rn", "seq", "arrival"))
 
 
 def upsert_pages(store: DataFrame, batch: DataFrame) -> DataFrame:

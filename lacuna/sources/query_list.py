@@ -28,5 +28,5 @@ def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> Da
 
 
 def first_queries(queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """First ``limit`` queries by sequence number; 0 or None keeps all."""
-    return queries.filter(F.col("seq") < limit) if limit else queries
+    """The ``limit`` queries with the smallest sequence numbers; 0 or None keeps all."""
+    return queries.orderBy("seq", "query").limit(limit) if limit else queries
