@@ -22,13 +22,14 @@ from lacuna.operators.lineage import cut
 
 #: Labelled rows that a model is fitted on, about; a larger table is thinned by a hash of the id.
 TRAINING_ROWS = 20_000
-#: Terms of a model, by chi-square; each occurs in at least LEAST_ROWS training rows.
+#: Most terms of a model, by chi-square; each occurs in at least LEAST_ROWS training rows.
 TERMS = 1000
 LEAST_ROWS = 3
+LEAST_CHI = 10.83  # chance passes it once in a thousand terms
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
 ITERATIONS = 50
-REGULARISATION = 1e-5
+REGULARISATION = 1e-4
 THRESHOLD = 0.5
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -78,7 +79,7 @@ def _vocabulary(counts: DataFrame, train: DataFrame, label: str, without: int |
     odd = both * n - has * yes
     spread = has * (n - has) * yes * (n - yes)
     chi = F.when(spread > 0, odd * odd * n / spread)
-    best = counts.filter(has >= LEAST_ROWS).select("term", chi.alias("chi")).filter("chi > 0")
+    best = counts.filter(has >= LEAST_ROWS).select("term", chi.alias("chi")).filter(F.col("chi") >= LEAST_CHI)
     return [r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
 
 
