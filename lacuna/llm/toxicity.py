@@ -47,15 +47,19 @@ class Chain(NamedTuple):
     models: tuple[Model | float, ...]
 
 
+def _beginnings(chars: int) -> Column:
+    """The first ``chars`` characters of all words that have as many, marked."""
+    long = F.filter("words", lambda w: F.char_length(w) >= chars)
+    return F.transform(long, lambda w: F.concat(F.lit("^"), F.substring(w, 1, chars)))
+
+
 def _terms(docs: DataFrame) -> DataFrame:
     """``docs`` with ``terms``: the lower-cased words of ``text`` and, marked, their beginnings."""
     words = F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), _SPACE)
     words = F.array_distinct(F.filter(words, lambda w: w != ""))
     # an array column of its own, so that the words are split once
     rows = docs.withColumn("words", F.explode(F.array(words)))
-    begun = [F.transform(F.filter("words", lambda w, n=n: F.char_length(w) >= n),
-                         lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in BEGINNINGS]
-    return rows.withColumn("terms", F.concat("words", *begun)).drop("words")
+    return rows.withColumn("terms", F.concat("words", *map(_beginnings, BEGINNINGS))).drop("words")
 
 
 def _term_counts(train: DataFrame, labels: Sequence[str]) -> DataFrame:
