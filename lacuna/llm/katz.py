@@ -35,10 +35,10 @@ LARGE = 5
 HEAVY = 4096
 SALTS = 16
 #: Tokens and documents packed at a time, and tokens of a part.
-BATCH_TOKENS, BATCH_DOCS = 1 << 21, 1 << 15
+BATCH_TOKENS, BATCH_DOCS = 1 << 20, 1 << 15
 PART_TOKENS = 1 << 23
 #: Pieces of a part, which are in memory one after the other.
-PIECES = 4
+PIECES = 16
 
 _U = np.uint64
 _START, _END = _U(0x5354415254), _U(0x454E44)
@@ -124,7 +124,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())],
                                           names=["word", "n"])
 
-    for batch in batches:
+    for batch in words.slices(batches):
         for text in batch.column(0):
             held.append(_tokens(text.as_py()))
         if sum(map(len, held)) >= BATCH_TOKENS:
@@ -191,7 +191,7 @@ def _pack_bigrams(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, parts: i
         ids, held, texts, size, number = [], [], [], 0, number + 1
         return _rows(rows)
 
-    for batch in batches:
+    for batch in words.slices(batches):
         for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             ids.append(doc)
             held.append(out)
@@ -309,7 +309,8 @@ def _own_words(batches: Iterator[pa.RecordBatch], uni: Unigrams, heavy: np.ndarr
         return rows
 
     for batch in batches:
-        for part, at, of_batch, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in range(batch.num_rows):  # one blob at a time leaves the batch
+            part, at, of_batch, blob = (c[row].as_py() for c in batch.columns)
             if at < 0:
                 yield _out([(_DOCS, of_batch, blob)])
                 continue
@@ -357,7 +358,8 @@ def _own_histories(batches: Iterator[pa.RecordBatch], keep: np.ndarray, unknown:
         return rows
 
     for batch in batches:
-        for kind, key, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in range(batch.num_rows):
+            kind, key, blob = (c[row].as_py() for c in batch.columns)
             if key != bin_ and blobs:
                 if rows := settle():
                     yield _out(rows)
@@ -384,7 +386,8 @@ def _own_documents(batches: Iterator[pa.RecordBatch], keep: np.ndarray, start: i
              pa.array(table[:, 1]), pa.array(score)], schema=schema)
 
     for batch in batches:
-        for kind, key, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in range(batch.num_rows):
+            kind, key, blob = (c[row].as_py() for c in batch.columns)
             if kind == _DOCS:
                 if current is not None:
                     yield result()
@@ -432,7 +435,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     shared = spark.sparkContext.broadcast((uni, heavy, heavy_n))
     packed = rows.mapInArrow(lambda b: _pack_bigrams(b, shared.value[1], parts),
                              "part bigint, piece int, batch bigint, blob binary")
-    dealt = packed.repartition(parts, "part").sortWithinPartitions("part", "piece")
+    dealt = packed.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "piece")
     known = cut(dealt.mapInArrow(lambda b: _own_words(b, *shared.value, parts * PIECES), _OUT_DDL))
 
     classes = np.zeros(LARGE + 2, dtype=np.int64)
