@@ -151,16 +151,16 @@ def _alike(a_n: Column, b_n: Column) -> Column:
     return F.least(a_n, b_n) * DENOMINATOR >= F.greatest(a_n, b_n) * NUMERATOR
 
 
-def _needed() -> Column:
-    """Shingles that the rare ends of a pair (u_n, v_n) must share to reach the threshold.
+def _needed(a_n: Column, b_n: Column) -> Column:
+    """Shingles that the rare ends of two sets of these sizes must share to reach the threshold.
 
     What is common and not in both rare ends lies beyond the rare end that stops first.
     """
     def up(x: Column, by: int) -> Column:
         return F.floor((x + (by - 1)) / by)
 
-    total = up((F.col("u_n") + F.col("v_n")) * NUMERATOR, NUMERATOR + DENOMINATOR)
-    return total + 1 - up(F.greatest("u_n", "v_n") * NUMERATOR, DENOMINATOR)
+    total = up((a_n + b_n) * NUMERATOR, NUMERATOR + DENOMINATOR)
+    return total + 1 - up(F.greatest(a_n, b_n) * NUMERATOR, DENOMINATOR)
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
     a, p = ranked.alias("a"), pivots.alias("p")
     star = a.join(p, "shingle").filter((F.col("a.class") != F.col("p.class")) & _alike(F.col("a.n"), F.col("p.n")))
     star = cut(star.select(*_pairs("a", "p")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
-               .filter(F.col("common") * 2 >= _needed()).drop("common"))
+               .filter(F.col("common") * 2 >= _needed(F.col("u_n"), F.col("v_n"))).drop("common"))
     links = cut(_verified(star, cut(_sets(star, classes, rows, shared, width, bits))))
     found = cut(connected_components(links))
 
@@ -269,12 +269,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
         "shingle", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     mixed = mixed.filter("least < most").select("shingle")
-    apart = cut(placed.join(mixed, "shingle"))
+    # in how many such lists a class is bounds what it can share with any other there
+    apart = cut(placed.join(mixed, "shingle").withColumn(
+        "lists", F.count(F.lit(1)).over(Window.partitionBy("class"))))
     a, b = apart.alias("a"), apart.alias("b")
     across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component"))
-                    & _alike(F.col("a.n"), F.col("b.n")))
+                    & _alike(F.col("a.n"), F.col("b.n"))
+                    & (F.least("a.lists", "b.lists") >= _needed(F.col("a.n"), F.col("b.n"))))
     across = across.select(*_pairs("a", "b")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
-    rest = cut(across.filter(F.col("common") >= _needed()).drop("common")
+    rest = cut(across.filter(F.col("common") >= _needed(F.col("u_n"), F.col("v_n"))).drop("common")
                .join(star.select("u", "v"), ["u", "v"], "left_anti"))
     more = _verified(rest, cut(_sets(rest, classes, rows, shared, width, bits)))
     component = cut(connected_components(links.unionByName(more)))
