@@ -7,6 +7,9 @@ segments whose anchor occurs in several documents are indexed, each different
 segment once, for its earliest document. A shard is a compressed FM-index; its segments are searched
 backwards through it, which gives matching statistics cut at ``window`` words, and for
 every full match the earliest document in its interval.
+
+An anchor that many different segments share, such as one in a footer with other words around it in
+each document, would outgrow a shard. Its windows are dealt by their own hashes instead.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import words
@@ -26,8 +29,10 @@ from lacuna.operators.lineage import cut
 WINDOW = 50
 #: Words in the groups that anchors are chosen from.
 GROUP = 8
-#: Words in a shard's index, about; a shard is never smaller than one anchor's segments.
+#: Words in a shard's index, about.
 SHARD_WORDS = 1 << 18
+#: An anchor whose different segments have more than this part of a shard's words is in no shard.
+HOT_PART = 4
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -92,15 +97,15 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, group: int) ->
 
 
 def _segment_texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, anchor, seg_a, seg_b, words) of the segments listed with each text."""
-    names = ["key", "anchor", "seg_a", "seg_b", "words"]
+    """Rows (key, anchor, seg_a, seg_b, hot, words) of the segments listed with each text."""
+    names = ["key", "anchor", "seg_a", "seg_b", "hot", "words"]
     for batch in batches:
         rows: list[tuple] = []
         for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             split = words.split_words(text.as_py())
             for p in places:
                 run = split[p["start"]:p["start"] + p["windows"] + window - 1]
-                rows.append((key, p["anchor"], p["seg_a"], p["seg_b"], b" ".join(run)))
+                rows.append((key, p["anchor"], p["seg_a"], p["seg_b"], p["hot"], b" ".join(run)))
             if len(rows) >= 4096:
                 yield _batch(rows, names)
                 rows = []
@@ -112,6 +117,41 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, seg_a, seg_b, at, win_a, win_b) of every window of the given segments."""
+    names = ["key", "seg_a", "seg_b", "at", "win_a", "win_b"]
+    for batch in batches:
+        for small in words.slices([batch]):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for key, seg_a, seg_b, run in zip(*(c.to_pylist() for c in small.columns)):
+                hashes = words.word_hashes(run.split(b" "))
+                at = np.arange(len(hashes) - window + 1)
+                a, b = _run_hashes(hashes, at, at + window)
+                one = np.ones(len(at), dtype=np.int64)
+                for column, values in zip(out, (one * key, one * seg_a, one * seg_b, at, a.view(np.int64), b.view(np.int64))):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+
+
+def _least_by_window(hot: DataFrame, window: int) -> DataFrame:
+    """What ``_search`` finds, (seg_a, seg_b, at, least), for segments (key, seg_a, seg_b, words).
+
+    Windows are known by two 64-bit hashes, as segments are. Minima are combined before the
+    shuffle, and the windows that are equal meet them in a join that can be split.
+    """
+    every = cut(hot.mapInArrow(
+        lambda b: _window_rows(b, window),
+        "key bigint, seg_a bigint, seg_b bigint, at bigint, win_a bigint, win_b bigint"))
+    least = cut(every.groupBy("win_a", "win_b").agg(F.min("key").alias("least")))
+    listed = every.join(least, ["win_a", "win_b"]).groupBy("seg_a", "seg_b").agg(
+        F.sort_array(F.collect_list(F.struct("at", "least"))).alias("runs"))
+    # only where the earliest document changes
+    runs = F.filter("runs", lambda r, i: (i == 0) | (r["least"] != F.get("runs", i - 1)["least"]))
+    return listed.select("seg_a", "seg_b", runs.alias("runs")).select(
+        "seg_a", "seg_b", F.col("runs.at").alias("at"), F.col("runs.least").alias("least"))
+
+
 def _search(rows: list[tuple], window: int) -> pa.RecordBatch:
     """Index the segments of one shard and look each of them up."""
     codes: dict[bytes, int] = {}
@@ -162,30 +202,39 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     rows = docs.mapInArrow(
         lambda b: _segment_rows(b, window, group),
         "key bigint, text_hash bigint, start int, windows int, anchor bigint, seg_a bigint, seg_b bigint")
-    same = Window.partitionBy("anchor")
-    shared = cut(rows.withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-                 .filter("first < last").drop("first", "last"))
+    rows = cut(rows)
+    several = cut(rows.groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+                  .filter("first < last").select("anchor"))
+    shared = cut(rows.join(several, "anchor"))
 
     # one occurrence of each different segment, the earliest, goes into the index
-    chosen = shared.groupBy("anchor", "seg_a", "seg_b").agg(
-        F.min(F.struct("key", "text_hash", "start", "windows")).alias("rep"))
-    per_doc = chosen.groupBy(F.col("rep.key").alias("key"), F.col("rep.text_hash").alias("text_hash")).agg(
+    chosen = cut(shared.groupBy("anchor", "seg_a", "seg_b").agg(
+        F.min(F.struct("key", "text_hash", "start", "windows")).alias("rep")))
+    heavy = cut(chosen.groupBy("anchor").agg(F.sum(F.col("rep.windows") + (window - 1)).alias("words"))
+                .filter(F.col("words") * HOT_PART > shard_words).select("anchor", F.lit(True).alias("hot")))
+    marked = chosen.join(heavy, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    per_doc = marked.groupBy(F.col("rep.key").alias("key"), F.col("rep.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct(F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"),
-                                "anchor", "seg_a", "seg_b")).alias("places"))
+                                "anchor", "seg_a", "seg_b", "hot")).alias("places"))
     texts = docs.join(per_doc, ["key", "text_hash"]).select("key", "text", "places", "text_hash")
     texts = texts.dropDuplicates(["key", "text_hash"]).select("key", "text", "places")
     indexed = cut(texts.mapInArrow(
-        lambda b: _segment_texts(b, window), "key bigint, anchor bigint, seg_a bigint, seg_b bigint, words binary"))
+        lambda b: _segment_texts(b, window),
+        "key bigint, anchor bigint, seg_a bigint, seg_b bigint, hot boolean, words binary"))
 
     spark = docs.sparkSession
-    size = indexed.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    cold = indexed.filter("not hot")
+    size = cold.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, int(size // (6 * shard_words)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (indexed.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    dealt = (cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
              .repartition(parts, "shard").sortWithinPartitions("shard", "seg_a", "seg_b")
              .select("shard", "key", "seg_a", "seg_b", "words"))
     found = cut(dealt.mapInArrow(
         lambda b: _search_shards(b, window), "seg_a bigint, seg_b bigint, at array<bigint>, least array<bigint>"))
+    if not heavy.isEmpty():
+        found = cut(found.unionByName(_least_by_window(
+            indexed.filter("hot").select("key", "seg_a", "seg_b", "words"), window)))
 
     # a run of windows whose earliest document lies before this one
     hit = shared.join(found, ["seg_a", "seg_b"])

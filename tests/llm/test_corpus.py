@@ -155,6 +155,36 @@ def test_short_windows_and_texts(spark):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_footer_in_many_documents_stays_out_of_the_shards(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    footer, passage = [f"f{i}" for i in range(40)], [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(240):
+        head, tail = ([f"w{k}" for k in rng.integers(0, 10 ** 6, 60)] for _ in range(2))
+        if i % 6 == 0:
+            head[-20:] = passage[:20]
+        if i % 9 == 0:
+            tail[:30] = passage
+        rows.append((i, " ".join(head + footer + tail)))
+    rows += [(240 + i, t) for i, (_, t) in enumerate(rows[:40])] + [(None, rows[50][1])]
+    most, search = 3000, substrings._search_shards
+
+    def bounded(batches, window):
+        def counted():
+            words_of = Counter()
+            for batch in batches:
+                for shard, text in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                    words_of[shard] += len(text.split())
+                    assert words_of[shard] <= 2 * most, "a shard has outgrown its bound"
+                yield batch
+        return search(counted(), window)
+
+    monkeypatch.setattr(substrings, "_search_shards", bounded)
+    monkeypatch.setattr(substrings.repeated_windows, "__defaults__", (substrings.WINDOW, substrings.GROUP, most))
+    got = substrings.remove_repeats(documents(spark, rows).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0] is None, r)) == removed(rows, substrings.WINDOW)
+
+
 def katz_scores(rows, held):
     tokens = [words(t, lower=True) + [None] for _, t in rows]
     uni, bi = Counter(), Counter()
