@@ -1,8 +1,9 @@
 """Judging URLs by rules and by trust that spreads over host links.
 
-Rules decide the URLs they fit. Their hosts seed two personalised PageRanks: trust flows
-from allowed hosts along links, distrust flows from blocked hosts against them, to the
-hosts that link there. A host whose distrust exceeds its trust by a threshold is blocked. All steps are column expressions, joins and sums.
+Rules decide the URLs they fit. Their hosts seed trust and distrust: trust is a personalised
+PageRank from allowed hosts along links; distrust comes against them from blocked hosts to those
+that link there, each taking the share of its own links, so however many others link to a
+blocked host, it takes the same. A host whose distrust exceeds its trust by a threshold is blocked. All steps are column expressions, joins and sums.
 """
 
 from __future__ import annotations
@@ -70,6 +71,13 @@ def _shares(edges: DataFrame, kind: str, source: str, target: str) -> DataFrame:
         (F.col("pages") / F.col("total")).alias("share"))
 
 
+def _taken(edges: DataFrame) -> DataFrame:
+    """Links of both kinds for judging: a host's distrust is shared by what its own links say."""
+    trust = _shares(edges, "trust", "src", "dst")
+    return trust.unionByName(trust.select(
+        F.lit("distrust").alias("kind"), F.col("to").alias("host"), F.col("host").alias("to"), "share"))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
               damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank) after ``rounds`` rounds of personalised PageRank.
@@ -80,8 +88,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     skew splitting, as their other side has one row. Rank of hosts without links is
     not passed on.
     """
-    links = cut(_shares(edges, "trust", "src", "dst").unionByName(
-        _shares(edges, "distrust", "dst", "src")))
+    return _rounds(cut(_shares(edges, "trust", "src", "dst").unionByName(
+        _shares(edges, "distrust", "dst", "src"))), seeds, rounds, damping)
+
+
+def _rounds(links: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
     start = cut(seeds.select("kind", "host", F.col("weight").alias("rank")))
     rank = start
     for done in range(1, rounds + 1):
@@ -114,7 +125,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], rounds: int =
     seeds = by_host.select("host", F.explode(F.create_map(
         F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "weight"),
     ).filter("weight > 0")
-    ranks = propagate(cut(host_edges(rows)), seeds, rounds, damping)
+    ranks = _rounds(cut(_taken(cut(host_edges(rows)))), seeds, rounds, damping)
     blocked = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(-F.col("rank"))).alias("net"),
     ).filter(F.round("net", 12) > threshold * (1 - damping)).select("host", F.lit(True).alias("blocked"))

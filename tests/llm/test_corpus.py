@@ -355,3 +355,13 @@ def test_distrust_flows_against_links(spark):
                     new[d] = new.get(d, 0) + 0.85 * rank[s] * n / out[s]
             rank = new
         assert {h: v for (k, h), v in got.items() if k == kind} == pytest.approx(rank)
+
+
+def test_distrust_does_not_shrink_with_other_links_to_a_blocked_host(spark):
+    rows = [(0, "https://bad.net/x", "")]
+    rows += [(i, f"https://farm{i}.com/a", link("bad.net")) for i in range(1, 30)]
+    rows += [(40, "https://mostly.com/a", link("bad.net", "one.com", "two.com")), (41, "https://good.org/fr/x", link("kept.com")),
+             (42, "https://kept.com/", link("bad.net"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages(spark, rows), RULES).collect()}
+    assert all(got[i] == "block" for i in range(30))
+    assert got[40] == got[41] == got[42] == "allow"
