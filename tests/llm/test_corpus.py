@@ -365,3 +365,25 @@ def test_distrust_does_not_shrink_with_other_links_to_a_blocked_host(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages(spark, rows), RULES).collect()}
     assert all(got[i] == "block" for i in range(30))
     assert got[40] == got[41] == got[42] == "allow"
+
+
+def test_ranks_settle_on_chains_and_circles(spark):
+    n = 17
+    rows = [(0, "https://h0.net/x", "")]
+    rows += [(i, f"https://h{i}.com/a", link(f"h{i - 1}.{'net' if i == 1 else 'com'}")) for i in range(1, n)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages(spark, rows), RULES).collect()}
+    want = [0.15 * 0.85 ** i > 0.5 * 0.15 for i in range(n)]
+    assert [got[i] == "block" for i in range(n)] == want
+
+    circle = [("a", "b", 1), ("b", "c", 2), ("c", "a", 1), ("c", "d", 3), ("b", "d", 1), ("d", "c", 1)]
+    edges = spark.createDataFrame(circle, "src string, dst string, pages bigint")
+    seeds = spark.createDataFrame([("trust", "a", 0.5), ("distrust", "d", 1.0)], "kind string, host string, weight double")
+    got = {(r.kind, r.host): r.rank for r in url_filter.settle(url_filter._taken(edges), seeds).collect()}
+    names = "abcd"
+    share = np.zeros((4, 4))
+    for s, d, k in circle:
+        share[names.index(s), names.index(d)] = k
+    share /= share.sum(axis=1, keepdims=True)
+    for kind, links, seed in (("trust", share.T, [0.5, 0, 0, 0]), ("distrust", share, [0, 0, 0, 1.0])):
+        solved = np.linalg.solve(np.eye(4) - 0.85 * links, 0.15 * np.array(seed))
+        np.testing.assert_allclose([got[kind, x] for x in names], solved, atol=2e-6)
