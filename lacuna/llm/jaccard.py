@@ -181,13 +181,18 @@ def _pairs(a: str, b: str) -> list[Column]:
             for name, x, y, c in (("u", a, b, "class"), ("v", b, a, "class"), ("u_n", a, b, "n"), ("v_n", b, a, "n"))]
 
 
+def _place(doc_id: Column, text_hash: Column) -> Column:
+    """Where a text is fetched by: a hash of its id, or of the text itself where there is none."""
+    return F.when(doc_id.isNull(), text_hash).otherwise(F.xxhash64(doc_id))
+
+
 def _listed(ids: DataFrame, spark) -> Column:
-    """A filter on doc_id that holds for all of ``ids`` (first) and for few others.
+    """A filter on ``place`` that holds for all of ``ids`` and for few others.
 
     It reads 2 ** FILTER_BITS bits, so that most texts nobody asked for are not shuffled.
     """
     wide = 1 << 15  # bits in one bitmap of Spark's bitmap functions
-    bit = F.pmod(F.xxhash64("first"), F.lit(1 << FILTER_BITS))
+    bit = F.pmod("place", F.lit(1 << FILTER_BITS))
     maps = (ids.select(F.floor(bit / wide).alias("page"), (bit % wide).alias("bit"))
             .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
     table = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
@@ -203,16 +208,17 @@ def _listed(ids: DataFrame, spark) -> Column:
         at = at.to_numpy()
         return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1).astype(bool)
 
-    return listed(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
+    return listed(F.pmod("place", F.lit(1 << FILTER_BITS)))
 
 
 def _sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shared, width: int, bits: int) -> DataFrame:
     """The fragments of all sets in ``pairs``, each read from its first document."""
     names = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
     wanted = cut(names.join(classes, "class"))
-    texts = rows.filter(_listed(wanted, rows.sparkSession)).join(
-        wanted, F.col("doc_id") == F.col("first")).select("class", "text")
-    # of rows that share an id, the one whose set is of the class
+    placed = rows.select(_place(F.col("doc_id"), F.xxhash64("text")).alias("place"), "text")
+    texts = placed.filter(_listed(wanted, rows.sparkSession)).join(
+        wanted.select("class", "place"), "place").select("class", "text")
+    # of rows that share a place, the one whose set is of the class
     return texts.mapInArrow(lambda b: _fragments(b, shared, width, bits),
                             "class bigint, fragment int, shingles array<bigint>").dropDuplicates(["class", "fragment"])
 
@@ -225,12 +231,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
     similarity of 0.8 or more; component_id is the smallest doc_id that links reach. Null
     texts and texts without words have no shingles and are linked with nothing. Rows with
     equal sets are one class (known by a 64-bit hash of the set), so repeated rows and copies
-    cost one set; a null doc_id is greater than any other. Sets compare by 64-bit hashes of
+    cost one set; a null doc_id is greater than any other, so component_id is null where links reach no id. Sets compare by 64-bit hashes of
     shingles. Any extra columns are ignored; an empty table gives no rows.
 
     The global order comes from 2 ** ``bits`` counters over all documents. Counters only decide
     how rare a shingle seems: any order gives the same links.
     """
+    return _grouped(docs, width, bits, fragments).drop("first_hash")
+
+
+def _grouped(docs: DataFrame, width: int, bits: int, fragments: int) -> DataFrame:
+    """The rows of near_duplicates, and the least text_hash of components without id as first_hash."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", "text")
@@ -242,7 +253,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
         f"doc_id {id_type.simpleString()}, text_hash bigint, n_shingles bigint, class bigint, block int, counts binary"))
     shared = spark.sparkContext.broadcast(_order(profile.filter("block is not null"), bits, fragments))
     members = profile.filter("block is null").select("doc_id", "text_hash", "n_shingles", "class")
-    classes = cut(members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first")))
+    classes = members.filter("n_shingles > 0").groupBy("class").agg(
+        F.min("doc_id").alias("first"), F.min("text_hash").alias("first_hash"))
+    classes = cut(classes.withColumn("place", _place(F.col("first"), F.col("first_hash"))))
 
     postings = rows.mapInArrow(lambda b: _prefixes(b, shared, width, bits),
                                "shingle bigint, class bigint, n int")
@@ -283,26 +296,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bits: int = ORDER_BITS,
     component = cut(connected_components(links.unionByName(more)))
 
     named = component.join(classes, F.col("node") == F.col("class"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("class", "component_id")
+    smallest = named.groupBy("component").agg(
+        F.min("first").alias("component_id"), F.min("first_hash").alias("least_hash"))
+    named = named.join(smallest, "component").select("class", "component_id", "least_hash")
     known = classes.join(named, "class", "left").select(
-        "class", F.coalesce("component_id", "first").alias("component_id"))
+        "class", F.coalesce("component_id", "first").alias("component_id"),
+        F.coalesce("least_hash", "first_hash").alias("first_hash"))
     empty = members.filter("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash",
+        F.col("text_hash").alias("first_hash"))
     return members.filter("n_shingles > 0").join(known, "class").select(
-        "doc_id", "n_shingles", "component_id", "text_hash").unionByName(empty)
+        "doc_id", "n_shingles", "component_id", "text_hash", "first_hash").unionByName(empty)
 
 
 def first_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents with the smallest doc_id of each group of near duplicates, all columns kept.
 
-    Rows of one id and text are one document. Documents without words stay, and so do those without
-    id unless a document with id is their near duplicate.
+    Rows of one id and text are one document. Documents without words stay. Of a group in which none
+    has an id, the text with the least hash stays.
     """
     last = (1 << 63) - 1
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("row_key")
-    near = near_duplicates(docs, width)
-    later = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    near = _grouped(docs, width, ORDER_BITS, FRAGMENTS)
+    nameless = F.col("component_id").isNull() & (F.col("text_hash") != F.col("first_hash"))
+    later = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | nameless).select(
         key, F.col("text_hash").alias("row_hash")).distinct()
     rows = docs.select(F.struct("*").alias("row"), key, F.xxhash64("text").alias("row_hash"))
     return (rows.dropDuplicates(["row_key", "row_hash"])

@@ -88,6 +88,23 @@ def test_first_of_each_group(spark):
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_copies_without_id(spark):
+    def edited(name, *places):
+        return " ".join(f"new{i}" if i in places else f"{name}{i}" for i in range(100))
+
+    # 3 and the second copy are linked only over the first, which has no id
+    rows = [(3, edited("a")), (None, edited("a", 0, 1, 2, 3, 4)), (None, edited("a", 0, 1, 2, 3, 4, *range(90, 100))),
+            (None, edited("b")), (None, edited("b", 50)), (None, edited("b", 50)), (None, edited("c")), (5, "other words"),
+            (None, None), (None, "")]
+    assert len({jaccard._class_of(jaccard.words.shingle_set(t, 5)) for _, t in rows}) == 8
+    got = jaccard.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(str(r.component_id) for r in got) == ["3"] * 3 + ["5"] + ["None"] * 6
+    kept = jaccard.first_of_each(documents(spark, rows)).collect()
+    assert sorted(t for i, t in ((r.doc_id, r.text) for r in kept) if t and t[0] != "b") == sorted(
+        t for t in (rows[0][1], rows[6][1], rows[7][1]))
+    assert sum((r.text or "").startswith("b") for r in kept) == 1 and len(kept) == 6
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))
