@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import jaccard, katz, mixing, packing, phrases, sharding, substrings, topk, toxicity, url_filter
+from lacuna.llm import (codes, jaccard, katz, mixing, packing, phrases, quality, ranked, sharding, substrings, topk,
+                        toxicity, url_filter)
 from lacuna.llm.sql import ORACLE  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"),
@@ -76,6 +77,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(_table(spark, sf_dir, "documents")).drop("host_verdict", "host", "n_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -87,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_katz": op9_katz,
     "op10_top_k": op10_top_k,
+    "op11_anchor_codes": op11_anchor_codes,
+    "op12_sketch_search": op12_sketch_search,
+    "op13_host_rules": op13_host_rules,
 }

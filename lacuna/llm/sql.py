@@ -100,10 +100,93 @@ _REPEATS = f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documen
         FROM w LEFT JOIN lost USING (doc_id))
     SELECT doc_id, len(w) AS n_words, removed AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
 
+
+
+def _codes(rounds: int = 6) -> str:
+    """One assignment and one table of entries per round; entries without parts stay."""
+    def nearest(k: int) -> str:
+        distance = "list_sum([(p.v[j] - e.v[j]) ** 2 for j in range(1, len(p.v) + 1)])::BIGINT"
+        return f"""a{k} AS MATERIALIZED (SELECT n, part, min(d) AS d, arg_min(entry, d * 256 + entry) AS entry FROM (
+            SELECT n, p.part, entry, {distance} AS d FROM parts p JOIN e{k} e ON p.part = e.part) GROUP BY n, part)"""
+
+    steps = []
+    for k in range(rounds):
+        steps.append(nearest(k))
+        steps.append(f"""e{k + 1} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(m.v, e.v) AS v FROM e{k} e LEFT JOIN (
+            SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY j) AS v FROM (
+                SELECT a.part, a.entry, j, sum(p.v[j])::DOUBLE AS s, count(*) AS n
+                FROM a{k} a JOIN parts p ON a.n = p.n AND a.part = p.part, unnest(range(1, len(p.v) + 1)) AS t(j)
+                GROUP BY ALL) GROUP BY part, entry) m ON m.part = e.part AND m.entry = e.entry)""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+            [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    parts AS MATERIALIZED (SELECT n, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS v
+        FROM v, unnest(range(8)) AS t(part)),
+    e0 AS MATERIALIZED (SELECT part, n - 1 AS entry, v FROM parts WHERE n <= 16),
+    {", ".join(steps)}, {nearest(rounds)},
+    coded AS MATERIALIZED (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+        FROM a{rounds} GROUP BY n),
+    books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM v JOIN coded USING (n), books"""
+
+
+_TERMS = r"""list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'), lambda x:
+        translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+
+_RANKED = f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS t FROM documents),
+    q AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+    c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM t WHERE len(t) > 0),
+    tf AS MATERIALIZED (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM t)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM tf, c GROUP BY term),
+    s AS (SELECT q, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf
+            + 8 * (100 - 90 + (90 * len(t) * n_docs) // n_terms))))::BIGINT AS score
+        FROM q JOIN tf USING (term) JOIN w USING (term) JOIN t USING (d), c GROUP BY q, item_id, d, doc_id)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *,
+        row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+def _host_rules() -> str:
+    """Features, failures by host, the prior's two moments for each rule, and verdicts."""
+    rules = {"short": "n_words < 20", "repeats": "n_repeat_words * 100 > n_words * 30", "symbols": "n_symbols * 10 > n_words",
+             "dup_lines": "n_dup_lines * 10 > n_lines * 3",
+             "word_length": "word_chars < n_words * 3 OR word_chars > n_words * 10"}
+    blank = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    host = ", ".join(f"sum(({rule})::INT)::DOUBLE AS {r}" for r, rule in rules.items())
+    mean = ", ".join(f"sum({r}) / sum(n) AS m_{r}, sum({r} * {r} / n) - sum({r}) * sum({r}) / sum(n) AS s_{r}" for r in rules)
+    within = ", ".join(f"CASE WHEN m_{r} * (1 - m_{r}) > 0 AND free > 0 THEN (s_{r} / (m_{r} * (1 - m_{r})) - (k - 1)) / free END AS w_{r}"
+                       for r in rules)
+    weight = ", ".join(f"CASE WHEN w_{r} > 0 THEN least(1e6, greatest(1e-3, 1 / w_{r} - 1)) ELSE 1e6 END::DOUBLE AS a_{r}" for r in rules)
+    share = ", ".join(f"round((h.{r} + m_{r} * a_{r}) / (h.n + a_{r}), 9) AS p_{r}" for r in rules)
+    doubtful = " OR ".join(f"(p_{r} > 0.2 AND ({rule}))" for r, rule in rules.items())
+    return rf"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+    g AS (SELECT d, i, array_to_string(w[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) AS t(i)),
+    twice AS (SELECT d, unnest(list(i)) AS i FROM g GROUP BY d, g HAVING count(*) > 1),
+    inside AS (SELECT d, count(DISTINCT i + j) AS n FROM twice, unnest(range(8)) AS t(j) GROUP BY d),
+    f AS MATERIALIZED (SELECT d, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+            coalesce(n, 0) AS n_repeat_words
+        FROM (SELECT *, [x for x in string_split(text, chr(10)) if trim(x, {blank}) <> ''] AS l FROM w) LEFT JOIN inside USING (d)),
+    h AS MATERIALIZED (SELECT source, count(*)::DOUBLE AS n, {host} FROM f GROUP BY source),
+    m AS (SELECT count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free, {mean} FROM h),
+    x AS (SELECT *, {within} FROM m), y AS (SELECT *, {weight} FROM x),
+    z AS MATERIALIZED (SELECT source AS host, {share} FROM h, y)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+            AND greatest({", ".join(f"p_{r}" for r in rules)}) <= 0.5 AND NOT ({doubtful}) AS kept
+    FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.host"""
+
+
 ORACLE = {
     "op2_url_filter": _url_filter(),
     "op3_jaccard_join": _COMPONENTS,
     "op6_sharding": _SHARDS,
     "op8_substring_dedup": _REPEATS,
     "op10_top_k": _TOP_K,
+    "op11_anchor_codes": _codes(),
+    "op12_sketch_search": _RANKED,
+    "op13_host_rules": _host_rules(),
 }
