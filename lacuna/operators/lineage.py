@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,26 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand at most ``rows`` rows at a time to Python in the jobs that run inside, for rows that are wide."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the work folder and read it back.
 
     The result survives the loss of executors, carries its true size for the
     choice of joins, and, unlike a checkpoint, none of the constraints that Spark
-    infers, which would grow with every round of an iterative job.
+    infers, which would grow with every round of an iterative job. ``batch_rows`` bounds what Python gets at a time.
     """
     path = f"{work_folder(df.sparkSession)}/lacuna-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, batch_rows) if batch_rows else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
