@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.llm import words
 from lacuna.operators.lineage import cut
 
 #: Coordinates of a sketch; only those that a document's terms fall on are stored.
@@ -87,7 +88,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Table of the profiles and sketches of all documents that have a term, built once for any queries."""
-    return cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: _profiles(b, width), _PROFILE))
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return cut(rows.mapInArrow(words.tidy(_profiles, width), _PROFILE), BLOCK)
 
 
 class Corpus(NamedTuple):
@@ -243,14 +245,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, width: int = WIDTH,
     def answer() -> DataFrame:
         batch = _prepared(asked, _weights(_frequencies(index, held), corpus.documents), width)
         shared = spark.sparkContext.broadcast(batch)
-        rows = index.mapInArrow(lambda b: _search(b, shared, corpus, k), "query int, task int, doc_id bigint, score bigint")
+        rows = index.mapInArrow(words.tidy(_search, shared, corpus, k), "query int, task int, doc_id bigint, score bigint")
         order = [F.desc("score"), F.asc_nulls_last("doc_id")]
         by_task = Window.partitionBy("query", F.col("task") % SALTS).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(by_task)).filter(F.col("rank") <= k)
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
         names = spark.createDataFrame([(n, item) for n, item, _ in asked], "query int, item_id bigint")
         found = cut(rows.filter(F.col("rank") <= k).join(F.broadcast(names), "query")
-                    .select("item_id", "rank", "doc_id", "score"))
+                    .select("item_id", "rank", "doc_id", "score"), BLOCK)
         shared.destroy()
         return found
 

@@ -66,7 +66,7 @@ def pages(host, good, symbols=0, short=0, first=0):
 def test_host_verdicts(spark):
     rows = pages("fine", 80, 4, 2) + pages("bad", 5, 95, 0, 1000) + pages("mixed", 60, 40, 0, 2000) + pages("new", 0, 2, 0, 3000)
     rows += pages(None, 20, 0, 1, 4000)
-    for i in range(10):
+    for i in range(100):
         rows += pages(f"plain{i}", 60, 2, 2, 5000 + 100 * i)
     docs = spark.createDataFrame([(*r, 1, True, "x") for r in rows], "doc_id long, text string, source string, n_words int, kept boolean, host string")
     got = {r.doc_id: r for r in quality.judge_documents(docs).collect()}
