@@ -32,8 +32,13 @@ ORDER_BITS = 20
 FRAGMENTS = 8
 #: log2 of the number of bits in the filter on documents whose sets are needed.
 FILTER_BITS = 23
+#: Words of 64 bits in the bitmaps that bound what two sets share.
+BITMAP = 4
+#: Rows that Python gets at a time.
+BATCH = 1024
 
 _BLOCKS = 64
+_SALTS = 32
 _FLUSH = 1 << 18
 
 
@@ -87,8 +92,11 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _order(blocks: DataFrame, bits: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """(rank, fragment) of every counter: 2 ** bits numbers each, whatever the size of the corpus."""
-    summed = (blocks.select("block", "counts").repartition("block")
-              .mapInArrow(_add_blocks, "block int, counts binary").collect())
+    schema = "block int, counts binary"
+    # every task has counted, so groups of tasks are summed before all of them
+    salted = blocks.select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))
+    some = salted.repartition("block", "salt").select("block", "counts").mapInArrow(_add_blocks, schema)
+    summed = some.repartition("block").mapInArrow(_add_blocks, schema).collect()
     counts = np.zeros(1 << bits, dtype=np.int64)
     size = len(counts) // _BLOCKS
     for row in summed:
@@ -163,6 +171,19 @@ def _needed(a_n: Column, b_n: Column) -> Column:
     return total + 1 - up(F.greatest(a_n, b_n) * NUMERATOR, DENOMINATOR)
 
 
+def _bitmap(shingle: str) -> list[Column]:
+    """Aggregates that give BITMAP words of 64 bits, with a bit set for each shingle."""
+    at = F.shiftrightunsigned(F.col(shingle), 6).bitwiseAND(F.lit(BITMAP - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(shingle).bitwiseAND(F.lit(63)).cast("int"))
+    return [F.bit_or(F.when(at == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{i}") for i in range(BITMAP)]
+
+
+def _most_shared(a: str, b: str) -> Column:
+    """Upper bound of the shingles that two rows' lists share: where bitmaps differ, one set has what the other lacks."""
+    differ = sum((F.bit_count(F.col(f"{a}.bits{i}").bitwiseXOR(F.col(f"{b}.bits{i}"))) for i in range(BITMAP)), F.lit(0))
+    return (F.col(f"{a}.lists") + F.col(f"{b}.lists") - differ) / 2
+
+
 def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """The pairs (u, v, u_n, v_n) at or above the threshold."""
     left = fragments.select(F.col("class").alias("u"), "fragment", F.col("shingles").alias("us"))
@@ -219,7 +240,7 @@ def _sets(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shared, width:
     texts = placed.filter(_listed(wanted, rows.sparkSession)).join(
         wanted.select("class", "place"), "place").select("class", "text")
     # of rows that share a place, the one whose set is of the class
-    return texts.mapInArrow(lambda b: _fragments(b, shared, width, bits),
+    return texts.mapInArrow(words.tidy(_fragments, shared, width, bits),
                             "class bigint, fragment int, shingles array<bigint>").dropDuplicates(["class", "fragment"])
 
 
@@ -249,21 +270,23 @@ def _grouped(docs: DataFrame, width: int, bits: int, fragments: int) -> DataFram
 
     kind = to_arrow_type(id_type)
     profile = cut(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        lambda b: _profiles(b, width, bits, kind),
-        f"doc_id {id_type.simpleString()}, text_hash bigint, n_shingles bigint, class bigint, block int, counts binary"))
+        words.tidy(_profiles, width, bits, kind),
+        f"doc_id {id_type.simpleString()}, text_hash bigint, n_shingles bigint, class bigint, block int, counts binary"), BATCH)
     shared = spark.sparkContext.broadcast(_order(profile.filter("block is not null"), bits, fragments))
     members = profile.filter("block is null").select("doc_id", "text_hash", "n_shingles", "class")
     classes = members.filter("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("first"), F.min("text_hash").alias("first_hash"))
     classes = cut(classes.withColumn("place", _place(F.col("first"), F.col("first_hash"))))
 
-    postings = rows.mapInArrow(lambda b: _prefixes(b, shared, width, bits),
+    postings = rows.mapInArrow(words.tidy(_prefixes, shared, width, bits),
                                "shingle bigint, class bigint, n int")
     same = Window.partitionBy("shingle")
     lists = cut(postings.withColumn("least", F.min("class").over(same))
                 .withColumn("most", F.max("class").over(same))
                 .withColumn("size", F.count(F.lit(1)).over(same))
-                .filter("least < most").drop("least", "most"))
+                # a class comes once from each task that holds a copy
+                .withColumn("again", F.lag("class").over(same.orderBy("class")).eqNullSafe(F.col("class")))
+                .filter("least < most and not again").drop("least", "most", "again"), BATCH)
 
     # link each list to its most shared member
     degree = lists.groupBy("class").agg(F.sum("size").alias("degree"))
@@ -274,7 +297,7 @@ def _grouped(docs: DataFrame, width: int, bits: int, fragments: int) -> DataFram
     star = a.join(p, "shingle").filter((F.col("a.class") != F.col("p.class")) & _alike(F.col("a.n"), F.col("p.n")))
     star = cut(star.select(*_pairs("a", "p")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
                .filter(F.col("common") * 2 >= _needed(F.col("u_n"), F.col("v_n"))).drop("common"))
-    links = cut(_verified(star, cut(_sets(star, classes, rows, shared, width, bits))))
+    links = cut(_verified(star, cut(_sets(star, classes, rows, shared, width, bits), BATCH)))
     found = cut(connected_components(links))
 
     # what the stars left apart is compared across components
@@ -282,17 +305,17 @@ def _grouped(docs: DataFrame, width: int, bits: int, fragments: int) -> DataFram
         "shingle", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     mixed = mixed.filter("least < most").select("shingle")
-    # in how many such lists a class is bounds what it can share with any other there
-    apart = cut(placed.join(mixed, "shingle").withColumn(
-        "lists", F.count(F.lit(1)).over(Window.partitionBy("class"))))
+    apart = cut(placed.join(mixed, "shingle"))
+    # what a class has in such lists, and a bitmap of it, bound what it can share with any other there
+    apart = cut(apart.join(apart.groupBy("class").agg(F.count(F.lit(1)).alias("lists"), *_bitmap("shingle")), "class"))
     a, b = apart.alias("a"), apart.alias("b")
     across = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component"))
                     & _alike(F.col("a.n"), F.col("b.n"))
-                    & (F.least("a.lists", "b.lists") >= _needed(F.col("a.n"), F.col("b.n"))))
+                    & (_most_shared("a", "b") >= _needed(F.col("a.n"), F.col("b.n"))))
     across = across.select(*_pairs("a", "b")).groupBy("u", "v", "u_n", "v_n").agg(F.count(F.lit(1)).alias("common"))
     rest = cut(across.filter(F.col("common") >= _needed(F.col("u_n"), F.col("v_n"))).drop("common")
                .join(star.select("u", "v"), ["u", "v"], "left_anti"))
-    more = _verified(rest, cut(_sets(rest, classes, rows, shared, width, bits)))
+    more = _verified(rest, cut(_sets(rest, classes, rows, shared, width, bits), BATCH))
     component = cut(connected_components(links.unionByName(more)))
 
     named = component.join(classes, F.col("node") == F.col("class"))
