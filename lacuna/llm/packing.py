@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +26,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lacuna.llm import words
+from lacuna.operators.lineage import cut
+
 SENTENCE_PENALTY = 8.0
 BREAK_PENALTY = 64.0
 WINDOW_COST = 8.0
@@ -31,6 +36,12 @@ WINDOW_COST = 8.0
 BLOCK = 1 << 18
 #: Shortest window that may end at a power of two.
 LEAST_WINDOW = 64
+#: The merger's pattern tries every end of a run of white space and needs stack for each.
+LONG_BLANK = 1 << 16
+#: Rows that Python gets at a time.
+BATCH = 1024
+
+_BLANK = re.compile(r"\s++")
 
 
 class Vocabulary(NamedTuple):
@@ -58,18 +69,26 @@ def _tokenizer(vocabulary: Vocabulary):
 
 
 @functools.lru_cache(maxsize=2)
-def _special(vocabulary: Vocabulary) -> tuple[str, ...]:
-    return tuple(t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values())
+def _special(vocabulary: Vocabulary) -> dict[str, int]:
+    """Ids of the tokens that the tokenizer file adds to the vocabulary; read without building a tokenizer."""
+    with open(vocabulary.tokenizer, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def _blank_run(text: str) -> bool:
+    """Has the text a run of white space that is too long for the merger's pattern?"""
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANK.finditer(text))
 
 
-def encode(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
+def encode(text: str | None, vocabulary: Vocabulary, special: Mapping[str, int] | None = None) -> np.ndarray:
     """Ids of the tokenizer file, then id 0.
 
-    The merge ranks give the same ids several times faster; texts that spell a special
-    token go through the tokenizer itself.
+    The merge ranks give the same ids several times faster; texts that spell a special token, or hold
+    a run of LONG_BLANK characters of white space, go through the tokenizer itself.
     """
     text = text or ""
-    if any(token in text for token in _special(vocabulary)):
+    special = _special(vocabulary) if special is None else special
+    if any(token in text for token in special) or _blank_run(text):
         ids = _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
     else:
         ids = _merger(vocabulary).encode_ordinary(text)
@@ -78,10 +97,10 @@ def encode(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def _sentence_ends(vocabulary: Vocabulary) -> np.ndarray:
-    """Per id: does a sentence or a line end with it?"""
+def _sentence_ends(vocabulary: Vocabulary, size: int) -> np.ndarray:
+    """Per id below ``size``: does a sentence or a line end with it?"""
     merger = _merger(vocabulary)
-    ends = np.zeros(_tokenizer(vocabulary).get_vocab_size(), dtype=bool)
+    ends = np.zeros(max(size, merger.n_vocab), dtype=bool)
     for i in range(merger.n_vocab):
         token = merger.decode_single_token_bytes(i)
         ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in token
@@ -152,24 +171,25 @@ class _Run(NamedTuple):
     total: int
 
 
-def _plan(runs: list[_Run], vocabulary: Vocabulary, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _plan(runs: list[_Run], ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stream, starts of the runs, starts of the windows and the end of the stream)."""
     stream = np.concatenate([r.ids for r in runs])
     starts = np.cumsum([0] + [len(r.ids) for r in runs])
-    sentences = np.flatnonzero(_sentence_ends(vocabulary)[stream]) + 1
+    sentences = np.flatnonzero(ends[stream]) + 1
     at, penalty = cut_points(len(stream), starts[1:], sentences, limit)
     return stream, starts, at[best_cuts(at, penalty, limit)]
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, limit: int,
-                    schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _pack_partition(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, special: Mapping[str, int],
+                    limit: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    sentence_ends = _sentence_ends(vocabulary, 1 + max(special.values(), default=0))
     base, done = TaskContext.get().partitionId() << 33, 0
     runs: list[_Run] = []
     waiting = 0
 
     def emit(last: bool) -> pa.RecordBatch:
         nonlocal runs, waiting, done
-        stream, starts, cuts = _plan(runs, vocabulary, limit)
+        stream, starts, cuts = _plan(runs, sentence_ends, limit)
         stop = cuts[-1] if last else cuts[-2]
         raw = memoryview(stream.tobytes())
         edges = np.union1d(starts, cuts)
@@ -198,13 +218,14 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, l
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
-            tokens = encode(texts[i].as_py(), vocabulary)
+            tokens = encode(texts[i].as_py(), vocabulary, special)
             runs.append(_Run(ids[i].as_py(), 0, tokens, len(tokens)))
             waiting += len(tokens)
             if waiting >= BLOCK:
                 yield emit(last=False)
     if runs:
         yield emit(last=True)
+    _tokenizer.cache_clear()  # rarely needed, and large
 
 
 def pack(docs: DataFrame, vocabulary: Vocabulary, limit: int = 1024,
@@ -216,8 +237,9 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, limit: int = 1024,
     numbers. A document is its ids and an end id 0; a null or empty text is that end
     alone, so each row, also a repeated one or one without id, gives at least one piece.
     The order is that of the input's partitions; no shuffle takes place, and a task
-    that runs again packs its partition the same way. Only the last sequence of a
-    partition is left unfilled. Memory holds one plan or one document, whichever is longer.
+    that runs again packs its partition the same way; the pieces are written as a table. Only the last sequence of a
+    partition is left unfilled. Memory holds one plan or one document, whichever is longer. Texts of any
+    length are encoded whole, long runs of one character or of white space included.
     Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType
@@ -229,4 +251,4 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, limit: int = 1024,
 
     fields = [("doc_id", to_arrow_type(kind))] + [(name.split()[0], pa.int64()) for name in schema.split(", ")[1:8]]
     arrow = pa.schema(fields + [("ids", pa.binary())] * with_ids)
-    return rows.mapInArrow(lambda batches: _pack_partition(batches, vocabulary, limit, arrow), schema)
+    return cut(rows.mapInArrow(words.tidy(_pack_partition, vocabulary, _special(vocabulary), limit, arrow), schema), BATCH)

@@ -9,7 +9,8 @@ backwards through it, which gives matching statistics cut at ``window`` words, a
 every full match the earliest document in its interval.
 
 An anchor that many different segments share, such as one in a footer with other words around it in
-each document, would outgrow a shard. Its windows are dealt by their own hashes instead.
+each document, would outgrow a shard. Its segments are cut again by a second family of anchors, and what is
+still too much of one anchor into single windows, dealt by their own hashes. All go to shards of the same kind.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import words
@@ -31,8 +32,10 @@ WINDOW = 50
 GROUP = 8
 #: Words in a shard's index, about.
 SHARD_WORDS = 1 << 18
-#: An anchor whose different segments have more than this part of a shard's words is in no shard.
+#: Segments of an anchor with more than this part of a shard's words are cut again.
 HOT_PART = 4
+#: Rows that Python gets at a time.
+BATCH = 1024
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -69,9 +72,11 @@ def _run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> lis
     return out
 
 
-def segments(hashes: np.ndarray, window: int, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor) of each segment of a document."""
-    anchors = _window_minima(words.gram_hashes(hashes, group), window - group + 1)
+def segments(hashes: np.ndarray, window: int, group: int,
+             second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor) of each segment of a document, by either of two independent families."""
+    grams = words.gram_hashes(hashes, group)
+    anchors = _window_minima(words.mix(grams + _U(_BASES[1][0])) if second else grams, window - group + 1)
     starts = np.concatenate(([0], np.flatnonzero(np.diff(anchors)) + 1))
     return starts, np.diff(np.append(starts, len(anchors))), anchors[starts]
 
@@ -117,39 +122,55 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, seg_a, seg_b, at, win_a, win_b) of every window of the given segments."""
-    names = ["key", "seg_a", "seg_b", "at", "win_a", "win_b"]
+_SMALLER = ("parent_a bigint, parent_b bigint, offset int, windows int, key bigint, anchor bigint, seg_a bigint, "
+            "seg_b bigint, words binary")
+
+
+def _smaller(batches: Iterator[pa.RecordBatch], window: int, group: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """Each segment (key, seg_a, seg_b, words) cut by second anchors, or into single windows."""
+    names = [c.split()[0] for c in _SMALLER.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary())
     for batch in batches:
-        for small in words.slices([batch]):
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for key, seg_a, seg_b, run in zip(*(c.to_pylist() for c in small.columns)):
-                hashes = words.word_hashes(run.split(b" "))
-                at = np.arange(len(hashes) - window + 1)
-                a, b = _run_hashes(hashes, at, at + window)
-                one = np.ones(len(at), dtype=np.int64)
-                for column, values in zip(out, (one * key, one * seg_a, one * seg_b, at, a.view(np.int64), b.view(np.int64))):
-                    column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-
-
-def _least_by_window(hot: DataFrame, window: int) -> DataFrame:
-    """What ``_search`` finds, (seg_a, seg_b, at, least), for segments (key, seg_a, seg_b, words).
-
-    Windows are known by two 64-bit hashes, as segments are. Minima are combined before the
-    shuffle, and the windows that are equal meet them in a join that can be split.
-    """
-    every = cut(hot.mapInArrow(
-        lambda b: _window_rows(b, window),
-        "key bigint, seg_a bigint, seg_b bigint, at bigint, win_a bigint, win_b bigint"))
-    least = cut(every.groupBy("win_a", "win_b").agg(F.min("key").alias("least")))
-    listed = every.join(least, ["win_a", "win_b"]).groupBy("seg_a", "seg_b").agg(
-        F.sort_array(F.collect_list(F.struct("at", "least"))).alias("runs"))
-    # only where the earliest document changes
-    runs = F.filter("runs", lambda r, i: (i == 0) | (r["least"] != F.get("runs", i - 1)["least"]))
-    return listed.select("seg_a", "seg_b", runs.alias("runs")).select(
-        "seg_a", "seg_b", F.col("runs.at").alias("at"), F.col("runs.least").alias("least"))
+        rows: list[tuple] = []
+        for key, parent_a, parent_b, text in zip(*(c.to_pylist() for c in batch.columns)):
+            run = text.split(b" ")
+            hashes = words.word_hashes(run)
+            if single:
+                starts = np.arange(len(hashes) - window + 1)
+                counts = np.ones(len(starts), dtype=np.int64)
+            else:
+                starts, counts, anchors = segments(hashes, window, group, second=True)
+            seg_a, seg_b = (h.view(np.int64).tolist() for h in _run_hashes(hashes, starts, starts + counts + window - 1))
+            named = seg_a if single else anchors.view(np.int64).tolist()
+            rows += [(parent_a, parent_b, at, n, key, anchor, a, b, b" ".join(run[at:at + n + window - 1]))
+                     for at, n, anchor, a, b in zip(starts.tolist(), counts.tolist(), named, seg_a, seg_b)]
+            if len(rows) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _hot_anchors(segments_: DataFrame, size: Column, shard_words: int) -> DataFrame:
+    """(anchor, hot): anchors whose different segments are too much for a part of a shard."""
+    return segments_.groupBy("anchor").agg(F.sum(size).alias("words")).filter(
+        F.col("words") * HOT_PART > shard_words).select("anchor", F.lit(True).alias("hot"))
+
+
+def _different(pieces: DataFrame) -> DataFrame:
+    """Each different segment once, for its earliest document."""
+    return pieces.groupBy("anchor", "seg_a", "seg_b").agg(F.min("key").alias("key"), F.first("words").alias("words"))
+
+
+def _runs_of_parents(pieces: DataFrame, found: DataFrame) -> DataFrame:
+    """(seg_a, seg_b, runs) of the segments that ``pieces`` were cut from; a piece that was not searched is its own first."""
+    shifted = F.transform("runs", lambda r: F.struct(
+        (r["at"] + F.col("offset")).alias("at"), (r["end"] + F.col("offset")).alias("end"), r["least"].alias("least")))
+    own = F.array(F.struct(F.col("offset").cast("bigint").alias("at"),
+                           (F.col("offset") + F.col("windows")).cast("bigint").alias("end"), F.col("key").alias("least")))
+    return (pieces.join(found, ["seg_a", "seg_b"], "left")
+            .groupBy(F.col("parent_a").alias("seg_a"), F.col("parent_b").alias("seg_b"))
+            .agg(F.flatten(F.collect_list(F.coalesce(shifted, own))).alias("runs")))
 
 
 def _search(rows: list[tuple], window: int) -> pa.RecordBatch:
@@ -167,15 +188,15 @@ def _search(rows: list[tuple], window: int) -> pa.RecordBatch:
     owners = np.array([r[0] for r in rows], dtype=np.int64)
     index = FMIndex(text, np.repeat(owners, sizes + 1), window)
     firsts = index.least_owners(text, np.cumsum(sizes + 1) - sizes - 1, sizes)
-    at, least = [], []
+    runs = []
     for owner in firsts:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-        at.append(starts)
-        least.append(owner[starts])
+        ends = np.append(starts[1:], len(owner))
+        runs.append([{"at": a, "end": b, "least": c} for a, b, c in zip(starts.tolist(), ends.tolist(), owner[starts].tolist())])
+    kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("at", "end", "least")]))
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-         pa.array(at, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))],
-        names=["seg_a", "seg_b", "at", "least"])
+        [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(runs, kind)],
+        names=["seg_a", "seg_b", "runs"])
 
 
 def _search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -192,6 +213,41 @@ def _search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
         yield _search(rows, window)
 
 
+def _searched(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """(seg_a, seg_b, runs): where the earliest document of a segment's windows changes, found in shards."""
+    size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    shards = max(1, int(size // (6 * shard_words)))
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+             .repartition(parts, "shard").sortWithinPartitions("shard", "seg_a", "seg_b")
+             .select("shard", "key", "seg_a", "seg_b", "words"))
+    return cut(dealt.mapInArrow(
+        words.tidy(_search_shards, window),
+        "seg_a bigint, seg_b bigint, runs array<struct<at: bigint, end: bigint, least: bigint>>"), BATCH)
+
+
+def _cut_again(hot: DataFrame, pieces: DataFrame, window: int, group: int,
+               shard_words: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """``pieces`` with what the hot segments become, and the two tables of smaller segments.
+
+    Equal windows have equal second anchors, and a window by itself has its own hash, of which there is one
+    different segment. A smaller segment whose second anchor lies in one hot segment alone needs no search.
+    """
+    columns = ["anchor", "seg_a", "seg_b", "key", "words"]
+    cutting = ["key", "seg_a", "seg_b", "words"]
+    second = cut(hot.select(*cutting).mapInArrow(words.tidy(_smaller, window, group, False), _SMALLER), BATCH)
+    several = second.groupBy("anchor").agg(
+        F.min(F.struct("parent_a", "parent_b")).alias("least"), F.max(F.struct("parent_a", "parent_b")).alias("most"))
+    different = cut(_different(second.join(several.filter("least <> most").select("anchor"), "anchor")))
+    heavy = _hot_anchors(different, F.octet_length("words") / 6, shard_words)
+    marked = cut(different.join(heavy, "anchor", "left"))
+    windows = cut(marked.filter("hot").select(*cutting).mapInArrow(
+        words.tidy(_smaller, window, group, True), _SMALLER), BATCH)
+    pieces = (pieces.unionByName(marked.filter("hot is null").select(*columns))
+              .unionByName(_different(windows).select(*columns)))
+    return cut(pieces), (second, windows)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
                      shard_words: int = SHARD_WORDS) -> DataFrame:
     """(key, text_hash, spans): per document the runs [from, to) of words to remove.
@@ -199,10 +255,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     ``docs`` holds (key, text_hash, text). Documents without such words have no row. A
     document's list is bounded by its length.
     """
-    rows = docs.mapInArrow(
-        lambda b: _segment_rows(b, window, group),
-        "key bigint, text_hash bigint, start int, windows int, anchor bigint, seg_a bigint, seg_b bigint")
-    rows = cut(rows)
+    rows = cut(docs.mapInArrow(
+        words.tidy(_segment_rows, window, group),
+        "key bigint, text_hash bigint, start int, windows int, anchor bigint, seg_a bigint, seg_b bigint"), BATCH)
     several = cut(rows.groupBy("anchor").agg(F.min("key").alias("first"), F.max("key").alias("last"))
                   .filter("first < last").select("anchor"))
     shared = cut(rows.join(several, "anchor"))
@@ -210,8 +265,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     # one occurrence of each different segment, the earliest, goes into the index
     chosen = cut(shared.groupBy("anchor", "seg_a", "seg_b").agg(
         F.min(F.struct("key", "text_hash", "start", "windows")).alias("rep")))
-    heavy = cut(chosen.groupBy("anchor").agg(F.sum(F.col("rep.windows") + (window - 1)).alias("words"))
-                .filter(F.col("words") * HOT_PART > shard_words).select("anchor", F.lit(True).alias("hot")))
+    heavy = cut(_hot_anchors(chosen, F.col("rep.windows") + (window - 1), shard_words))
     marked = chosen.join(heavy, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_doc = marked.groupBy(F.col("rep.key").alias("key"), F.col("rep.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct(F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"),
@@ -219,30 +273,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     texts = docs.join(per_doc, ["key", "text_hash"]).select("key", "text", "places", "text_hash")
     texts = texts.dropDuplicates(["key", "text_hash"]).select("key", "text", "places")
     indexed = cut(texts.mapInArrow(
-        lambda b: _segment_texts(b, window),
-        "key bigint, anchor bigint, seg_a bigint, seg_b bigint, hot boolean, words binary"))
+        words.tidy(_segment_texts, window),
+        "key bigint, anchor bigint, seg_a bigint, seg_b bigint, hot boolean, words binary"), BATCH)
 
-    spark = docs.sparkSession
-    cold = indexed.filter("not hot")
-    size = cold.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, int(size // (6 * shard_words)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-             .repartition(parts, "shard").sortWithinPartitions("shard", "seg_a", "seg_b")
-             .select("shard", "key", "seg_a", "seg_b", "words"))
-    found = cut(dealt.mapInArrow(
-        lambda b: _search_shards(b, window), "seg_a bigint, seg_b bigint, at array<bigint>, least array<bigint>"))
+    columns = ["anchor", "seg_a", "seg_b", "key", "words"]
+    pieces, again = indexed.filter("not hot").select(*columns), []
     if not heavy.isEmpty():
-        found = cut(found.unionByName(_least_by_window(
-            indexed.filter("hot").select("key", "seg_a", "seg_b", "words"), window)))
-
-    # a run of windows whose earliest document lies before this one
+        pieces, again = _cut_again(indexed.filter("hot"), pieces, window, group, shard_words)
+    found = _searched(pieces, window, shard_words)
+    if again:
+        second, windows = again
+        known = found.unionByName(cut(_runs_of_parents(windows, found)))
+        found = cut(found.unionByName(_runs_of_parents(second, known)))
+
+    # runs of windows whose earliest document lies before this one
     hit = shared.join(found, ["seg_a", "seg_b"])
-    ends = F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))),
-                    F.array(F.col("windows").cast("bigint")))
-    runs = F.arrays_zip("at", ends.alias("end"), "least")
     spans = F.transform(
-        F.filter(runs, lambda r: r["least"] < F.col("key")),
+        F.filter("runs", lambda r: r["least"] < F.col("key")),
         lambda r: F.struct((F.col("start") + r["at"]).cast("int").alias("from"),
                            (F.col("start") + r["end"] + (window - 1)).cast("int").alias("to")))
     return (hit.select("key", "text_hash", spans.alias("spans")).filter(F.size("spans") > 0)
@@ -294,5 +341,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
               ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text
     ddl = (f"kept {kept.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
            + ", kept_text string" * with_text)
-    out = joined.mapInArrow(lambda b: _cut_texts(b, pa.schema(fields)), ddl)
+    out = cut(joined.mapInArrow(words.tidy(_cut_texts, pa.schema(fields)), ddl), BATCH)
     return out.select("kept.*", "n_words", "n_removed", "kept_sha256", *(["kept_text"] * with_text))

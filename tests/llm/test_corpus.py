@@ -172,7 +172,7 @@ def test_short_windows_and_texts(spark):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
-def test_footer_in_many_documents_stays_out_of_the_shards(spark, monkeypatch):
+def test_footer_in_many_documents_is_dealt_to_bounded_shards(spark, monkeypatch):
     rng = np.random.default_rng(9)
     footer, passage = [f"f{i}" for i in range(40)], [f"p{i}" for i in range(30)]
     rows = []
@@ -202,6 +202,30 @@ def test_footer_in_many_documents_stays_out_of_the_shards(spark, monkeypatch):
     assert sorted(map(tuple, got), key=lambda r: (r[0] is None, r)) == removed(rows, substrings.WINDOW)
 
 
+def test_hot_segments_are_searched_in_smaller_pieces(spark):
+    """Every window of a hot segment is in a searched piece, unless its second anchor is in that segment alone."""
+    rng = np.random.default_rng(4)
+    footer = [f"f{i}" for i in range(45)]
+    rows = [(i, 2 * i, 2 * i + 1, " ".join([f"w{k}" for k in rng.integers(0, 10 ** 6, 12)] + footer + [f"t{i}"]).encode())
+            for i in range(60)]
+    hot = spark.createDataFrame(rows, "key long, seg_a long, seg_b long, words binary").withColumn("anchor", F.lit(7))
+    none = hot.limit(0).select("anchor", "seg_a", "seg_b", "key", "words")
+    pieces, (second, windows) = substrings._cut_again(hot, none, 50, 8, 400)
+    assert windows.count() > 0
+
+    def grams(text):
+        run = text.split()
+        return {tuple(run[i:i + 50]) for i in range(len(run) - 49)}
+
+    searched = set().union(*(grams(r.words) for r in pieces.collect()))
+    owners = defaultdict(set)
+    for r in second.collect():
+        owners[r.anchor].add(r.parent_a)
+    for r in second.collect():
+        assert len(owners[r.anchor]) == 1 or grams(r.words) <= searched
+    assert set().union(*(grams(r.words) for r in second.collect())) == set().union(*(grams(r[3]) for r in rows))
+
+
 def katz_scores(rows, held):
     tokens = [words(t, lower=True) + [None] for _, t in rows]
     uni, bi = Counter(), Counter()

@@ -25,6 +25,12 @@ def test_encoding_equals_the_tokenizer(tokenizer):
         assert packing.encode(text, VOCABULARY).tolist() == want
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "x", "\u3000"], ids=["blank", "line", "mixed", "letter", "wide"])
+def test_two_million_of_one_class(tokenizer, run):
+    text = "start " + run * (2_000_000 // len(run)) + " end"
+    assert packing.encode(text, VOCABULARY).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_best_cuts_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(30):
