@@ -532,3 +532,5 @@ WHERE last_output + INTERVAL 15 MINUTE
 ORACLE["stream_usage"] = ORACLE["usage_totals"]
 ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
 ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]
+ORACLE["knn_exact_blocks"] = ORACLE["knn_exact"]
+ORACLE["core_distances_blocks"] = ORACLE["core_distances"]

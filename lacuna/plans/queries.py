@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lacuna.functions import text as tx
 from lacuna.functions import vectors as vx
 from lacuna.operators import (
+    celltree,
     explore,
     frontier,
     gap,
@@ -495,21 +496,38 @@ def log_silence(spark, sf):
 
 # -- neighbours, topics, projection ------------------------------------------
 
-def knn_exact(spark, sf):
-    """Five nearest other pages of every page."""
-    near = knn.nearest_pages(views.vector_pages(spark, sf), 5)
+def _nearest(spark, sf, block_rows):
+    near = knn.nearest_pages(views.vector_pages(spark, sf), 5, block_rows=block_rows)
     return near.select("page_id", "neighbour_id", F.round("distance", 6).alias("distance"),
                        F.col("rank").cast("bigint").alias("rank"))
 
 
-def core_distances(spark, sf):
+def _cores(spark, sf, block_rows):
     points = knn.collapse(views.vector_pages(spark, sf))
-    lists = knn.neighbour_lists(knn.pack(points, knn.EUCLIDEAN), 5)
+    lists = celltree.neighbour_lists(celltree.build(points, knn.EUCLIDEAN, block_rows), 5)
     cores = knn.core_distances(points, lists, 5)
     return points.members.join(cores, "pid").select(
         "page_id", F.round("core", 6).alias("core"))
 
 
+def knn_exact(spark, sf):
+    """Five nearest other pages of every page."""
+    return _nearest(spark, sf, knn.BLOCK_ROWS)
+
+
+def knn_exact_blocks(spark, sf):
+    """The same through many small blocks."""
+    return _nearest(spark, sf, 32)
+
+
+def core_distances(spark, sf):
+    return _cores(spark, sf, knn.BLOCK_ROWS)
+
+
+def core_distances_blocks(spark, sf):
+    return _cores(spark, sf, 32)
+
+
 def hdbscan_topics(spark, sf):
     return topics.cluster_pages(views.vector_pages(spark, sf), 3)
 
@@ -679,7 +697,7 @@ QUERIES = {f.__name__: f for f in (
     usage_totals, usage_cost, usage_projection,
     log_text_blocks, log_raw_lines, log_tool_counts, log_denied, log_errors, log_limit_hits,
     log_reset_times, log_silence,
-    knn_exact, core_distances, hdbscan_topics, clustering_quality, projection_pca,
+    knn_exact, knn_exact_blocks, core_distances, core_distances_blocks, hdbscan_topics, clustering_quality, projection_pca,
     projection_umap, analyze_topics,
     sinks_roundtrip, gap_roundtrip, embed_hashing, ingest_metadata, stream_upsert, stream_usage,
     stream_limit_hits, stream_text_blocks, stream_silence,
