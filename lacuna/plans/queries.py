@@ -545,6 +545,21 @@ def projection_umap(spark, sf):
     return layout.neighbour_layout(views.vector_pages(spark, sf))
 
 
+#: Half is what a random layout has.
+TRUST_FLOOR = 0.6
+
+
+def layout_quality(spark, sf):
+    """Does the layout keep neighbours? The vectors have no structure, so the floor is well above chance only."""
+    pages = views.vector_pages(spark, sf)
+    trust = layout.trustworthiness(pages, layout.neighbour_layout(pages))
+    return trust.select("points", (F.col("trust") >= TRUST_FLOOR).alias("trustworthy"))
+
+
+def crawl_totals(spark, sf):
+    return frontier.crawl_totals(crawl_report(spark, sf))
+
+
 def analyze_topics(spark, sf):
     """Discovered topics of competitor pages with their labels."""
     return pl.find_topics(_keyword_pages(spark, sf), 3)
@@ -697,8 +712,8 @@ QUERIES = {f.__name__: f for f in (
     usage_totals, usage_cost, usage_projection,
     log_text_blocks, log_raw_lines, log_tool_counts, log_denied, log_errors, log_limit_hits,
     log_reset_times, log_silence,
-    knn_exact, knn_exact_blocks, core_distances, core_distances_blocks, hdbscan_topics, clustering_quality, projection_pca,
-    projection_umap, analyze_topics,
+    knn_exact, knn_exact_blocks, core_distances, core_distances_blocks, hdbscan_topics, clustering_quality,
+    projection_pca, projection_umap, layout_quality, analyze_topics, crawl_totals,
     sinks_roundtrip, gap_roundtrip, embed_hashing, ingest_metadata, stream_upsert, stream_usage,
     stream_limit_hits, stream_text_blocks, stream_silence,
 )}

@@ -42,7 +42,26 @@ def test_html_text(spark):
     assert value(spark, tx.html_text(html)) == "Café A b <c> � h"
 
 
+@pytest.mark.parametrize("text,want", [
+    ("&oacute;&#243;&#xF3;", "óóó"), ("&#99999999; &#0; &#xD800;", "\ufffd \ufffd \ufffd"), ("&amp;lt; &amp;amp;", "&lt; &amp;"),
+    ("&copy 2020 &copyright; &notin; &notit;", "© 2020 ©right; ∉ ¬it;"), ("&#146;s &#0065;&#x041;", "’s AA"),
+    ("a & b &; &# &unknown; &am &", "a & b &; &# &unknown; &am &"), ("", ""), ("&NotEqualTilde;", "≂̸"), ("&#233", "é"),
+])
+def test_character_references(spark, text, want):
+    assert value(spark, tx.decode_entities(F.lit(text))) == want
+
+
+def test_links_with_and_without_quotes(spark):
+    html = """<a href="/a">x</a><a class=b href=/c?x=1&copy=2>y</a><A HREF='d"e'>z</A><link href="/no"><a data-href="/no">"""
+    assert value(spark, tx.hrefs(F.lit(html))) == ["/a", "/c?x=1&copy=2", 'd"e']
+    base = F.lit("https://a.example/d/")
+    assert value(spark, tx.resolve_link(base, F.lit("/c?x=1&copy=2&amp;b"))) == "https://a.example/c?x=1&copy=2&b"
+
+
 @pytest.mark.parametrize("href,want", [
+    ("../up", "https://a.example/up"), ("../../../up/", "https://a.example/up/"), ("x/../y/./z", "https://a.example/d/y/z"),
+    ("/a/b/..", "https://a.example/a/"), ("https://c.example/a/../b?q=/../x", "https://c.example/b?q=/../x"),
+    (".", "https://a.example/d/"), ("..", "https://a.example/"), (".hidden/..x", "https://a.example/d/.hidden/..x"),
     ("/x", "https://a.example/x"), ("y.html#top", "https://a.example/d/y.html"),
     ("./z", "https://a.example/d/z"), ("//b.example/q", "https://b.example/q"),
     ("http://c.example/", "http://c.example/"), ("?p=2", "https://a.example/d/e?p=2"),

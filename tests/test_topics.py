@@ -112,7 +112,7 @@ def test_layout_keeps_neighbours_and_repeats(spark):
     rng = np.random.default_rng(0)
     label = np.repeat(np.arange(3), 20)
     rows = rng.normal(size=(3, 8))[label] + 0.2 * rng.normal(size=(60, 8))
-    runs = [layout.neighbour_layout(frame(spark, rows), n_neighbors=8, epochs=8)
+    runs = [layout.neighbour_layout(frame(spark, rows), n_neighbors=8, tolerance=0.02)
             .orderBy("page_id").toPandas() for _ in range(2)]
     assert runs[0].equals(runs[1])
     xy = runs[0][["x", "y"]].to_numpy()
@@ -122,6 +122,32 @@ def test_layout_keeps_neighbours_and_repeats(spark):
     assert (label[near] == label[:, None]).mean() > 0.9
 
 
+def brute_trust(rows, xy, k):
+    n = len(rows)
+    near = brute.distance_matrix(rows)
+    flat = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    np.fill_diagonal(near, -1)
+    np.fill_diagonal(flat, -1)
+    rank = near.argsort(axis=1).argsort(axis=1)
+    shown = flat.argsort(axis=1)[:, 1:k + 1]
+    excess = sum(max(0, rank[i, j] - k) for i in range(n) for j in shown[i])
+    return 1 - 2 * excess / (n * k * (2 * n - 3 * k - 1))
+
+
+@pytest.mark.parametrize("block_rows", [1024, 20])
+def test_trustworthiness_equals_brute_force(spark, block_rows):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(90, 6))
+    pages = frame(spark, rows)
+    for xy in (rng.normal(size=(90, 2)), rows[:, :2]):
+        xy = xy.astype(np.float32)
+        placed = spark.createDataFrame([(f"{i:05d}", float(x), float(y)) for i, (x, y) in enumerate(xy)],
+                                       "page_id string, x float, y float")
+        got = layout.trustworthiness(pages, placed, k=7, block_rows=block_rows).first()
+        assert (got.points, got.asked) == (90, 90)
+        assert abs(got.trust - brute_trust(rows, xy.astype(float), 7)) < 1e-9
+
+
 def test_curve_constants():
     a, b = layout.curve(0.1)
     assert abs(a - 1.577) < 0.001 and abs(b - 0.895) < 0.001
