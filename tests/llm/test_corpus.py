@@ -317,6 +317,18 @@ def test_toxicity_learns_words_and_leaves_clean_documents(spark):
         assert r.toxic == (r.doc_id in (902, None) or (r.doc_id < 600 and r.doc_id % 5 == 0))
     kept = toxicity.judge(documents(spark, rows[:3]), table, chain, keep=documents(spark, []).columns[:5])
     assert kept.columns == [*documents(spark, []).columns[:5], "p_low_quality", "p_toxic", "toxic"]
+    # names of results among the documents' own columns, in results and in what is kept
+    clashing = documents(spark, rows).withColumnRenamed("class", "p_toxic").withColumnRenamed("key", "kept").withColumnRenamed("size", "terms")
+    both = toxicity.judge(clashing, table, chain, keep=clashing.columns).collect()
+    assert {(r.toxic, r.p_toxic) for r in both} == {(8, 4)}
+    assert {r.doc_id for r in both if r.toxic_} == {r.doc_id for r in got if r.toxic}
+    clean = toxicity.without_toxic(clashing, table, chain)
+    assert clean.columns == clashing.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r.doc_id) for r in got if not r.toxic)
+    # labels that differ for one id: the greater counts, in any order
+    twice = table.unionByName(table.withColumn("toxic", F.lit(0)).withColumn("quality", F.lit(1)))
+    again = toxicity.judge(documents(spark, rows), twice, chain).collect()
+    assert {(r.doc_id, r.toxic) for r in again} == {(r.doc_id, r.toxic) for r in got}
     none = table.filter("false")
     assert not any(r.toxic for r in toxicity.judge(documents(spark, rows), none, chain).collect())
     assert toxicity.judge(documents(spark, []), table, chain).count() == 0
