@@ -15,8 +15,7 @@ from lacuna.operators.lineage import cut
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity.judge(docs, labels, toxicity_categories(), keep=docs.columns)
-    return judged.filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.without_toxic(docs, labels, toxicity_categories())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
