@@ -533,7 +533,7 @@ ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
 ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]
 ORACLE["knn_exact_blocks"] = ORACLE["knn_exact"]
 ORACLE["core_distances_blocks"] = ORACLE["core_distances"]
-ORACLE["layout_quality"] = f"""WITH {PAGE_STORE}
-SELECT count(DISTINCT vector) AS points, true AS trustworthy FROM page_store WHERE vector IS NOT NULL"""
+ORACLE["layout_quality"] = """
+SELECT count(DISTINCT embedding) AS points, true AS trustworthy FROM embeddings WHERE embedding IS NOT NULL"""
 ORACLE["crawl_totals"] = f"""SELECT count(*) FILTER (NOT known) AS new_domains, count(*) FILTER (known) AS known_domains,
        sum(saved)::BIGINT AS saved, sum(failed)::BIGINT AS failed FROM ({ORACLE["crawl_report"]})"""

@@ -545,12 +545,12 @@ def projection_umap(spark, sf):
     return layout.neighbour_layout(views.vector_pages(spark, sf))
 
 
-#: Half is what a random layout has.
-TRUST_FLOOR = 0.6
+#: Half is what a random layout has; principal axes reach 0.62 on the test vectors, the layout 0.68.
+TRUST_FLOOR = 0.65
 
 
 def layout_quality(spark, sf):
-    """Does the layout keep neighbours? The vectors have no structure, so the floor is well above chance only."""
+    """Does the layout keep neighbours? The vectors have no structure, so no layout keeps all."""
     pages = views.vector_pages(spark, sf)
     trust = layout.trustworthiness(pages, layout.neighbour_layout(pages))
     return trust.select("points", (F.col("trust") >= TRUST_FLOOR).alias("trustworthy"))
