@@ -533,6 +533,22 @@ ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
 ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]
 ORACLE["knn_exact_blocks"] = ORACLE["knn_exact"]
 ORACLE["core_distances_blocks"] = ORACLE["core_distances"]
+# Prim's rounds: every point outside keeps its lightest edge into the tree; distinct vectors are assumed
+ORACLE["mst_edges"] = f"""WITH RECURSIVE {VECTORS},
+dists AS (SELECT page_id AS a, neighbour_id AS b, sqrt(greatest(2 - 2 * dot, 0)) AS d FROM pairs),
+core AS (SELECT a, d AS core FROM (
+  SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM dists) WHERE r = 3),
+reach AS MATERIALIZED (SELECT dists.a, dists.b, greatest(d, c.core, o.core) AS w
+  FROM dists JOIN core c ON c.a = dists.a JOIN core o ON o.a = dists.b),
+outside(step, node, best, chosen) AS (
+  SELECT 0, b, w, row_number() OVER (ORDER BY w, b) = 1
+  FROM reach WHERE a = (SELECT min(a) FROM core)
+  UNION ALL
+  SELECT step + 1, node, best, row_number() OVER (ORDER BY best, node) = 1 FROM (
+    SELECT o.step, o.node, least(o.best, r.w) AS best
+    FROM outside o JOIN outside c ON c.chosen AND NOT o.chosen JOIN reach r ON r.a = c.node AND r.b = o.node))
+SELECT count(*) AS edges, round(sum(best), 4) AS total, round(max(best), 6) AS heaviest FROM outside WHERE chosen"""
+ORACLE["mst_edges_blocks"] = ORACLE["mst_edges"]
 ORACLE["layout_quality"] = """
 SELECT count(DISTINCT embedding) AS points, true AS trustworthy FROM embeddings WHERE embedding IS NOT NULL"""
 ORACLE["crawl_totals"] = f"""SELECT count(*) FILTER (NOT known) AS new_domains, count(*) FILTER (known) AS known_domains,

@@ -22,6 +22,7 @@ from lacuna.operators import (
     labels,
     layout,
     logs,
+    spanning,
     topics,
     usage,
 )
@@ -528,6 +529,22 @@ def core_distances_blocks(spark, sf):
     return _cores(spark, sf, 32)
 
 
+def _tree_weights(spark, sf, block_rows):
+    _, levels = topics.spanning_levels(knn.collapse(views.vector_pages(spark, sf)), 3, block_rows)
+    return spanning.edges(levels, spark).agg(
+        F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 6).alias("heaviest"))
+
+
+def mst_edges(spark, sf):
+    """Spanning tree of mutual reachability: its edges, their sum and the heaviest."""
+    return _tree_weights(spark, sf, knn.BLOCK_ROWS)
+
+
+def mst_edges_blocks(spark, sf):
+    """The same through blocks of 32 points."""
+    return _tree_weights(spark, sf, 32)
+
+
 def hdbscan_topics(spark, sf):
     return topics.cluster_pages(views.vector_pages(spark, sf), 3)
 
@@ -712,7 +729,8 @@ QUERIES = {f.__name__: f for f in (
     usage_totals, usage_cost, usage_projection,
     log_text_blocks, log_raw_lines, log_tool_counts, log_denied, log_errors, log_limit_hits,
     log_reset_times, log_silence,
-    knn_exact, knn_exact_blocks, core_distances, core_distances_blocks, hdbscan_topics, clustering_quality,
+    knn_exact, knn_exact_blocks, core_distances, core_distances_blocks, mst_edges, mst_edges_blocks,
+    hdbscan_topics, clustering_quality,
     projection_pca, projection_umap, layout_quality, analyze_topics, crawl_totals,
     sinks_roundtrip, gap_roundtrip, embed_hashing, ingest_metadata, stream_upsert, stream_usage,
     stream_limit_hits, stream_text_blocks, stream_silence,

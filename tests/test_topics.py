@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import knn, layout, topics
+from lacuna.operators import celltree, knn, layout, spanning, topics
 
 from . import brute
 
@@ -65,7 +65,7 @@ def test_neighbours_with_copies(spark, copies, block_rows):
 @pytest.mark.parametrize("block_rows", [1024, 9])
 def test_core_distances_count_copies(spark, copies, block_rows):
     points = knn.collapse(frame(spark, copies))
-    lists = knn.neighbour_lists(knn.pack(points, knn.EUCLIDEAN, block_rows), 3)
+    lists = celltree.neighbour_lists(celltree.build(points, knn.EUCLIDEAN, block_rows), 3)
     cores = knn.core_distances(points, lists, 3)
     want = brute.core(brute.distance_matrix(copies), 3)
     for r in points.members.join(cores, "pid").collect():
@@ -94,6 +94,37 @@ def test_unstructured_vectors(spark):
     assert {frozenset(g) for g in groups.values()} == brute.leaf_topics(rows, 3)
 
 
+@pytest.mark.parametrize("kind,block_rows,samples", [
+    ("planted", 1024, 3), ("far", 20, 3), ("none", 9, 6), ("scaled", 9, 3)])
+def test_spanning_tree_equals_brute_force(spark, planted, kind, block_rows, samples):
+    """Weights of the tree, also where lists end inside a group and exits must be looked for."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(4)[np.repeat(np.arange(4), 30)]
+    rows = {"planted": planted, "far": centres + 0.01 * rng.normal(size=(120, 4)), "none": rng.normal(size=(90, 5)),
+            "scaled": np.vstack([planted, planted[:8] * 2, planted[:8] * 4, np.zeros((1, 8))])}[kind]
+    points = knn.collapse(frame(spark, rows))
+    cores, levels = topics.spanning_levels(points, samples, block_rows)
+    got = spanning.edges(levels, spark).collect()
+    dist = brute.distance_matrix(rows)
+    near = brute.core(dist, samples)
+    reach = np.maximum(dist, np.maximum(near[:, None], near[None, :]))
+    inside, best, want = np.zeros(len(rows), bool), reach[0].copy(), []
+    inside[0] = True
+    for _ in range(len(rows) - 1):
+        at = int(np.where(inside, np.inf, best).argmin())
+        want.append(best[at])
+        inside[at] = True
+        best = np.minimum(best, reach[at])
+    assert len(got) == len(rows) - 1 and len({(r.lo, r.hi) for r in got}) == len(got)
+    assert np.allclose(sorted(r.w for r in got), sorted(want), atol=1e-6)
+    assert all(abs(reach[int(r.lo), int(r.hi)] - r.w) < 1e-6 and r.lo < r.hi for r in got)
+    home = list(range(len(rows)))
+    for r in got:
+        a, b = home[int(r.lo)], home[int(r.hi)]
+        assert a != b
+        home = [a if h == b else h for h in home]
+
+
 def test_scaled_copies_in_small_blocks(spark, planted):
     """Vectors of one direction and different length are separate points at distance 0."""
     rows = np.vstack([planted, planted[:8] * 2, planted[:8] * 4])
