@@ -528,6 +528,8 @@ FROM sessions
 WHERE last_output + INTERVAL 15 MINUTE
       <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
 }
+# the same sessions, whether they have ended or not
+ORACLE["stream_sessions"] = ORACLE["stream_silence"].split("WHERE last_output")[0]
 ORACLE["stream_usage"] = ORACLE["usage_totals"]
 ORACLE["stream_limit_hits"] = ORACLE["log_limit_hits"]
 ORACLE["stream_text_blocks"] = ORACLE["log_text_blocks"]

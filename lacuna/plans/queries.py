@@ -714,6 +714,17 @@ def stream_silence(spark, sf):
         stamp("last_output").alias("last_output"), "lines")
 
 
+def stream_sessions(spark, sf):
+    """Sessions of every worker, the ones still open included."""
+    schema = views.table(spark, sf, "events").schema
+    events = streams.read_stream(spark, sf, schema, "events.parquet").select(
+        F.col("user_id").cast("string").alias("worker"), F.col("ts"))
+    base = f"{work_folder(spark)}/lacuna-stream-{uuid.uuid4().hex}"
+    streams.silence_watch(events, f"{base}/out", f"{base}/cp").awaitTermination()
+    return streams.read_sessions(spark, f"{base}/out").select(
+        "worker", stamp("first_output").alias("first_output"), stamp("last_output").alias("last_output"), "lines")
+
+
 QUERIES = {f.__name__: f for f in (
     gap_report, gap_report_077, gap_summary, gap_coverage_pct, gap_examples, gap_cards,
     gap_filter_missing, gap_filter_covered, gap_filter_min_pages, top_clusters,
@@ -733,5 +744,5 @@ QUERIES = {f.__name__: f for f in (
     hdbscan_topics, clustering_quality,
     projection_pca, projection_umap, layout_quality, analyze_topics, crawl_totals,
     sinks_roundtrip, gap_roundtrip, embed_hashing, ingest_metadata, stream_upsert, stream_usage,
-    stream_limit_hits, stream_text_blocks, stream_silence,
+    stream_limit_hits, stream_text_blocks, stream_silence, stream_sessions,
 )}

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lacuna.operators import usage
 from lacuna.sources.page_table import PageTable, _or_none
 
 TOTALS_SCHEMA = ("batch bigint, kind string, calls bigint, input_tokens bigint, "
                  "output_tokens bigint")
+SESSIONS_SCHEMA = "batch bigint, worker string, first bigint, last bigint, lines bigint, silent boolean"
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",
@@ -103,6 +107,77 @@ def silence_stream(events: DataFrame, minutes: int = 15, delay: str = "10 minute
         (F.col("w.end") - F.make_dt_interval(mins=F.lit(minutes))).alias("last_output"), "lines")
 
 
+def _merged(sessions: list, gap: int) -> list:
+    """Sessions (first, last, lines) in order; those less than a gap apart become one."""
+    out: list = []
+    for first, last, lines in sorted(sessions):
+        if out and first - out[-1][1] < gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + lines)
+        else:
+            out.append((first, last, lines))
+    return out
+
+
+def _watch(gap: int):
+    """Sessions of one worker; its timer rings when the oldest one that is held falls silent."""
+    def run(key, batches, state):
+        held = list(zip(*state.get)) if state.exists else []
+        for pdf in batches:
+            if pdf.empty:  # the timer alone
+                continue
+            at = np.sort(pdf["at"].to_numpy(np.int64))
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(at) >= gap]))
+            ends = np.append(starts[1:], len(at))
+            held = _merged(held + [(int(at[a]), int(at[b - 1]), int(b - a)) for a, b in zip(starts, ends)], gap)
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = [s for s in held if s[1] + gap > mark]
+        if waiting:
+            state.update(tuple(list(c) for c in zip(*waiting)))
+            state.setTimeoutTimestamp((min(s[1] for s in waiting) + gap) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({
+            "worker": [key[0]] * len(held), "first": [s[0] for s in held], "last": [s[1] for s in held],
+            "lines": [s[2] for s in held], "silent": [s[1] + gap <= mark for s in held]})
+    return run
+
+
+def silence_watch(events: DataFrame, path: str, checkpoint: str, minutes: int = 15,
+                  delay: str = "10 minutes") -> StreamingQuery:
+    """Store each worker's sessions as they change; ``read_sessions`` reads them.
+
+    A timer per worker reports a session as silent once the watermark is ``minutes`` past its last line, whether or
+    not the worker writes again. State holds the sessions that later lines may still touch, as three numbers each,
+    never lines. Events without worker are one worker; those without time are left out.
+    """
+    told = events.select("worker", F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark(
+        "ts", delay).withColumn("at", F.unix_micros("ts"))
+    rows = told.groupBy("worker").applyInPandasWithState(
+        _watch(minutes * 60_000_000), "worker string, first bigint, last bigint, lines bigint, silent boolean",
+        "first array<bigint>, last array<bigint>, lines array<bigint>", "update", GroupStateTimeout.EventTimeTimeout)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (rows.writeStream.outputMode("update").foreachBatch(store)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(worker, first_output, last_output, lines, silent): silent sessions, and those open as last told.
+
+    A batch tells all open sessions of a worker that it touches, so only the newest counts for them.
+    """
+    rows = _or_none(lambda: spark.read.schema(SESSIONS_SCHEMA).parquet(path))
+    if rows is None:
+        rows = spark.createDataFrame([], SESSIONS_SCHEMA)
+    newest = rows.groupBy("worker").agg(F.max("batch").alias("newest"))
+    told = rows.join(newest.withColumnRenamed("worker", "of"), F.col("worker").eqNullSafe(F.col("of")))
+    return told.filter(F.col("silent") | (F.col("batch") == F.col("newest"))).select(
+        "worker", F.timestamp_micros("first").alias("first_output"),
+        F.timestamp_micros("last").alias("last_output"), "lines", "silent")
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append the rows of a stream to a parquet table."""
     return (rows.writeStream.format("parquet").outputMode("append")

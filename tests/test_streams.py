@@ -78,6 +78,30 @@ def test_log_stream_reads_text(spark, tmp_path):
         ("agent1", "hello"), ("agent1", "usage limit")]
 
 
+def test_sessions_close_by_timer_and_open_ones_are_told(spark, tmp_path):
+    """Events in three batches, one late: sessions as over all events; silence is told without another line."""
+    folder, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    schema = "worker string, ts timestamp"
+
+    def run(rows):
+        spark.createDataFrame(rows, "worker string, m double").select(
+            "worker", F.timestamp_micros(((F.col("m") + 1440) * 60_000_000).cast("bigint")).alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        streams.silence_watch(streams.read_stream(spark, folder, schema), out, cp).awaitTermination()
+        return {(r.worker, r.first_output.minute + 60 * r.first_output.hour, r.last_output.minute + 60 * r.last_output.hour,
+                 r.lines, r.silent) for r in streams.read_sessions(spark, out).collect()}
+
+    assert run([("a", 0.0), ("a", 5.0), ("b", 1.0), ("b", 16.0), ("a", None), (None, 2.0)]) == {
+        ("a", 0, 5, 2, False), ("b", 1, 1, 1, False), ("b", 16, 16, 1, False), (None, 2, 2, 1, False)}
+    # 14 comes late and joins a's lines to the new one; c moves the watermark past b's first session
+    assert run([("a", 28.0), ("a", 14.0), ("c", 60.0)]) == {
+        ("a", 0, 28, 4, True), ("b", 1, 1, 1, True), ("b", 16, 16, 1, True), (None, 2, 2, 1, True), ("c", 60, 60, 1, False)}
+    # too late for the watermark: dropped; the open session goes on
+    assert run([("a", 30.0), ("c", 61.0), ("c", 200.0)]) == {
+        ("a", 0, 28, 4, True), ("b", 1, 1, 1, True), ("b", 16, 16, 1, True), (None, 2, 2, 1, True), ("c", 60, 61, 2, True),
+        ("c", 200, 200, 1, False)}
+    assert streams.read_sessions(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_whole_analysis(spark, tmp_path):
     """Planted topics go from a page table through the analysis into reports."""
     import numpy as np
