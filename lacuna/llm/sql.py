@@ -7,15 +7,9 @@ _PATH = r"coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
 _LINK = r"(?i)\shref\s*=\s*[\"'']?\s*(?:https?:)?//([^/?#\"''\s<>]+)"
 
 
-def _url_filter(rounds: int = 12) -> str:
-    """Rules spelled out, then one common table expression per round of propagation."""
-    steps = ["r0 AS MATERIALIZED (SELECT * FROM seeds)"]
-    for i in range(1, rounds + 1):
-        steps.append(f"""r{i} AS MATERIALIZED (SELECT kind, host, sum(x) AS rank FROM (
-            SELECT kind, host, 0.15 * rank AS x FROM seeds UNION ALL
-            SELECT r.kind, l.dst, 0.85 * r.rank * l.share
-            FROM r{i - 1} r JOIN links l ON r.kind = l.kind AND r.host = l.src) GROUP BY kind, host)""")
-    return f"""WITH p AS MATERIALIZED (SELECT page_id, html, {_HOST} AS host, {_PATH} AS path FROM pages),
+def _url_filter(rounds: int = 220) -> str:
+    """Rules spelled out, then what seeds pass on, round after round, until less than 1e-15 of it is left."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, html, {_HOST} AS host, {_PATH} AS path FROM pages),
     j AS MATERIALIZED (SELECT *, CASE
         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -25,14 +19,18 @@ def _url_filter(rounds: int = 12) -> str:
         SELECT host, unnest(list_distinct([translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
             for x in regexp_extract_all(html, '{_LINK}', 1)])) AS dst FROM p)
         WHERE host <> dst AND host <> '' GROUP BY ALL),
-    links AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
-        UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+    own AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
+    links AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, share FROM own
+        UNION ALL SELECT 'distrust', dst, src, share FROM own),
     seeds AS MATERIALIZED (SELECT * FROM (
         SELECT 'trust' AS kind, host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0::DOUBLE ELSE 0 END) AS rank FROM j GROUP BY host
         UNION ALL SELECT 'distrust', host, avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0::DOUBLE ELSE 0 END) FROM j GROUP BY host)
         WHERE rank > 0),
-    {", ".join(steps)},
-    blocked AS (SELECT host FROM r{rounds} GROUP BY host
+    passed(step, kind, host, rank) AS (SELECT 0, kind, host, 0.15 * rank FROM seeds UNION ALL
+        SELECT p.step + 1, p.kind, l.dst, sum(0.85 * p.rank * l.share)
+        FROM passed p JOIN links l ON p.kind = l.kind AND p.host = l.src
+        WHERE p.step < {rounds} GROUP BY p.step, p.kind, l.dst),
+    blocked AS (SELECT host FROM passed GROUP BY host
         HAVING round(sum(CASE kind WHEN 'distrust' THEN rank ELSE -rank END), 12) > 0.5 * 0.15)
     SELECT page_id, j.host, path, rule, CASE
         WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lacuna.llm import jaccard, katz, substrings, topk, toxicity, url_filter
 from lacuna.llm.components import connected_components
 from lacuna.llm.fm_index import FMIndex
 from lacuna.llm.queries import RULES
+from lacuna.llm.sql import ORACLE
 
 from .data import documents, odd_rows, texts, words
 
@@ -440,3 +443,22 @@ def test_ranks_settle_on_chains_and_circles(spark):
     for kind, links, seed in (("trust", share.T, [0.5, 0, 0, 0]), ("distrust", share, [0, 0, 0, 1.0])):
         solved = np.linalg.solve(np.eye(4) - 0.85 * links, 0.15 * np.array(seed))
         np.testing.assert_allclose([got[kind, x] for x in names], solved, atol=2e-6)
+
+
+def test_sql_twin_follows_links_as_the_operator_does(spark):
+    """The twin spells the rule in use: farms, a chain and a circle of links give the same rows."""
+    rows = [(i, f"https://bad{i}.net/x", "") for i in range(5)]
+    rows += [(10, "https://farm.com/a", link(*(f"bad{i}.net" for i in range(5)))),
+             (11, "https://fine.com/a", link("farm.com", "good.org")), (12, "https://good.org/fr/x", link("fine.com", "round0.com")),
+             (13, "https://friend.com/", link("Bad0.NET", "good.org")), (14, None, None), (15, "https://empty.com", None)]
+    rows += [(20 + i, f"https://farm{i}.com/a", link("bad0.net")) for i in range(12)]
+    rows += [(40 + i, f"https://chain{i}.com/a", link(f"chain{i - 1}.com" if i else "bad1.net")) for i in range(9)]
+    rows += [(60 + i, f"https://round{i}.com/a", link(f"round{(i + 1) % 4}.com", *["bad2.net"] * (i == 2))) for i in range(4)]
+    want = sorted(tuple(r) for r in url_filter.judge_urls(pages(spark, rows), RULES).collect())
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    got = con.sql(ORACLE["op2_url_filter"])
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(got.fetchall()) == want
+    verdicts = {r[0]: r[4] for r in want}
+    assert verdicts[10] == "block" and verdicts[11] == "allow" and len({verdicts[40 + i] for i in range(9)}) == 2
