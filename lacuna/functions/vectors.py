@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +18,3 @@ def l2_normalize(vector: Column) -> Column:
     return let(norm(vector), lambda n: F.when(
         n > 0, F.transform(vector, lambda x: x.cast("double") / n)
     ).otherwise(vector.cast("array<double>")))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """Distance of two unit vectors."""
-    return F.lit(1.0) - dot(a, b)
-
-
-def mean_vector(vector: Column) -> Column:
-    """Aggregate: element-wise mean, combined map-side."""
-    return vector_to_array(Summarizer.mean(array_to_vector(vector)))

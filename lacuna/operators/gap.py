@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -9,13 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions import vectors as vx
+from lacuna.operators.lineage import cut
 from lacuna.schemas import COMPETITOR, NOISE_ID, OWN
 
-# Centroids travel in slabs of at most this many topics. One slab is bounded (at
-# 1536 numbers per vector about 6 MB), so it may be broadcast; several slabs are
-# joined by key.
+# Centroids travel in slabs of about this many topics (at 1536 numbers per vector some
+# 6 MB), and so many slabs are broadcast at a time.
 SLAB_TOPICS = 512
+SLABS_AT_ONCE = 16
+
+# Topics whose sums a task holds before it hands them on.
+HELD_TOPICS = 4096
 
 # Distances are compared after rounding to this many decimals, so that equal
 # vectors tie no matter in which matrix product they were multiplied.
@@ -28,19 +32,85 @@ def clustered(pages: DataFrame) -> DataFrame:
         (F.col("source") == COMPETITOR) & (F.col("cluster_id") != NOISE_ID))
 
 
+class _TopicSums:
+    """Vector sums, page counts and first pages of topics, added batch by batch."""
+
+    def __init__(self):
+        self.sums: dict[int, np.ndarray] = {}
+        self.counts: dict[int, int] = {}
+        self.first: dict[int, tuple] = {}
+
+    def add(self, ids, rows, counts, page_ids, labels) -> None:
+        """Rows of one topic need not be neighbours; ``rows`` is a matrix."""
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        sums = np.add.reduceat(rows[order], starts, axis=0)
+        sizes = np.add.reduceat(counts[order], starts)
+        for topic, total, n in zip(ids[starts].tolist(), sums, sizes.tolist()):
+            self.sums[topic] = self.sums[topic] + total if topic in self.sums else total
+            self.counts[topic] = self.counts.get(topic, 0) + n
+        for topic, page, label in zip(ids.tolist(), page_ids[order], labels[order]):
+            first = (page, label is None, label or "")  # equal ids: smallest label, none last
+            if topic not in self.first or first < self.first[topic]:
+                self.first[topic] = first
+
+    def flush(self, finish=lambda total: total) -> pd.DataFrame:
+        topics = list(self.sums)
+        out = pd.DataFrame({
+            "cluster_id": np.array(topics, dtype=np.int32),
+            "centroid": [finish(self.sums[t]) for t in topics],
+            "page_count": np.array([self.counts[t] for t in topics], dtype=np.int64),
+            "cluster_label": [None if self.first[t][1] else self.first[t][2] for t in topics],
+            "first_page_id": [self.first[t][0] for t in topics]})
+        self.__init__()
+        return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length one; zero rows stay."""
+    size = np.sqrt((rows * rows).sum(axis=-1, keepdims=True))
+    return rows / np.where(size > 0, size, 1.0)
+
+
+def _partial_sums(batches):
+    """Sums of unit vectors by topic, one row per topic and task as long as HELD_TOPICS suffice."""
+    held = _TopicSums()
+    for pdf in batches:
+        if len(pdf):
+            rows = _unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
+            held.add(pdf["cluster_id"].to_numpy(), rows, np.ones(len(pdf), dtype=np.int64),
+                     pdf["page_id"].to_numpy(), pdf["cluster_label"].to_numpy())
+            if len(held.sums) > HELD_TOPICS:
+                yield held.flush()
+    if held.sums:
+        yield held.flush()
+
+
+def _merge_sums(batches):
+    """Unit centroids of the topics of one partition, which has all their partial sums."""
+    held = _TopicSums()
+    for pdf in batches:
+        if len(pdf):
+            held.add(pdf["cluster_id"].to_numpy(), np.stack(pdf["centroid"].to_numpy()),
+                     pdf["page_count"].to_numpy(), pdf["first_page_id"].to_numpy(), pdf["cluster_label"].to_numpy())
+    if held.sums:
+        yield held.flush(_unit)
+
+
+_TOPIC = "cluster_id int, centroid array<double>, page_count bigint, cluster_label string, first_page_id string"
+
+
 def centroids(pages: DataFrame) -> DataFrame:
     """One row per topic: unit centroid, size, label and id of its first page.
 
-    Pages without a vector have no place to be near to and are not counted.
+    Pages without a vector have no place to be near to and are not counted. Tasks add up
+    the vectors of their own pages, so what moves is a sum per topic and task, and nothing is sorted.
     """
-    unit = clustered(pages).filter(F.col("vector").isNotNull()).select(
-        "cluster_id", "cluster_label", "page_id",
-        vx.l2_normalize(F.col("vector")).alias("v"))
-    return unit.groupBy("cluster_id").agg(
-        vx.l2_normalize(vx.mean_vector(F.col("v"))).alias("centroid"),
-        F.count(F.lit(1)).alias("page_count"),
-        F.min_by("cluster_label", "page_id").alias("cluster_label"),
-        F.min("page_id").alias("first_page_id"))
+    placed = clustered(pages).filter(F.col("vector").isNotNull()).select(
+        "cluster_id", "cluster_label", "page_id", "vector")
+    return (placed.mapInPandas(_partial_sums, _TOPIC).repartition("cluster_id")
+            .mapInPandas(_merge_sums, _TOPIC))
 
 
 def _pack_own(batches):
@@ -48,9 +118,7 @@ def _pack_own(batches):
     for pdf in batches:
         if len(pdf):
             pdf = pdf.sort_values("page_id", kind="stable")
-            rows = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            rows = rows / np.where(size > 0, size, 1.0)
+            rows = _unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
             yield pd.DataFrame({
                 "ids": [pdf["page_id"].tolist()], "urls": [pdf["url"].tolist()],
                 "titles": [pdf["title"].tolist()], "own_flat": [rows.ravel()]})
@@ -76,32 +144,40 @@ _PACKED = "ids array<string>, urls array<string>, titles array<string>, own_flat
 _WINNERS = "cluster_id int, distance double, page_id string, url string, title string"
 
 
-def nearest_own(pages: DataFrame, topics: DataFrame, slab_topics: int = SLAB_TOPICS) -> DataFrame:
+def nearest_own(pages: DataFrame, topics: DataFrame, slab_topics: int = SLAB_TOPICS,
+                slabs_at_once: int = SLABS_AT_ONCE, topic_count: int | None = None) -> DataFrame:
     """Nearest own page of every topic: (cluster_id, distance, page_id, url, title).
 
-    Own pages never move: each task packs its own batches and meets every slab
-    of centroids, keeps one winner per topic and batch, and the winners are
-    min-combined map-side. The number of topics is counted first with a scan
-    that reads no vectors; it fixes the slab count and thereby whether the
-    centroids may be broadcast.
+    Own pages never move: each task packs its own batches and meets the slabs of
+    centroids, of which at most ``slabs_at_once`` are broadcast for one pass over the own pages. It
+    keeps one winner per topic and batch, and the winners are min-combined map-side. Unless
+    ``topic_count`` is given, topics are counted first with a scan that reads no vectors;
+    the count bounds what is broadcast.
     """
-    topic_count = clustered(pages).select("cluster_id").distinct().count()
+    if topic_count is None:
+        topic_count = clustered(pages).select("cluster_id").distinct().count()
     slabs = max(1, math.ceil(topic_count / slab_topics))
+    passes = math.ceil(slabs / slabs_at_once)
 
     packed = topics.groupBy(F.pmod(F.hash("cluster_id"), F.lit(slabs)).alias("slab")).agg(
         F.collect_list("cluster_id").alias("topic_ids"),
         F.flatten(F.collect_list("centroid")).alias("topic_flat"))
-    if slabs == 1:
-        packed = F.broadcast(packed)
+    if passes > 1:
+        packed = cut(packed)  # not to be computed for every pass
 
     blank = F.lit("")
     own = (pages.filter((F.col("source") == OWN) & F.col("vector").isNotNull())
            .select("page_id", F.coalesce("url", blank).alias("url"),
                    F.coalesce("title", blank).alias("title"), "vector")
-           .mapInPandas(_pack_own, _PACKED)
-           .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))))
-    winners = own.join(packed, "slab").drop("slab").mapInPandas(_slab_minimum, _WINNERS)
-    return winners.groupBy("cluster_id").agg(
+           .mapInPandas(_pack_own, _PACKED))
+
+    def winners(number: int) -> DataFrame:
+        slab = packed.filter(F.col("slab") % passes == number) if passes > 1 else packed
+        # every block meets every slab of the pass
+        return own.crossJoin(F.broadcast(slab.drop("slab"))).mapInPandas(_slab_minimum, _WINNERS)
+
+    found = functools.reduce(DataFrame.unionByName, map(winners, range(passes)))
+    return found.groupBy("cluster_id").agg(
         F.min(F.struct("distance", "page_id", "url", "title")).alias("best")).select(
         "cluster_id", "best.*")
 

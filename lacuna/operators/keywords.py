@@ -24,17 +24,14 @@ N_KEYWORDS = 8
 _RUN = r"[\p{L}\p{N}_]+"
 _TOKEN = rf"^[{TOKEN_LETTERS}]{{{MIN_TOKEN_CHARS},}}$"
 
-MAX_STOPWORDS = 10_000
-
 
 def tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
     """Lower-case tokens in text order, stop words left out.
 
     A token is a whole run of word characters made only of allowed letters, so
-    a word that touches a digit, an underscore or a foreign letter gives none.
+    a word that touches a digit, an underscore or a foreign letter gives none. The stop
+    words become part of the query; ``with_keywords`` takes a long list as a table.
     """
-    if len(stopwords) > MAX_STOPWORDS:
-        raise ValueError(f"more than {MAX_STOPWORDS} stop words")
     runs = F.regexp_extract_all(F.lower(text), F.lit(_RUN), F.lit(0))
     stop = sorted(set(stopwords))
 
@@ -87,15 +84,41 @@ def top_terms(all_terms: Column, n: int) -> Column:
                .otherwise(F.array().cast("array<string>")))
 
 
+def _weighted_text(title: Column, content: Column) -> Column:
+    blank = F.lit("")
+    return F.concat_ws(" ", *([F.coalesce(title, blank)] * TITLE_WEIGHT), F.coalesce(content, blank))
+
+
 def keyword_list(title: Column, content: Column, n: int = N_KEYWORDS,
                  max_features: int = MAX_FEATURES, stopwords: Sequence[str] = ()) -> Column:
-    blank = F.lit("")
-    title = F.coalesce(title, blank)
-    text = F.concat_ws(" ", *([title] * TITLE_WEIGHT), F.coalesce(content, blank))
-    return let(tokens(text, stopwords), lambda w: top_terms(terms(w), min(n, max_features)))
+    return let(tokens(_weighted_text(title, content), stopwords),
+               lambda w: top_terms(terms(w), min(n, max_features)))
+
+
+def without_stopwords(listed: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """(page_id, words) without the words in the first column of ``stopwords``, order kept.
+
+    Numbered words meet the table in an anti-join, which Spark broadcasts where the table
+    is small and shuffles where it is not. A page whose words all go has no row.
+    """
+    words = stopwords.select(F.col(stopwords.columns[0]).alias("word")).distinct()
+    return (listed.select("page_id", F.posexplode("words").alias("pos", "word"))
+            .join(words, "word", "left_anti")
+            .groupBy("page_id").agg(F.transform(
+                F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda e: e["word"]).alias("words")))
 
 
 def with_keywords(pages: DataFrame, n: int = N_KEYWORDS, max_features: int = MAX_FEATURES,
-                  stopwords: Sequence[str] = ()) -> DataFrame:
-    return pages.withColumn("keywords", keyword_list(
-        F.col("title"), F.col("content"), n, max_features, stopwords))
+                  stopwords: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """Add ``keywords``; stop words are a short list, or a table of any length.
+
+    With a table, pages need a ``page_id`` without repeats.
+    """
+    if not isinstance(stopwords, DataFrame):
+        return pages.withColumn("keywords", keyword_list(
+            F.col("title"), F.col("content"), n, max_features, stopwords))
+    listed = pages.select("page_id", tokens(_weighted_text(F.col("title"), F.col("content"))).alias("words"))
+    found = without_stopwords(listed, stopwords).select(
+        "page_id", top_terms(terms(F.col("words")), min(n, max_features)).alias("keywords"))
+    joined = pages.drop("keywords").join(found, "page_id", "left")
+    return joined.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

@@ -14,6 +14,9 @@ NOISE_LABEL = "noise"
 N_TERMS = 5
 MIN_TITLE_WORD = 4
 
+# Keys over which pages of no topic are spread when they meet their label.
+NOISE_PARTS = 64
+
 KEYWORD, TITLE, MARKER = "keyword", "title", "page"
 
 _SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -78,6 +81,18 @@ def topic_labels(pages: DataFrame, n_terms: int = N_TERMS) -> DataFrame:
 
 
 def assign_labels(assignments: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, cluster_id) with the label of its topic."""
-    return assignments.select("page_id", "cluster_id").join(labels, "cluster_id").select(
-        "page_id", "cluster_id", "cluster_label")
+    """(page_id, cluster_id) with the label of its topic.
+
+    Noise, which may be most pages, is spread over NOISE_PARTS keys of the join.
+    """
+    placed = assignments.select("page_id", "cluster_id")
+    names = labels.select("cluster_id", "cluster_label")
+    noise = F.col("cluster_id") == NOISE_ID
+    named = names.filter(~noise).unionByName(
+        # one row of noise stands for all of it where labels has any
+        names.filter(noise).groupBy("cluster_id").agg(F.min("cluster_label").alias("cluster_label")))
+    spread = F.when(noise, F.pmod(F.xxhash64("page_id"), F.lit(NOISE_PARTS))).otherwise(F.lit(0))
+    copies = F.when(noise, F.sequence(F.lit(0), F.lit(NOISE_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return (placed.withColumn("part", spread.cast("int"))
+            .join(named.withColumn("part", F.explode(copies)), ["cluster_id", "part"])
+            .select("page_id", "cluster_id", "cluster_label"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.schemas import LOG_EVENT_SCHEMA
 
@@ -26,21 +27,32 @@ RESET_PATTERN = (
 RESET_MARGIN_SECONDS = 60
 
 
+# Spark reads more than JSON unless told otherwise.
+_STRICT = {"allowSingleQuotes": "false"}
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with the parsed event, or the text in ``raw`` when not JSON."""
+    """Non-blank lines with the parsed event, or the text in ``raw`` when no JSON object.
+
+    A line is parsed once, as the only element of an array, so text after the object makes
+    it unreadable. Of a key that occurs twice the last value counts.
+    """
     trimmed = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).filter(F.col("line") != "")
-    parsed = trimmed.withColumn("event", F.from_json("line", LOG_EVENT_SCHEMA))
-    is_json = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()
+    only = F.when(F.col("line").startswith("{"), F.from_json(
+        F.concat(F.lit("["), F.col("line"), F.lit("]")), T.ArrayType(LOG_EVENT_SCHEMA), _STRICT))
+    parsed = trimmed.withColumn("event", only)
+    is_json = F.coalesce(F.size("event") == 1, F.lit(False)) & F.col("event")[0].isNotNull()
     return parsed.withColumns({
-        "event": F.when(is_json, F.col("event")),
+        "event": F.when(is_json, F.col("event")[0]),
         "raw": F.when(~is_json, F.col("line"))})
 
 
 def text_blocks(parsed: DataFrame) -> DataFrame:
     """Text blocks of assistant messages, one row each."""
     assistant = parsed.filter(F.col("event.type") == "assistant")
-    blocks = assistant.select(
-        "worker", "line_no", F.posexplode_outer("event.message.content").alias("block_no", "block"))
+    content = F.from_json(F.from_json("event.message", "content string", _STRICT)["content"],
+                          "array<struct<type string, text string>>", _STRICT)
+    blocks = assistant.select("worker", "line_no", F.posexplode_outer(content).alias("block_no", "block"))
     return blocks.filter(F.col("block.type") == "text").select(
         "worker", "line_no", "block_no", F.col("block.text").alias("text"))
 
@@ -53,12 +65,14 @@ def tool_counts(parsed: DataFrame) -> DataFrame:
 
 
 def denied_limits(parsed: DataFrame) -> DataFrame:
-    """Denied limit events with the time work may go on (NULL when not told)."""
-    info = F.col("event.rate_limit_info")
-    rows = parsed.filter(
-        (F.col("event.type") == "rate_limit_event") & (info["status"] == "denied"))
-    resets = F.nullif(info["resetsAt"], F.lit(0).cast("bigint"))
-    return rows.select(
+    """Denied limit events with the second from which work may go on (NULL when not told).
+
+    Fractions of a second are dropped.
+    """
+    rows = parsed.filter(F.col("event.type") == "rate_limit_event").withColumn(
+        "info", F.from_json("event.rate_limit_info", "status string, resetsAt string", _STRICT))
+    resets = F.floor(F.nullif(F.expr("try_cast(info.resetsAt AS double)"), F.lit(0.0)))
+    return rows.filter(F.col("info.status") == "denied").select(
         "worker", "line_no",
         F.timestamp_seconds(resets + RESET_MARGIN_SECONDS).alias("resume_at"))
 

@@ -107,23 +107,11 @@ USAGE_SCHEMA = T.StructType([
     T.StructField("output_tokens", T.LongType()),
 ])
 
-# One line of an agent log that is valid JSON.
+# One line of an agent log that is a JSON object. Every field is read as text, nested ones as
+# their JSON, so a field of an unexpected type never makes the line unreadable.
 LOG_EVENT_SCHEMA = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("message", T.StructType([
-        T.StructField("content", T.ArrayType(T.StructType([
-            T.StructField("type", T.StringType()),
-            T.StructField("text", T.StringType()),
-        ]))),
-    ])),
-    T.StructField("name", T.StringType()),
-    T.StructField("rate_limit_info", T.StructType([
-        T.StructField("status", T.StringType()),
-        T.StructField("resetsAt", T.LongType()),
-    ])),
-    T.StructField("subtype", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
+    T.StructField(name, T.StringType())
+    for name in ("type", "message", "name", "rate_limit_info", "subtype", "error")])
 
 
 @dataclass(frozen=True)

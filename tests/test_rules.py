@@ -1,5 +1,6 @@
 """Hand-made cases for rules that the SQL twins cannot show."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as tx
 from lacuna.operators import explore, frontier, gap, ingest, jobs, labels, logs, usage
-from lacuna.operators.keywords import keyword_list
+from lacuna.operators.keywords import keyword_list, with_keywords
 from lacuna.plans import analyze as pl
 from lacuna.schemas import PAGE_SCHEMA
 from lacuna.sources.pages import upsert_pages, with_defaults
@@ -82,6 +83,20 @@ def test_keywords_tokens(spark):
     assert not any("abc" in t or "clair" in t or "ząb" in t for t in got)
 
 
+def test_long_stopword_table_equals_the_short_list(spark):
+    short = ["the", "pies", "żółw"]
+    table = spark.createDataFrame([(w,) for w in [*short, "the", None, *(f"zz{i}x" for i in range(20_000))]], "w string")
+    pages = spark.createDataFrame([
+        ("a", "żółw", "the kot the pies kot ząb"), ("b", "the", "pies"), ("c", None, None), ("d", "", "kot the kot pies kot"),
+    ], "page_id string, title string, content string").withColumn("keywords", F.array(F.lit("old")))
+    want = {r["page_id"]: r["keywords"] for r in with_keywords(pages, stopwords=short).collect()}
+    got = {r["page_id"]: r["keywords"] for r in with_keywords(pages, stopwords=table).collect()}
+    assert got == want and got["b"] == got["c"] == [] and got["d"] == ["kot", "kot kot"]
+    long = {r["page_id"]: r["keywords"] for r in with_keywords(
+        pages, stopwords=[*short, *(f"zz{i}x" for i in range(12_000))]).collect()}
+    assert long == want
+
+
 def test_keywords_title_weight_and_empty(spark):
     assert value(spark, keyword_list(F.lit("alfa"), F.lit("beta beta"), n=1)) == ["alfa"]
     assert value(spark, keyword_list(F.lit(""), F.lit("a b 12"))) == []
@@ -110,11 +125,41 @@ def test_vector_guard_and_blank_pages(spark):
         [("a", [1.0, 2.0]), ("b", [1.0]), ("c", None)], "page_id string, vector array<float>")
     good, bad = ingest.validate_vectors(rows, 2)
     assert [r["page_id"] for r in good.collect()] == ["a"]
+    known = spark.createDataFrame([("x", 1), ("y", 2)], "page_id string, n int")
+    vectors = spark.createDataFrame([("x", [1.0]), ("z", [2.0])], "page_id string, vector array<float>")
+    assert [tuple(r) for r in ingest.join_vectors(known, vectors).collect()] == [("x", 1, [1.0])]
     assert sorted(r["page_id"] for r in bad.collect()) == ["b", "c"]
     pages = spark.createDataFrame([("x",), ("  ",), (None,)], "content string")
     assert ingest.has_text(pages).count() == 1 and ingest.without_text(pages).count() == 2
 
 
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """32-bit MurmurHash3, whole words as published, as the default embedder's buckets need it."""
+    mask, h = 0xFFFFFFFF, seed
+    rotl = lambda x, r: (x << r | x >> (32 - r)) & mask
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        k = int.from_bytes(data[i:i + 4], "little")
+        h = (rotl(h ^ rotl(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+    if data[whole:]:
+        h ^= rotl(int.from_bytes(data[whole:], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    return h ^ h >> 16
+
+
+def test_default_embedding_is_hashed_word_counts(spark):
+    pages = spark.createDataFrame([("Tytuł", "kot pies kot żółw"), ("a", None), (None, "x " * 300)],
+                                  "title string, content string")
+    for row in ingest.embed(pages.withColumn("text", tx.embed_text(F.col("title"), F.col("content"))), size=16).collect():
+        counts = [0.0] * 16
+        for word in re.split(r"\s", row["text"].lower().rstrip()):  # blanks at the end give no word, others empty ones
+            counts[(murmur3(word.encode()) ^ 1 << 31) - (1 << 31) & 15] += 1
+        size = sum(c * c for c in counts) ** 0.5
+        assert row["vector"] == pytest.approx([c / size for c in counts], abs=1e-6)
+
+
 def test_page_records(spark):
     raw = spark.createDataFrame(
         [("https://a.example/1", "<head><title>T</title></head><p>tekst strony</p>"),
@@ -185,6 +230,13 @@ def test_label_rules(spark):
                    4: "unlabelled", -1: "noise"}
 
 
+def test_noise_label_reaches_spread_pages(spark):
+    placed = spark.createDataFrame([(f"p{i}", -1 if i % 3 else i % 2) for i in range(60)], "page_id string, cluster_id int")
+    names = spark.createDataFrame([(-1, "noise"), (-1, "noise"), (0, "a")], "cluster_id int, cluster_label string")
+    got = labels.assign_labels(placed, names).collect()
+    assert len(got) == 50 and all(r["cluster_label"] == {-1: "noise", 0: "a"}[r["cluster_id"]] for r in got)
+
+
 # -- coverage -----------------------------------------------------------------
 
 def gap_pages(spark, own, competitor):
@@ -213,8 +265,53 @@ def test_gap_slabs_agree(spark):
                       [(c, [1.0, c / 10]) for c in range(12)])
     topics = gap.centroids(pages)
     one = gap.nearest_own(pages, topics).orderBy("cluster_id").collect()
-    many = gap.nearest_own(pages, topics, slab_topics=2).orderBy("cluster_id").collect()
-    assert one == many and len(one) == 12
+    for options in (dict(slab_topics=2), dict(slab_topics=2, slabs_at_once=2), dict(slab_topics=1, slabs_at_once=1, topic_count=12)):
+        many = gap.nearest_own(pages, topics, **options).orderBy("cluster_id").collect()
+        assert one == many and len(one) == 12
+
+
+def test_gap_own_vectors_stay_in_place(spark, tmp_path):
+    """Three slabs in one pass: the own pages meet them in a broadcast join, and only winners are shuffled."""
+    gap_pages(spark, [[1.0, 0.0], [0.0, 1.0]], [(c, [1.0, c / 10]) for c in range(6)]).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    topics = spark.createDataFrame([(c, [1.0, 0.0]) for c in range(6)], "cluster_id int, centroid array<double>")
+    found = gap.nearest_own(pages, topics, slab_topics=2, topic_count=6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert sum("BroadcastExchange" in line for line in exchanges) == 1 and "BroadcastNestedLoopJoin" in plan
+    assert not any("own_flat" in line or "vector" in line for line in exchanges)
+    # one shuffle for the winners, one for the slabs
+    assert sum("hashpartitioning" in line for line in exchanges) == 2
+
+
+def test_centroids_of_many_topics(spark):
+    """Sums by task and their merge: no sort, equal to numpy; flushing early changes nothing."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(int(c), v) for c, v in zip(rng.integers(0, 1000, 4000), rng.normal(size=(4000, 3)).round(2).tolist())]
+    rows += [(0, [0.0, 0.0, 0.0])]
+    pages = gap_pages(spark, [[1.0, 0.0, 0.0]], rows).repartition(6)
+    df = gap.centroids(pages)
+    assert "Sort" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["cluster_id"]: r for r in df.collect()}
+    for c in {c for c, _ in rows}:
+        mine = [(f"c{i}", np.float32(v).astype(float)) for i, (t, v) in enumerate(rows) if t == c]
+        total = sum(v / (np.linalg.norm(v) or 1) for _, v in mine)
+        np.testing.assert_allclose(got[c]["centroid"], total / (np.linalg.norm(total) or 1), atol=1e-9)
+        assert (got[c]["page_count"], got[c]["first_page_id"], got[c]["cluster_label"]) == (
+            len(mine), min(p for p, _ in mine), f"t{c}")
+    sums = gap._TopicSums()
+    sums.add(np.array([2, 1, 2]), np.eye(3), np.array([1, 1, 1]), np.array(["b", "a", "b"], dtype=object),
+             np.array([None, "x", "y"], dtype=object))
+    out = sums.flush().set_index("cluster_id")
+    assert out.loc[2, "cluster_label"] == "y" and out.loc[2, "page_count"] == 2 and not sums.sums
+
+
+def test_report_order(spark):
+    """Least covered topic first, equal scores by first page."""
+    pages = gap_pages(spark, [[1.0, 0.0]], [(3, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (0, [0.9, 0.1])])
+    assert [r["cluster_id"] for r in gap.gap_report(pages, 0.5).collect()] == [3, 2, 0, 1]
+    assert [r["cluster_id"] for r in gap.gap_clusters(pages, 0.5).collect()] == [3, 2, 0, 1]
 
 
 def test_score_has_no_upper_limit_and_needs_a_threshold(spark):
@@ -350,6 +447,27 @@ def test_log_lines(spark):
     assert [r["error"] for r in logs.error_results(parsed).collect()] == ["unknown error"]
 
 
+@pytest.mark.parametrize("line,event", [
+    ('{"type":"a","type":"tool_use","name":"n"}', True), ('{"type":"tool_use"} x', False), ("{'type':'tool_use'}", False),
+    ('{"type":"tool_use"},{"type":"tool_use"}', False), ('[{"type":"tool_use"}]', False), ("{}", True), ("{", False),
+    ('{"type":"tool_use","message":"text","rate_limit_info":7,"other":{"a":[1]}}', True), ('"x"', False),
+])
+def test_log_line_shapes(spark, line, event):
+    row = logs.parse_log(spark.createDataFrame([("w", 1, line)], "worker string, line_no int, line string")).first()
+    assert (row["event"] is not None, row["raw"]) == (event, None if event else line)
+    if event and "tool_use" in line:
+        assert row["event"]["type"] == "tool_use"
+
+
+@pytest.mark.parametrize("told,want", [("1704067200", "2024-01-01 00:01:00"), ("1704067200.9", "2024-01-01 00:01:00"),
+                                       ("0", None), ("null", None), ('"soon"', None), ("1.7040672e9", "2024-01-01 00:01:00")])
+def test_denied_limit_times(spark, told, want):
+    line = '{"type":"rate_limit_event","rate_limit_info":{"status":"allowed","status":"denied","resetsAt":%s}}' % told
+    parsed = logs.parse_log(spark.createDataFrame([("w", 1, line)], "worker string, line_no int, line string"))
+    rows = logs.denied_limits(parsed).select(F.date_format("resume_at", "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+    assert [r["t"] for r in rows] == [want]
+
+
 def test_silence_across_buckets(spark):
     times = [datetime(2024, 1, 1, 23, 50), datetime(2024, 1, 2, 0, 5), datetime(2024, 1, 2, 0, 10),
              datetime(2024, 1, 4, 0, 10)]

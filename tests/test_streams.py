@@ -55,6 +55,35 @@ def test_upsert_stream_replay_and_late_pages(spark, tmp_path):
     assert table.read().collect() == before
 
 
+def test_patches_hold_until_a_page_is_written_again(spark, tmp_path):
+    """Patches between deliveries, against the same steps one after the other; a patch stores no vector."""
+    from lacuna.schemas import PAGE_SCHEMA
+    from lacuna.sources.pages import patch_pages, upsert_pages
+
+    table = PageTable(spark, str(tmp_path / "table"))
+    plain = spark.createDataFrame([], PAGE_SCHEMA)
+    steps = [("deliver", 3, "pqr"), ("patch", 1, "pq"), ("deliver", 2, "p"), ("deliver", 5, "q"), ("patch", 2, "qrx"),
+             ("deliver", 5, "r"), ("patch", 3, "q"), ("compact", 0, ""), ("patch", 4, "p"), ("deliver", 9, "p"), ("deliver", 4, "r")]
+    for number, (step, value, ids) in enumerate(steps):
+        if step == "deliver":
+            rows = spark.createDataFrame([(i, f"{i}{number}", value) for i in ids], "page_id string, title string, day int").select(
+                *(F.col(f.name) if f.name in ("page_id", "title") else F.timestamp_seconds(F.col("day") * 86400).alias("timestamp")
+                  if f.name == "timestamp" else F.array(F.lit(0.5)).cast("array<float>").alias("vector")
+                  if f.name == "vector" else F.lit(None).cast(f.dataType).alias(f.name) for f in PAGE_SCHEMA))
+            table.deliver(rows, table.next_batch())
+            plain = upsert_pages(plain, rows)
+        elif step == "patch":
+            news = spark.createDataFrame([(i, value, f"t{value}") for i in ids], "page_id string, cluster_id int, cluster_label string")
+            table.patch(news)
+            plain = patch_pages(plain, news)
+        else:
+            table.compact()
+        plain = spark.createDataFrame(plain.collect(), PAGE_SCHEMA)
+        assert sorted(map(str, table.read().collect())) == sorted(map(str, plain.collect())), (number, step)
+    topics = spark.read.parquet(str(tmp_path / "table" / "topics"))
+    assert set(topics.columns) == {"page_id", "cluster_id", "cluster_label", "after", "version", "patch"}
+
+
 def test_usage_stream_continues_after_restart(spark, tmp_path):
     events = views.usage_events(spark, SF)
     folder = str(tmp_path / "in")
