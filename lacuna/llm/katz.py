@@ -1,24 +1,26 @@
-"""Katz backoff scores of documents under a bigram model trained on the corpus.
+"""Katz backoff scores of documents under an n-gram model trained on the corpus.
 
     P(w | h) = d(c) c(h w) / c(h)              if h w was seen c > 0 times in training
-             = a(h) P(w)                       else, with a(h) such that all sums are one
-    P(w)     = d'(c) c(w) / N, and what the discounts leave for all unknown words together
+             = a(h) P(w | h')                  else; h' is h without its first word, and a(h) makes all sums one
+    P(w)     = d(c) c(w) / N, and what the discounts leave for all unknown words together
 
-Discounts are Good-Turing's up to LARGE; larger counts keep a constant share, so that every
+Discounts are Good-Turing's, by order, up to LARGE; larger counts keep a constant share, so that every
 history has something to give to unseen words. A history that was never seen backs off
 with weight one.
 
-Counts are tables dealt by the predicted word. A bigram travels once, with the documents it
-occurs in, as packed columns; the part that owns the word sums it, adds to each document
-what is already certain, and sends to the owner of the history the history's share of seen words and the unseen
-words that wait for its weight. Words above a fixed share of all tokens are spread by history,
-and histories that are such words by document; there can be only so many of them.
+Documents are read once, into batches with a dictionary of their words. All histories that end in one word
+live in one bin, which therefore has whatever the recursion needs, but for the count of the
+predicted word. So batches first ask for counts of their words, each once per batch, and then
+deal their n-grams, with the documents they occur in, to the bins. A history with more
+tokens than a bin should hold is treated as the empty one is: its continuations are counted
+by asking, and its n-grams go by the next longer history, or by none. The bins' tables
+of counts are stored; discounts follow from all of them, weights and probabilities are found bin by bin.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +32,21 @@ from pyspark.sql import functions as F
 from lacuna.llm import words
 from lacuna.operators.lineage import cut
 
+ORDER = 3
 LARGE = 5
-#: A word with a share of at least 1 / HEAVY of the training tokens is spread; at most HEAVY can be.
-HEAVY = 4096
-SALTS = 16
-#: Tokens and documents packed at a time, and tokens of a part.
+#: Tokens and documents of a batch, and tokens of a bin.
 BATCH_TOKENS, BATCH_DOCS = 1 << 20, 1 << 15
-PART_TOKENS = 1 << 23
-#: Pieces of a part, which are in memory one after the other.
-PIECES = 16
+BIN_TOKENS = 1 << 20
+#: Tasks among which bins are divided, at most.
+TASKS = 8192
+#: Histories with a smaller share of all tokens are never spread; so 1 / SHARE of a length at most are.
+SHARE = 2.0 ** -16
+#: Wide rows that Python gets at a time, and bytes of sums that a task holds.
+ROWS, HELD_BYTES = 16, 1 << 25
 
 _U = np.uint64
 _START, _END = _U(0x5354415254), _U(0x454E44)
-_LOW48 = _U((1 << 48) - 1)
-_DOCS, _SUMS, _HISTORIES, _UNSEEN, _CLASSES = range(5)
+_GOLD = _U(0x9E3779B97F4A7C15)
 
 
 def discounts(classes: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
 
 def _planes(values: np.ndarray) -> np.ndarray:
     """The low 48 bits, byte by byte; packs better than whole words."""
-    return values.view(np.uint8).reshape(-1, 8)[:, :6].T.copy()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].T.copy()
 
 
 def _from_planes(planes: np.ndarray) -> np.ndarray:
@@ -105,53 +108,70 @@ def _from_planes(planes: np.ndarray) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys and the sums of each column of values."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return [keys, *(np.bincount(at, weights=v, minlength=len(keys)) for v in values)]
-
-
 def _tokens(text: str | None) -> np.ndarray:
     return np.append(words.word_hashes(words.split_words(text, lower=True)), _END)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of training texts, summed over some millions of tokens."""
-    held: list[np.ndarray] = []
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of values that mostly rise, byte by byte."""
+    return np.diff(values, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.copy()
 
-    def emit():
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())],
-                                          names=["word", "n"])
 
-    for batch in words.slices(batches):
-        for text in batch.column(0):
-            held.append(_tokens(text.as_py()))
-        if sum(map(len, held)) >= BATCH_TOKENS:
-            yield emit()
-            held = []
-    if held:
-        yield emit()
+def _from_steps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U)
+
+
+def _bins(keys: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each key; rises with the key."""
+    return (((keys >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
 
 
-def _bins(route: np.ndarray, bins: int) -> np.ndarray:
-    return (((route >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    edges = np.append(np.flatnonzero(np.diff(values, prepend=values[0] - 1)), len(values)).tolist() if len(values) else []
+    return list(zip(edges, edges[1:]))
 
 
-def _is_heavy(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(heavy, hashes), max(0, len(heavy) - 1))
-    return heavy[at] == hashes if len(heavy) else np.zeros(len(hashes), dtype=bool)
+def _classes(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, .. LARGE + 1 and more."""
+    return np.bincount(np.minimum(counts, LARGE + 2), minlength=LARGE + 3)[1:]
 
 
-_ROW = pa.schema([("part", pa.int64()), ("piece", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
+def _histories(word: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, .. order - 1 tokens before each token; texts begin with starts."""
+    place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out, history = [], np.zeros(len(word), dtype=_U)
+    for k in range(1, order):
+        before = np.roll(word, k)
+        before[place < k] = _START
+        history = words.mix(history * _GOLD + before + _U(k))
+        out.append(history)
+    return out
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+def _grams(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return words.mix((history ^ _U(0x6772616D)) * _GOLD + word)
 
 
-def _pack_bigrams(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, piece, batch, blob): a batch of documents' bigrams by owner, and, with piece -1, its documents."""
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one at a time; blobs do not leave the batch before they are asked for."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(column[row].as_py() for column in batch.columns)
+
+
+# -- batches of documents ------------------------------------------------------
+
+_BATCH = pa.schema([("batch", pa.int64()), ("tokens", pa.int64()), ("learnt", pa.int64()), ("docs", pa.binary()),
+                    ("body", pa.binary()), ("often", pa.binary())])
+
+
+def _read(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Batches of documents: ids, tokens by dictionary, and the histories that are frequent in the batch."""
     task, number = TaskContext.get().partitionId(), 0
     ids: list[int | None] = []
     held: list[bool] = []
@@ -160,36 +180,19 @@ def _pack_bigrams(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, parts: i
 
     def emit() -> pa.RecordBatch:
         nonlocal ids, held, texts, size, number
-        batch = (task << 24) + number
         lengths = np.array([len(t) for t in texts])
         word = np.concatenate(texts)
-        before = np.roll(word, 1)
-        before[np.cumsum(lengths) - lengths] = _START
-        before &= _LOW48
-        mark = np.repeat(np.arange(len(texts), dtype=np.uint16) | (np.array(held, dtype=np.uint16) << np.uint16(15)), lengths)
-        pair = words.mix(word * _U(0x9E3779B97F4A7C15) + before)
-        route = np.where(_is_heavy(word, heavy), pair, word)
-        order = np.argsort((route & ~_U(0xFFFFFFFF)) | (pair >> _U(32)), kind="stable")
-        word, before, mark, bins = word[order], before[order], mark[order], _bins(route[order], parts * PIECES)
-        new_pair = np.concatenate(([True], (word[1:] != word[:-1]) | (before[1:] != before[:-1])))
-        new_row = new_pair.copy()
-        new_row[1:] |= mark[1:] != mark[:-1]
-        at = np.flatnonzero(new_row)  # one row per bigram and document
-        times = np.diff(np.append(at, len(word))).astype(np.uint32)
-        first = np.flatnonzero(new_pair[at])  # rows that begin a bigram
-        spread = np.diff(np.append(first, len(at))).astype(np.uint32)
-        mark, word, before, bins = mark[at], word[at][first], before[at][first], bins[at]
-        rows = []
-        edges = np.append(np.flatnonzero(np.diff(bins, prepend=-1)), len(bins))
-        for a, b in zip(edges.tolist(), edges[1:].tolist()):
-            i, j = np.searchsorted(first, (a, b))
-            rows.append((int(bins[a]) // PIECES, int(bins[a]) % PIECES, batch, _pack(
-                word[i:j], _planes(before[i:j]), spread[i:j], mark[a:b], times[a:b])))
-        missing = np.array([x is None for x in ids])
-        rows.append((number % parts, -1, batch, _pack(
-            np.array([x or 0 for x in ids], dtype=np.int64), missing, np.array(held), lengths)))
+        names, codes = np.unique(word, return_inverse=True)
+        often = []
+        for history in _histories(word, lengths, order):
+            keys, n = np.unique(history, return_counts=True)
+            often += [keys[n >= size * SHARE], n[n >= size * SHARE]]
+        out = np.array(held)
+        docs = _pack(np.array([x or 0 for x in ids], dtype=np.int64), np.array([x is None for x in ids]), out, lengths)
+        row = ((task << 24) + number, size, int(lengths[~out].sum()), docs,
+               _pack(_steps(names), codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), _pack(*often))
         ids, held, texts, size, number = [], [], [], 0, number + 1
-        return _rows(rows)
+        return _table([row], _BATCH)
 
     for batch in words.slices(batches):
         for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -203,254 +206,404 @@ def _pack_bigrams(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, parts: i
         yield emit()
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
-_OUT_DDL = "kind int, key bigint, blob binary"
-
-
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
-
-
-#: Columns of a document's sums: score, base, known tokens, seen tokens by class of their count.
-_SUM_COLUMNS = 3 + LARGE + 1
-
-
-def _own_words(batches: Iterator[pa.RecordBatch], uni: Unigrams, heavy: np.ndarray, heavy_n: np.ndarray,
-               bins: int) -> Iterator[pa.RecordBatch]:
-    """What the owner of a word knows: sums of documents, shares of histories, unseen words."""
-    sums: dict[int, np.ndarray] = {}
-    classes = np.zeros(LARGE + 2, dtype=np.int64)
-    heavy48 = np.unique(heavy & _LOW48)
-    piece: tuple | None = None
-    blobs: list[tuple[int, bytes]] = []
-
-    def histories(rows, keys, values, kind):
-        """Deal columns to the owners of the histories; a heavy history has one owner per salt."""
-        bin_ = _bins(words.mix(keys), bins)
-        order = np.argsort(bin_, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(bin_[order], prepend=-1)), len(order))
-        for a, b in zip(edges.tolist(), edges[1:].tolist()):
-            part = order[a:b]
-            rows.append((kind, int(bin_[part[0]]), _pack(_planes(keys[part]), *(v[part] for v in values))))
-
-    def salted(keys, salt):
-        return np.where(_is_heavy(keys, heavy48), words.mix(keys * _U(SALTS) + salt.astype(_U)) & _LOW48, keys)
-
-    def flush():
-        rows = [(_SUMS, batch, _pack(*(column for column in table.T))) for batch, table in sums.items()]
-        sums.clear()
-        return rows
-
-    def settle() -> list[tuple]:
-        word, before, bigram, doc, times, held = [], [], [], [], [], []
-        number: dict[int, int] = {}
+def _frequent(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(k, history, n): histories of length k that are frequent in some batch."""
+    for (blob,) in _each(batches):
+        columns = _unpack(blob, *[_U, np.int64] * (order - 1))
+        for k in range(1, order):
+            keys, n = columns[2 * k - 2:2 * k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)),
+                                              pa.array(n)], names=["k", "history", "n"])
+
+
+class _Batch:
+    """A batch with the place of each history among the spread ones."""
+
+    def __init__(self, docs: bytes, body: bytes, spread: list[np.ndarray]):
+        self.order = len(spread) + 1
+        self.ids, self.missing, self.held, self.lengths = _unpack(docs, np.int64, np.bool_, np.bool_, np.int64)
+        names, codes = _unpack(body, np.uint8, np.uint8)
+        self.names = _from_steps(names)
+        self.codes = codes.reshape(4, -1).T.copy().view(np.uint32).ravel()
+        self.word = self.names[self.codes]
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.learnt = ~self.held[self.doc]
+        self.histories = _histories(self.word, self.lengths, self.order)
+        # depth: how many histories of a token, from the shortest on, are spread; chain: which ones
+        self.depth = np.zeros(len(self.word), dtype=np.int64)
+        self.chain = []
+        for k, (keys, history) in enumerate(zip(spread, self.histories)):
+            at = np.minimum(np.searchsorted(keys, history), max(0, len(keys) - 1))
+            found = (keys[at] == history if len(keys) else np.zeros(len(history), dtype=bool)) & (self.depth == k)
+            self.depth += found
+            self.chain.append(np.where(found, at, 0).astype(np.uint32))
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(keys, rising; their orders; learnt occurrences; per order each token's place among
+        the keys; per order a token for each of its keys).
+
+        Keys are all words, and the n-grams of spread histories. Tokens of the second and longer orders are those that
+        have such a history.
+        """
+        keys, learnt, levels, places, tokens = [], [], [], [], []
         size = 0
-        for batch, blob in blobs:
-            w, h, spread, mark, n = _unpack(blob, _U, np.uint8, np.uint32, np.uint16, np.uint32)
-            word.append(w)
-            before.append(_from_planes(h))
-            bigram.append(np.repeat(np.arange(size, size + len(w)), spread))
-            size += len(w)
-            doc.append(number.setdefault(batch, len(number)) * BATCH_DOCS + (mark & 0x7FFF).astype(np.int64))
-            held.append((mark >> 15).astype(bool))
-            times.append(n)
-        word, before, bigram, doc, times, held = map(np.concatenate, (word, before, bigram, doc, times, held))
-        learnt = np.where(held, 0, times)
-        _, at = np.unique(words.mix(word * _U(0x9E3779B97F4A7C15) + before), return_inverse=True)
-        first = np.zeros(at.max() + 1, dtype=np.int64)
-        first[at] = np.arange(len(at))
-        count = np.bincount(at[bigram], weights=learnt, minlength=len(first)).astype(np.int64)
-        types, of = np.unique(word, return_inverse=True)
-        word_n = np.bincount(of[bigram], weights=learnt, minlength=len(types)).astype(np.int64)
-        if len(heavy):
-            known = _is_heavy(types, heavy)
-            word_n[known] = heavy_n[np.searchsorted(heavy, types[known])]
-        nonlocal classes
-        classes += np.bincount(np.minimum(count, LARGE + 2), minlength=LARGE + 3)[1:]
-
-        c, wn = count[at[bigram]], word_n[of[bigram]]
-        seen = c > 0
-        follows = (wn > 0) & (word[bigram] != _END)  # the word is a history, of the next token
-        score = times * (np.log10(np.maximum(c, 1)) - np.where(follows, np.log10(np.maximum(wn, 1)), 0.0))
-        values = [score, times * uni.base(wn), times * (wn > 0)]
-        values += [times * (seen & (np.minimum(c, LARGE + 1) == r)) for r in range(1, LARGE + 2)]
-        keys, *totals = _summed(doc, *values)
-        table = np.stack(totals, axis=1)
-        names = {n: batch for batch, n in number.items()}
-        of_batch = keys // BATCH_DOCS
-        edges = np.append(np.flatnonzero(np.diff(of_batch, prepend=-1)), len(keys))
-        for a, b in zip(edges.tolist(), edges[1:].tolist()):
-            batch, place = names[int(of_batch[a])], keys[a:b] % BATCH_DOCS
-            grown = sums.get(batch, np.zeros((0, _SUM_COLUMNS)))
-            if len(grown) <= place[-1]:
-                grown = np.concatenate((grown, np.zeros((int(place[-1]) + 1 - len(grown), _SUM_COLUMNS))))
-            grown[place] += table[a:b]
-            sums[batch] = grown
-
-        rows: list[tuple] = []
-        h, w, n = before[first], word[first], count
-        h, w, n = h[n > 0], w[n > 0], n[n > 0]
-        if len(h):
-            share = uni.probability(word_n[np.searchsorted(types, w)])
-            keys, *stats = _summed(h, n, *(n == r for r in range(1, LARGE + 1)), share)
-            wide = np.where(_is_heavy(keys, heavy48), SALTS, 1)
-            repeat = np.repeat(np.arange(len(keys)), wide)
-            salt = np.arange(len(repeat)) - np.repeat(np.cumsum(wide) - wide, wide)
-            columns = [s[repeat].astype(np.uint32) for s in stats[:-1]] + [stats[-1][repeat]]
-            # repeated uint32 columns hold counts of one part of the corpus
-            histories(rows, salted(keys[repeat], salt), columns, _HISTORIES)
-        wait = np.flatnonzero(~seen)
-        if len(wait):
-            owner = np.array([names[i] for i in range(len(names))], dtype=np.int64)
-            waiting = times[wait] * np.log10(uni.probability(wn[wait]))
-            history = salted(before[bigram[wait]], doc[wait] % SALTS)
-            histories(rows, history, [owner[doc[wait] // BATCH_DOCS], (doc[wait] % BATCH_DOCS).astype(np.uint16),
-                                      times[wait].astype(np.uint32), waiting], _UNSEEN)
-        return rows
-
-    for batch in batches:
-        for row in range(batch.num_rows):  # one blob at a time leaves the batch
-            part, at, of_batch, blob = (c[row].as_py() for c in batch.columns)
-            if at < 0:
-                yield _out([(_DOCS, of_batch, blob)])
+        for k in range(self.order):
+            of = np.flatnonzero(self.depth >= k)
+            gram = self.word if k == 0 else _grams(self.histories[k - 1][of], self.word[of])
+            names, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            keys.append(names)
+            learnt.append(np.bincount(at, weights=self.learnt[of], minlength=len(names)))
+            levels.append(np.full(len(names), k, dtype=np.uint8))
+            places.append(at + size)
+            tokens.append(of[first])
+            size += len(names)
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        rank = np.empty(size, dtype=np.int64)
+        rank[order] = np.arange(size)
+        return (flat[order], np.concatenate(levels)[order], np.concatenate(learnt)[order].astype(np.uint32),
+                [rank[at] for at in places], tokens)
+
+
+# -- counting by asking --------------------------------------------------------
+
+_ASK = pa.schema([("bin", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
+_ASK_DDL = "bin bigint, batch bigint, blob binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], bins: int) -> Iterator[pa.RecordBatch]:
+    for number, docs, body in _each(batches):
+        keys, levels, learnt, _, _ = _Batch(docs, body, spread).asked()
+        bin_ = _bins(keys, bins)
+        yield _table([(int(bin_[a]), number, _pack(_steps(keys[a:b]), levels[a:b], learnt[a:b])) for a, b in _runs(bin_)], _ASK)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Each batch's keys of a bin with their counts; one batch is told to report a key. At last, with bin -1, classes of counts."""
+    classes = np.zeros((order, LARGE + 2), dtype=np.int64)
+    for bin_, rows in groupby(_each(batches), lambda row: row[0]):
+        numbers, blobs = zip(*(row[1:] for row in rows))
+        keys, levels, learnt = zip(*(_unpack(blob, np.uint8, np.uint8, np.uint32) for blob in blobs))
+        keys = [_from_steps(k) for k in keys]
+        ends = np.cumsum([len(k) for k in keys])
+        _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(learnt), minlength=len(first)).astype(np.int64)
+        level = np.concatenate(levels)[first]
+        for k in range(order):
+            classes[k] += _classes(count[level == k])
+        report = np.zeros(len(at), dtype=bool)
+        report[first] = count > 0
+        count = count[at].view(_U)
+        yield _table([(bin_, number, _pack(_planes(count[end - len(k):end]), report[end - len(k):end]))
+                      for number, k, end in zip(numbers, keys, ends.tolist())], _ASK)
+    yield _table([(-1, -1, _pack(classes))], _ASK)
+
+
+# -- dealing n-grams to the bins of their histories ------------------------------
+
+#: Kinds of rows below a number of spread histories are n-grams with so many of them.
+_DOCS, _SUMS, _CLASS_ROW, _REPORT = 100, 101, 102, 200
+_DEAL = pa.schema([("part", pa.int32()), ("bin", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
+_DEAL_DDL = "part int, bin bigint, kind int, batch bigint, blob binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unigrams, bins: int, per_part: int) -> Iterator[pa.RecordBatch]:
+    """A batch's documents, n-grams by bin, and the continuations of spread histories that it reports.
+
+    The batch's own row comes first (bin -1), then the answers it got, by bin.
+    """
+    for number, rows in groupby(_each(batches), lambda row: row[0]):
+        _, _, docs, body = next(rows)  # the batch's own
+        batch = _Batch(docs, body, spread)
+        order = batch.order
+        counts, report = zip(*(_unpack(blob, np.uint8, np.bool_) for _, _, blob, _ in rows))
+        count = np.concatenate([_from_planes(c) for c in counts])
+        report = np.concatenate(report)
+        _, _, _, places, tokens = batch.asked()
+        known = np.zeros((order, len(batch.word)), dtype=_U)  # counts as far as they were asked for
+        for k, at in enumerate(places):
+            known[k, batch.depth >= k] = count[at]
+
+        spare = int(words.mix(np.array([number], dtype=_U))[0] % _U(bins))
+        here = spare // per_part
+        base = np.bincount(batch.doc, weights=uni.base(known[0].astype(np.int64)), minlength=len(batch.ids))
+        out = [(here, spare, _DOCS, number, _pack(batch.ids, batch.missing, batch.held, batch.lengths, base,
+                                                  np.bincount(batch.doc[known[0] > 0], minlength=len(batch.ids))))]
+        for k in range(1, order):
+            told = tokens[k][report[places[k][np.searchsorted(np.flatnonzero(batch.depth >= k), tokens[k])]]]
+            if len(told):
+                out.append((here, spare, _REPORT + k, number, _pack(
+                    *(batch.chain[i][told] for i in range(k)), *(known[i, told] for i in range(k + 1)))))
+        gram = _grams(batch.histories[-1], batch.word)
+        mark = batch.doc.astype(np.uint16) | (batch.held[batch.doc].astype(np.uint16) << np.uint16(15))
+        for depth in range(order):
+            of = np.flatnonzero(batch.depth == depth)
+            if not len(of):
                 continue
-            if piece != (part, at) and blobs:
-                if rows := settle():
-                    yield _out(rows)
-                blobs = []
-                if sum(t.nbytes for t in sums.values()) > 1 << 26:
-                    yield _out(flush())
-            piece = (part, at)
-            blobs.append((of_batch, blob))
-    last = (settle() if blobs else []) + flush()
-    last.append((_CLASSES, 0, _pack(classes)))
-    yield _out(last)
-
-
-def _own_histories(batches: Iterator[pa.RecordBatch], keep: np.ndarray, unknown: float) -> Iterator[pa.RecordBatch]:
-    """Weights of histories, and with them the sums that unseen words add to documents."""
-    bin_, blobs = None, []
-
-    def settle() -> list[tuple]:
-        stats = [_unpack(b, np.uint8, *[np.uint32] * (LARGE + 1), np.float64) for k, b in blobs if k == _HISTORIES]
-        asked = [_unpack(b, np.uint8, np.int64, np.uint16, np.uint32, np.float64) for k, b in blobs if k == _UNSEEN]
-        if not asked:
-            return []
-        history = np.concatenate([_from_planes(a[0]) for a in asked])
-        batch, doc, times, value = (np.concatenate(c) for c in list(zip(*asked))[1:])
-        if stats:
-            known = np.concatenate([_from_planes(s[0]) for s in stats])
-            known, total, *rest = _summed(known, *(np.concatenate(c).astype(float) for c in list(zip(*stats))[1:]))
-            small, share = np.stack(rest[:-1]), rest[-1]
-            r = np.arange(1, LARGE + 1)[:, None]
-            freed = (small * r * (1 - keep[:-1, None])).sum(axis=0)
-            freed += (total - (small * r).sum(axis=0)) * (1 - keep[-1])
-            weight = np.log10(freed) - np.log10(np.maximum(1 - share, unknown))  # with log10 c(h) added
-            at = np.minimum(np.searchsorted(known, history), len(known) - 1)
-            value = value + np.where(known[at] == history, times * weight[at], 0.0)
-        names, of = np.unique(batch, return_inverse=True)
-        keys, total = _summed(of * BATCH_DOCS + doc.astype(np.int64), value)
-        rows = []
-        edges = np.append(np.flatnonzero(np.diff(keys // BATCH_DOCS, prepend=-1)), len(keys))
-        for a, b in zip(edges.tolist(), edges[1:].tolist()):
-            rows.append((_UNSEEN, int(names[keys[a] // BATCH_DOCS]),
-                         _pack((keys[a:b] % BATCH_DOCS).astype(np.uint16), total[a:b])))
-        return rows
-
-    for batch in batches:
-        for row in range(batch.num_rows):
-            kind, key, blob = (c[row].as_py() for c in batch.columns)
-            if key != bin_ and blobs:
-                if rows := settle():
-                    yield _out(rows)
-                blobs = []
-            bin_ = key
-            blobs.append((kind, blob))
-    if blobs and (rows := settle()):
-        yield _out(rows)
-
-
-def _own_documents(batches: Iterator[pa.RecordBatch], keep: np.ndarray, start: int, tokens: int,
-                   schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Scores of the documents of each batch; its row of documents comes first."""
-    current, docs, table, extra = None, None, None, None
-
-    def result():
-        ids, missing, held, lengths = docs
-        score = table[:, 0] + table[:, 3:] @ np.log10(keep) + extra
-        if start:
-            score = score - math.log10(start)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=missing.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths, pa.int64()),
-             pa.array(np.rint(table[:, 2]).astype(np.int64)), pa.array(np.full(len(ids), tokens, dtype=np.int64)),
-             pa.array(table[:, 1]), pa.array(score)], schema=schema)
-
-    for batch in batches:
-        for row in range(batch.num_rows):
-            kind, key, blob = (c[row].as_py() for c in batch.columns)
-            if kind == _DOCS:
-                if current is not None:
-                    yield result()
-                current = key
-                docs = _unpack(blob, np.int64, np.bool_, np.bool_, np.int64)
-                table, extra = np.zeros((len(docs[0]), _SUM_COLUMNS)), np.zeros(len(docs[0]))
-            elif kind == _SUMS:
-                part = np.stack(_unpack(blob, *[np.float64] * _SUM_COLUMNS), axis=1)
-                table[:len(part)] += part
+            route = batch.histories[depth][of] if depth < order - 1 else np.zeros(len(of), dtype=_U)
+            sort = np.argsort((route & ~_U(0xFFFFFFFF)) | (gram[of] >> _U(32)), kind="stable")
+            of, route = of[sort], route[sort]
+            new_gram = np.append(True, gram[of][1:] != gram[of][:-1])
+            new_row = new_gram | np.append(True, mark[of][1:] != mark[of][:-1])
+            at = np.flatnonzero(new_row)  # one row per n-gram and document
+            times = np.diff(np.append(at, len(of))).astype(np.uint32)
+            first = np.flatnonzero(new_gram[at])  # rows that begin an n-gram
+            width = np.diff(np.append(first, len(at))).astype(np.uint32)
+            one = of[at][first]
+            bin_ = _bins(route[at][first], bins) if depth < order - 1 else np.full(len(one), spare)
+            first = np.append(first, len(at))
+            for a, b in _runs(bin_):
+                i, part = slice(first[a], first[b]), one[a:b]
+                columns = [width[a:b], *(batch.chain[k][part] for k in range(depth)),
+                           *(_planes(known[k, part]) for k in range(min(depth + 1, order)))]
+                if depth < order - 1:
+                    columns += [*(_planes(batch.histories[k][part]) for k in range(depth, order - 1)), _planes(batch.word[part])]
+                out.append((int(bin_[a]) // per_part, int(bin_[a]), depth, number, _pack(mark[of[at[i]]], times[i], *columns)))
+        yield _table(out, _DEAL)
+
+
+def _dealt_types(depth: int, order: int) -> list:
+    local = order - depth if depth < order - 1 else 0
+    return [np.uint16, np.uint32, np.uint32, *[np.uint32] * depth, *[np.uint8] * (min(depth + 1, order) + local)]
+
+
+def _gather(batches: Iterator[pa.RecordBatch], order: int, per_part: int) -> Iterator[pa.RecordBatch]:
+    """The count table of each bin and depth, one row each, with the documents that its n-grams occur in.
+
+    Rows of other kinds pass; at last come classes of counts.
+    """
+    classes = np.zeros((order, LARGE + 2), dtype=np.int64)
+    for (bin_, depth), rows in groupby(_each(batches), lambda row: row[1:3]):
+        if depth >= _DOCS:
+            for row in rows:
+                yield _table([row], _DEAL)
+            continue
+        numbers, columns = [], []
+        for row in rows:
+            numbers.append(row[3])
+            columns.append(_unpack(row[4], *_dealt_types(depth, order)))
+        owner = np.repeat(np.arange(len(numbers)), [len(c[0]) for c in columns])
+        mark, times, width, *rest = (np.concatenate(c) if i < 3 + depth else np.concatenate([_from_planes(x) for x in c])
+                                     for i, c in enumerate(zip(*columns)))
+        chain, counts, local = rest[:depth], rest[depth:depth + min(depth + 1, order)], rest[depth + min(depth + 1, order):]
+        del columns, rest
+        of = np.repeat(np.arange(len(width)), width)
+        learnt = np.where(mark >> 15, 0, times)
+        groups, firsts = [], []
+        if local:
+            *histories, word = local
+            _, first, at = np.unique(_grams(histories[-1], word), return_index=True, return_inverse=True)
+            of = at[of]  # the same n-gram of several batches becomes one
+            chain, counts = [c[first] for c in chain], [c[first] for c in counts]
+            histories, word = [h[first] for h in histories], word[first]
+            seen = np.bincount(of, weights=learnt, minlength=len(first))
+            for k, history in enumerate(histories):
+                if k < len(histories) - 1:
+                    _, one, at = np.unique(_grams(history, word), return_index=True, return_inverse=True)
+                    count = np.bincount(at, weights=seen, minlength=len(one)).astype(np.int64)
+                else:
+                    one, at, count = np.arange(len(word)), slice(None), seen.astype(np.int64)
+                classes[depth + 1 + k] += _classes(count)
+                counts.append(count[at].view(_U))
+                is_first = np.zeros(len(word), dtype=bool)
+                is_first[one] = True
+                firsts.append(is_first)
+                groups.append(np.unique(history, return_inverse=True)[1].astype(np.uint32))
+        yield _table([(bin_ // per_part, bin_, depth, len(numbers), _pack(
+            np.array(numbers, dtype=np.int64), owner.astype(np.uint32), mark, times, of.astype(np.uint32),
+            *chain, *counts, *groups, *firsts))], _DEAL)
+    yield _table([(-1, -1, _CLASS_ROW, -1, _pack(classes))], _DEAL)
+
+
+# -- weights and scores --------------------------------------------------------
+
+class Model:
+    """Discounts of every order and what is known of spread histories."""
+
+    def __init__(self, uni: Unigrams, classes: np.ndarray, spread: list[np.ndarray]):
+        self.uni, self.order = uni, len(classes)
+        self.keep = [discounts(c) for c in classes]
+        # per length: occurrences, weight and probability of an unknown word
+        self.total = [np.zeros(max(1, len(s))) for s in spread]
+        self.weight = [np.ones(max(1, len(s))) for s in spread]
+        self.unknown = [np.full(max(1, len(s)), uni.unknown) for s in spread]
+
+    def share(self, k: int, counts: np.ndarray) -> np.ndarray:
+        """What n-grams of k + 1 words keep of their counts."""
+        return self.keep[k][np.clip(counts, 1, LARGE + 1) - 1]
+
+    def climb(self, counts: list[np.ndarray], chain: list[np.ndarray], groups: list[np.ndarray] = (),
+              firsts: list[np.ndarray] = ()) -> np.ndarray:
+        """Probability of each n-gram's last word, from the empty history up to the longest.
+
+        ``chain`` tells spread histories, ``groups`` the others, which are whole; ``firsts`` marks one row for each
+        n-gram of an order.
+        """
+        p = self.uni.probability(counts[0])
+        unknown = np.full(len(p), self.uni.unknown)
+        for k in range(1, len(counts)):
+            c = counts[k]
+            if k <= len(chain):
+                total, weight = self.total[k - 1][chain[k - 1]], self.weight[k - 1][chain[k - 1]]
             else:
-                place, value = _unpack(blob, np.uint16, np.float64)
-                extra[place] += value
-    if current is not None:
-        yield result()
-
+                at, seen = groups[k - 1 - len(chain)], firsts[k - 1 - len(chain)] & (c > 0)
+                size = int(at.max()) + 1
+                least = np.zeros(size)
+                least[at] = unknown
+                total = np.bincount(at, weights=seen * c, minlength=size)
+                freed = np.bincount(at, weights=seen * c * (1 - self.share(k, c)), minlength=size)
+                weight = self.weights(total, freed, np.bincount(at, weights=seen * p, minlength=size), least)
+                total, weight = total[at], weight[at]
+            p = np.where(c > 0, c * self.share(k, c) / np.maximum(total, 1), weight * p)
+            unknown = weight * unknown
+        return p
+
+    @staticmethod
+    def weights(total: np.ndarray, freed: np.ndarray, lower: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Freed share over what shorter histories give to unseen words, which is at least what they give to unknown ones."""
+        return np.where(total > 0, freed / np.maximum(total, 1) / np.maximum(1 - lower, least), 1.0)
+
+    def learn_spread(self, pieces: DataFrame) -> None:
+        """Totals and weights of spread histories, length by length, from their reported continuations."""
+        for k in range(1, self.order):
+            shared = pieces.sparkSession.sparkContext.broadcast(self)
+
+            def sums(batches, k=k):
+                model = shared.value
+                for (blob,) in _each(batches):
+                    columns = _unpack(blob, *[np.uint32] * k, *[_U] * (k + 1))
+                    chain, counts = columns[:k], [c.astype(np.int64) for c in columns[k:]]
+                    p = model.climb(counts[:k], chain[:k - 1])
+                    names, at = np.unique(chain[-1], return_inverse=True)
+                    parent = np.zeros(len(names), dtype=np.int64)
+                    if k > 1:
+                        parent[at] = chain[-2]
+                    c = counts[-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names.astype(np.int64)), pa.array(parent), *(pa.array(np.bincount(at, weights=x)) for x in (
+                            c, c * (1 - model.share(k, c)), p))], names=["history", "parent", "total", "freed", "lower"])
+
+            rows = (pieces.filter(F.col("kind") == _REPORT + k).select("blob").mapInArrow(
+                sums, "history bigint, parent bigint, total double, freed double, lower double")
+                .groupBy("history").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in ("total", "freed", "lower"))).toPandas())
+            at = rows["history"].to_numpy(dtype=np.int64)
+            least = self.unknown[k - 2][rows["parent"].to_numpy(dtype=np.int64)] if k > 1 else np.full(len(at), self.uni.unknown)
+            total, freed, lower = (rows[c].to_numpy(dtype=float) for c in ("total", "freed", "lower"))
+            self.total[k - 1][at] = total
+            self.weight[k - 1][at] = self.weights(total, freed, lower, least)
+            self.unknown[k - 1][at] = self.weight[k - 1][at] * least
+
+
+_PART = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+_PART_DDL = "batch bigint, kind int, blob binary"
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Log probabilities of each batch's documents, summed over the bins that a task has."""
+    sums: dict[int, np.ndarray] = {}
 
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for number, table in sums.items():
+            at = np.flatnonzero(table)
+            rows.append((number, _SUMS, _pack(at.astype(np.uint16), table[at])))
+        sums.clear()
+        return _table(rows, _PART)
+
+    for depth, blob in _each(batches):
+        local = model.order - 1 - depth
+        numbers, owner, mark, times, of, *rest = _unpack(
+            blob, np.int64, np.uint32, np.uint16, np.uint32, np.uint32, *[np.uint32] * depth, *[_U] * model.order,
+            *[np.uint32] * local, *[np.bool_] * local)
+        chain, counts = rest[:depth], [c.astype(np.int64) for c in rest[depth:depth + model.order]]
+        groups, firsts = rest[depth + model.order:len(rest) - local], rest[len(rest) - local:]
+        value = np.log10(model.climb(counts, chain, groups, firsts))[of] * times
+        doc = owner.astype(np.int64) * BATCH_DOCS + (mark & 0x7FFF)
+        total = np.bincount(doc, weights=value, minlength=len(numbers) * BATCH_DOCS).reshape(len(numbers), BATCH_DOCS)
+        for number, row in zip(numbers.tolist(), total):
+            row = row[:np.flatnonzero(row).max(initial=-1) + 1]
+            grown = sums.get(number, row[:0])
+            if len(grown) < len(row):
+                grown = np.concatenate((grown, np.zeros(len(row) - len(grown))))
+            grown[:len(row)] += row
+            sums[number] = grown
+        if sum(t.nbytes for t in sums.values()) > HELD_BYTES:
+            yield flush()
+    if sums:
+        yield flush()
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _own_documents(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of each batch; its row of documents comes first."""
+    for _, rows in groupby(_each(batches), lambda row: row[0]):
+        ids, missing, held, lengths, base, known = _unpack(
+            next(rows)[2], np.int64, np.bool_, np.bool_, np.int64, np.float64, np.int64)
+        score = np.zeros(len(ids))
+        for _, _, blob in rows:
+            at, value = _unpack(blob, np.uint16, np.float64)
+            score[at] += value
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=missing), pa.array(held), pa.array(lengths), pa.array(known),
+             pa.array(np.full(len(ids), tokens, dtype=np.int64)), pa.array(base), pa.array(score)], schema=_SCORES)
+
+
+def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    The model learns from documents whose ``held_out`` is not true. Tokens are the lower-cased words of the
-    whole text and one end, so null and empty texts have one token. base_score sums
+    The model has n-grams of up to ``order`` (two or more) words and learns from documents whose ``held_out`` is not true. Tokens
+    are the lower-cased words of the whole text and one end, so null and empty texts have one token. base_score sums
     log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated rows count and are
     scored each; a null doc_id stays null; without training documents every word is
-    unknown and certain, and both scores are 0. Words compare by 64-bit hashes, histories by
-    48 bits of them. The input must return its rows in the same order if a task is run
-    again, as files do. Extra columns are ignored.
+    unknown and certain, and both scores are 0. Words and histories compare by 64-bit hashes, within a bin by
+    48 bits of them. Extra columns are ignored. Runs its jobs at once and returns the last step.
     """
+    if order < 2:
+        raise ValueError("the order must be two or more")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    trained = rows.filter(~F.col("held_out")).select("text")
-    unigrams = cut(trained.mapInArrow(_count_words, "word bigint, n bigint")
-                   .groupBy("word").agg(F.sum("n").alias("n")))
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"), *(
-        F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, LARGE + 2))).first()
-    uni = Unigrams(total["tokens"], total["types"], np.array(total[2:], dtype=np.int64))
-    often = unigrams.filter(F.col("n") * HEAVY >= max(HEAVY, total["tokens"])).toArrow()
-    heavy = np.asarray(often.column("word").combine_chunks()).view(_U)
-    order = np.argsort(heavy)
-    heavy, heavy_n = heavy[order], np.asarray(often.column("n").combine_chunks())[order]
-    ends = unigrams.filter(F.col("word") == int(_END)).first()
-    start = ends["n"] if ends else 0  # every training document has one start and one end
-
-    parts = max(12, total["tokens"] // PART_TOKENS)
-    shared = spark.sparkContext.broadcast((uni, heavy, heavy_n))
-    packed = rows.mapInArrow(lambda b: _pack_bigrams(b, shared.value[1], parts),
-                             "part bigint, piece int, batch bigint, blob binary")
-    dealt = packed.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "piece")
-    known = cut(dealt.mapInArrow(lambda b: _own_words(b, *shared.value, parts * PIECES), _OUT_DDL))
-
-    classes = np.zeros(LARGE + 2, dtype=np.int64)
-    for row in known.filter(F.col("kind") == _CLASSES).toLocalIterator():
-        classes += _unpack(row["blob"], np.int64)[0]
-    keep = discounts(classes)
-    unknown = uni.unknown
-    waiting = (known.filter(F.col("kind").isin(_HISTORIES, _UNSEEN)).repartition(parts, "key")
-               .sortWithinPartitions("key").mapInArrow(lambda b: _own_histories(b, keep, unknown), _OUT_DDL))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-                        ("base_score", pa.float64()), ("score", pa.float64())])
-    tokens = total["tokens"]
-    return (known.filter(F.col("kind").isin(_DOCS, _SUMS)).unionByName(waiting)
-            .repartition(parts, "key").sortWithinPartitions("key", "kind")
-            .mapInArrow(lambda b: _own_documents(b, keep, start, tokens, schema),
+    read = cut(rows.mapInArrow(words.tidy(_read, order), "batch bigint, tokens bigint, learnt bigint, docs binary, "
+                                                         "body binary, often binary"), words.SLICE)
+    size = read.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "learnt"))).first()
+    bins = max(12, -(-size["tokens"] // BIN_TOKENS))
+    per_part = -(-bins // TASKS)
+    parts = -(-bins // per_part)
+    least = max(SHARE * size["tokens"], BIN_TOKENS / 2)
+    often = (read.select("often").mapInArrow(lambda b: _frequent(b, order), "k int, history bigint, n bigint")
+             .groupBy("k", "history").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas())
+    spread = [np.sort(often.loc[often["k"] == k, "history"].to_numpy(dtype=np.int64).view(_U)) for k in range(1, order)]
+    known = spark.sparkContext.broadcast(spread)
+
+    asked = (read.select("batch", "docs", "body").mapInArrow(words.tidy(lambda b: _ask(b, known.value, bins)), _ASK_DDL)
+             .withColumn("part", F.floor(F.col("bin") / per_part).cast("int"))
+             .repartitionById(parts, F.col("part")).sortWithinPartitions("bin", "batch").select("bin", "batch", "blob"))
+    answers = cut(asked.mapInArrow(words.tidy(_answer, order), _ASK_DDL), ROWS)
+    classes = np.zeros((order, LARGE + 2), dtype=np.int64)
+    for row in answers.filter(F.col("bin") < 0).toLocalIterator():
+        classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
+    uni = Unigrams(size["learnt"], int(classes[0].sum()), classes[0])
+
+    told = (read.select("batch", F.lit(-1).cast("bigint").alias("bin"), F.col("docs").alias("blob"), "body")
+            .unionByName(answers.filter(F.col("bin") >= 0).withColumn("body", F.lit(None).cast("binary")))
+            .repartition(parts, "batch").sortWithinPartitions("batch", "bin").select("batch", "bin", "blob", "body"))
+    dealt = (told.mapInArrow(words.tidy(lambda b: _deal(b, known.value, uni, bins, per_part)), _DEAL_DDL)
+             .repartitionById(parts, F.col("part")).sortWithinPartitions("bin", "kind", "batch"))
+    pieces = cut(dealt.mapInArrow(words.tidy(_gather, order, per_part), _DEAL_DDL), ROWS)
+    for row in pieces.filter(F.col("kind") == _CLASS_ROW).toLocalIterator():
+        classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
+
+    model = Model(uni, classes, spread)
+    model.learn_spread(pieces)
+    shared = spark.sparkContext.broadcast(model)
+    sums = cut(pieces.filter(F.col("kind") < _DOCS).select("kind", "blob").mapInArrow(
+        words.tidy(lambda b: _score(b, shared.value)), _PART_DDL), ROWS)
+    tokens = size["learnt"]
+    return (pieces.filter(F.col("kind") == _DOCS).select("batch", "kind", "blob").unionByName(sums)
+            .repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+            .mapInArrow(words.tidy(_own_documents, tokens),
                         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
                         "train_tokens bigint, base_score double, score double"))

@@ -229,49 +229,59 @@ def test_hot_segments_are_searched_in_smaller_pieces(spark):
     assert set().union(*(grams(r.words) for r in second.collect())) == set().union(*(grams(r[3]) for r in rows))
 
 
-def katz_scores(rows, held):
+def katz_scores(rows, held, order):
+    """The recursion, straight from its definition."""
     tokens = [words(t, lower=True) + [None] for _, t in rows]
-    uni, bi = Counter(), Counter()
-    for (i, _), t in zip(rows, tokens):
+    count = [Counter() for _ in range(order)]  # by n-gram of 1, 2, .. words
+    grams = [[tuple((["start"] * (order - 1) + t)[i:i + order]) for i in range(len(t))] for t in tokens]
+    for (i, _), lines in zip(rows, grams):
         if not held(i):
-            uni.update(t)
-            bi.update(zip(["start", *t[:-1]], t))
-
-    def keep(counter):
+            for g in lines:
+                for k in range(order):
+                    count[k][g[order - 1 - k:]] += 1
+    keep = []
+    for counter in count:
         seen = Counter(counter.values())
-        return katz.discounts(np.array([seen[r] for r in range(1, katz.LARGE + 2)]))
-
-    du, db, n, v = keep(uni), keep(bi), sum(uni.values()), len(uni)
-    star = lambda c, d: c * d[min(c, katz.LARGE + 1) - 1]
-    unknown = 1 - sum(star(c, du) for c in uni.values()) / n if n else 1.0
-    p = lambda w: star(uni[w], du) / n if w in uni else unknown
-    total, mass, known = Counter(), defaultdict(float), defaultdict(float)
-    for (h, w), c in bi.items():
-        total[h] += c
-        mass[h] += star(c, db)
-        known[h] += p(w)
-
-    def probability(h, w):
-        if (h, w) in bi:
-            return star(bi[h, w], db) / total[h]
-        return (1 - mass[h] / total[h]) / (1 - known[h]) * p(w) if h in total else p(w)
-
-    for h in list(total)[:20]:  # every history's probabilities add up to one
-        assert sum(probability(h, w) for w in [*uni, "never seen"]) == pytest.approx(1.0)
-    return [(i, held(i), len(t), sum(w in uni for w in t), n,
-             sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t),
-             sum(math.log10(probability(h, w)) for h, w in zip(["start", *t[:-1]], t)))
-            for (i, _), t in zip(rows, tokens)]
-
-
-@pytest.mark.parametrize("heavy", [katz.HEAVY, 20])
-def test_katz_equals_brute_force(spark, monkeypatch, heavy):
-    monkeypatch.setattr(katz, "HEAVY", heavy)
+        keep.append(katz.discounts(np.array([seen[r] for r in range(1, katz.LARGE + 2)])))
+    follow = [defaultdict(list) for _ in range(order)]
+    for k, counter in enumerate(count):
+        for g in counter:
+            follow[k][g[:-1]].append(g[-1])
+    n, v = sum(count[0].values()), len(count[0])
+    star = lambda k, c: c * keep[k][min(c, katz.LARGE + 1) - 1]
+    unknown = 1 - sum(star(0, c) for c in count[0].values()) / n if n else 1.0
+    weights = {}
+
+    def p(g):
+        k, h = len(g) - 1, g[:-1]
+        if k == 0:
+            return star(0, count[0][g]) / n if g in count[0] else unknown
+        if h not in follow[k]:
+            return p(g[1:])
+        if (k, h) not in weights:
+            total = sum(count[k][(*h, w)] for w in follow[k][h])
+            left = 1 - sum(star(k, count[k][(*h, w)]) for w in follow[k][h]) / total
+            weights[k, h] = total, left / (1 - sum(p((*h[1:], w)) for w in follow[k][h]))
+        total, weight = weights[k, h]
+        return star(k, count[k][g]) / total if g in count[k] else weight * p(g[1:])
+
+    for h in list(follow[order - 1])[:20]:  # every history's probabilities add up to one
+        assert sum(p((*h, w)) for w, in [*count[0], ("never seen",)]) == pytest.approx(1.0)
+    return [(i, held(i), len(t), sum((w,) in count[0] for w in t), n,
+             sum(math.log10((count[0][(w,)] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(g)) for g in lines))
+            for (i, _), t, lines in zip(rows, tokens, grams)]
+
+
+@pytest.mark.parametrize("order,bin_tokens", [(3, katz.BIN_TOKENS), (3, 60), (3, 6), (2, 60), (4, 10)])
+def test_katz_equals_brute_force(spark, monkeypatch, order, bin_tokens):
+    """Bins of few tokens make many histories spread, of one word and of several."""
+    monkeypatch.setattr(katz, "BIN_TOKENS", bin_tokens)
+    monkeypatch.setattr(katz, "TASKS", 20)
     rows = [r for r in odd_rows() if r[0] is not None]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = sorted(map(tuple, katz.score_documents(documents(spark, rows).coalesce(2), out).collect()))
-    want = sorted(katz_scores(rows, held))
+    got = sorted(map(tuple, katz.score_documents(documents(spark, rows).coalesce(3), out, order).collect()))
+    want = sorted(katz_scores(rows, held, order))
     assert [r[:5] for r in got] == [r[:5] for r in want]
     np.testing.assert_allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9)
 
