@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Hashes kept; the standard error of a likeness is at most 0.5 / sqrt(HASHES).
 HASHES = 64
+#: Buckets of ids for each shuffle partition.
+BUCKETS = 4
 
 _NO_ID = -(1 << 63)
 
@@ -110,31 +112,41 @@ def fingerprint_edits(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Fingerprints of every text and of its edit by the next document.
 
     Returns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next). Documents follow each other by falling doc_id (null ids last, equal ids by
-    text), the first after the last. Rows are dealt to buckets of ids, one per shuffle
+    near_next). Documents follow each other by falling doc_id (null ids last, equal ids by a
+    hash of the text), the first after the last. Rows are dealt to buckets of ids, some for each shuffle
     partition, and the first row of each bucket is lent to the one before it, so no task
-    sees more than one bucket and texts are shuffled once. Null texts are empty; two
+    sees more than one bucket and texts are shuffled once. An id with more rows than a bucket should have (such
+    as null) is divided by the hash. Null texts are empty; two
     empty texts are alike (1.0); a single document follows itself; repeated rows are rows of
     their own; other columns are ignored.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("key"),
-                       "doc_id", "text")
-    edges = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)
+                       "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    count = BUCKETS * parts
+    edges = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 100 * count)
                      .alias("edges")).first()["edges"] if parts > 1 else []
-    edges = np.unique(np.array(edges or [], dtype=np.int64))
+    # an id that is several edges holds the rows of as many buckets
+    edges, times = np.unique(np.array(edges or [], dtype=np.int64), return_counts=True)
 
-    @F.pandas_udf("int")
-    def bucket_of(key):
+    @F.pandas_udf("bigint")
+    def bucket_of(key, hash_):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), "right").astype(np.int32))
-
-    rows = rows.withColumn("bucket", bucket_of("key"))
-    # one row per bucket: the largest id, where the bucket above goes on
-    heads = sorted((r["bucket"], r["head"]) for r in
-                   rows.groupBy("bucket").agg(F.max("key").alias("head")).collect())
+        keys = key.to_numpy()
+        coarse = np.searchsorted(edges, keys, "right")
+        if not len(edges):
+            return pd.Series(coarse.astype(np.int64))
+        at = np.maximum(coarse - 1, 0)
+        high = (hash_.to_numpy() >> 32) + (1 << 31)  # 0 to 2 ** 32, rising with the hash
+        piece = np.where(keys == edges[at], high * times[at] >> 32, times[at])
+        return pd.Series(coarse.astype(np.int64) * (count + 1) + piece)
+
+    rows = rows.withColumn("bucket", bucket_of("key", "hash"))
+    # one row per bucket: the largest id and hash, where the bucket above goes on
+    heads = sorted((r["bucket"], r["head"]["key"], r["head"]["hash"]) for r in
+                   rows.groupBy("bucket").agg(F.max(F.struct("key", "hash")).alias("head")).collect())
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
         ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
@@ -143,15 +155,16 @@ def fingerprint_edits(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
            "edited_fingerprint string, near_edited double, near_next double")
     if not heads:
         return spark.createDataFrame([], ddl)
-    lent = F.create_map(*(F.lit(x) for (b, head), (above, _) in zip(heads, heads[1:] + heads[:1])
-                          for x in (int(head), int(above))))
-    lent_to = F.element_at(lent, F.col("key"))
+    lent = F.create_map(*(x for (_, key, hash_), (above, _, _) in zip(heads, heads[1:] + heads[:1])
+                          for x in (F.struct(F.lit(int(key)).cast("bigint").alias("key"), F.lit(int(hash_)).cast("bigint").alias("hash")),
+                                    F.lit(int(above)).cast("bigint"))))
+    lent_to = F.element_at(lent, F.struct("key", "hash"))
     targets = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("borrowed")),
                       F.struct(lent_to.alias("bucket"), F.lit(True).alias("borrowed")))
     dealt = (rows.withColumn("to", F.explode(F.filter(targets, lambda t: t["bucket"].isNotNull())))
              .select(F.col("to.bucket").alias("bucket"), F.col("to.borrowed").alias("borrowed"),
-                     F.col("doc_id").cast("bigint").alias("doc_id"), "text", "key")
+                     F.col("doc_id").cast("bigint").alias("doc_id"), "text", "key", "hash")
              .repartition(parts, "bucket")
-             .sortWithinPartitions("bucket", "borrowed", F.desc("key"), "text")
+             .sortWithinPartitions("bucket", "borrowed", F.desc("key"), F.desc("hash"), "text")
              .select("bucket", "borrowed", "doc_id", "text"))
     return dealt.mapInArrow(lambda batches: _pairs(batches, hashes, schema), ddl)

@@ -101,6 +101,57 @@ def test_phrases_follow_the_next_document(spark):
         assert got[i].near_edited == phrases.likeness(a, b) and got[i].near_next == phrases.likeness(a, c)
 
 
+def test_phrases_against_a_parse_of_their_own(spark):
+    """Phrase sets from a trie, hashes and likeness written out again."""
+    import base64
+
+    import xxhash
+
+    def smallest(data):
+        trie, node, phrase, found = {}, None, b"", set()
+        for byte in data:
+            node = trie if node is None else node
+            phrase += bytes([byte])
+            if byte in node:
+                node = node[byte]
+                continue
+            node[byte] = {}
+            found.add(phrase)
+            node, phrase = None, b""
+        return sorted({xxhash.xxh3_64_intdigest(x) >> 32 for x in found})[:phrases.HASHES]
+
+    def like(a, b):
+        union = sorted({*a, *b})[:phrases.HASHES]
+        return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+    rows = dict(enumerate(texts()))
+    for r in phrases.fingerprint_edits(documents(spark, list(rows.items()))).collect():
+        text, nxt = rows[r.doc_id] or "", rows[(r.doc_id - 1) % len(rows)] or ""
+        half = len(text) // 2
+        a, b, c = (smallest(t.encode()) for t in (text, text[:len(text) - half] + nxt[:half], nxt))
+        for values, printed in ((a, r.fingerprint), (b, r.edited_fingerprint)):
+            assert np.frombuffer(base64.b64decode(printed), dtype="<u4").tolist() == values
+        assert (r.near_edited, r.near_next) == pytest.approx((like(a, b), like(a, c)))
+
+
+def test_rows_without_id_spread_over_buckets(spark):
+    """Half of all rows have no id; each is followed by the next by hash, and no bucket has them all."""
+    from pyspark.sql import functions as F
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, f"lost {i} " * 3) for i in range(200)] + [(7, "x"), (7, "y"), (None, None)] * 3
+    df = phrases.fingerprint_edits(documents(spark, rows))
+    got = df.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(rows)
+    hashes = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted(((-(1 << 63) if i is None else i, hashes[t or ""], t or "") for i, t in rows), reverse=True)
+    want = []
+    for (i, _, t), (_, _, nxt) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.append((i, hashlib.sha256((t[:len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted(want) == sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.edited_sha256) for r in got)
+    most = max(sum(r.doc_id is None and r.task == t for r in got) for t in range(4))
+    assert most < 160 and len({r.task for r in got if r.doc_id is None}) > 1
+
+
 def test_phrases_of_odd_tables(spark):
     rows = phrases.fingerprint_edits(documents(spark, odd_rows())).collect()
     assert len(rows) == len(odd_rows())
@@ -172,6 +223,25 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_rates_solve_the_dual(spark):
+    """Rates of every source against a root found by bisection over its documents."""
+    rows = [(i, " ".join(["w"] * (1 + (i * 7919) % 90))) for i in range(900)] + [(i, "a " * 700) for i in range(900, 920)]
+    by = defaultdict(list)
+    for r in mixing.mix(documents(spark, rows), weights=(1, 5, 2), cap=3.0).collect():
+        by[r.source].append(r)
+    for group in by.values():
+        size = np.array([r.size for r in group], dtype=float)
+        target, x = group[0].target, size / size.mean()
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            middle = (low + high) / 2
+            got = (size * np.exp(np.minimum(middle * x, np.log(3.0)))).sum()
+            low, high = (low, middle) if got > target else (middle, high)
+        want = np.exp(np.minimum(low * x, np.log(3.0)))
+        np.testing.assert_allclose([r.rate for r in group], want, rtol=1e-6)
+        assert (size * want).sum() == pytest.approx(target, rel=1e-6)
+
+
 def test_mixing_caps_and_empty_tables(spark):
     rows = [(i, "a b c d" if i % 4 else "a " * 900) for i in range(400)]
     got = mixing.mix(documents(spark, rows), weights=(1, 9, 1), cap=3.0).collect()
