@@ -9,13 +9,17 @@ score and, of the rows that equal it, those with the smallest ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.lineage import work_folder
+
 BINS = 1024
 CHUNK = 4096
 #: Candidates scored at a time; with CHUNK queries the scores take 64 MB.
@@ -80,11 +84,11 @@ def _top_bins(spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((spread > 0) & (above < k))
 
 
-def _histogram(cand: DataFrame, ids: np.ndarray, queries: np.ndarray, low: np.ndarray,
-               high: np.ndarray, width: np.ndarray, k: int, bins: int) -> DataFrame:
-    """(query, bin, n): scores of [low, high) per bin of ``width``, as far down as k reaches."""
-    shared = cand.sparkSession.sparkContext.broadcast((ids, queries, low, high, width))
+def _histogram(cand: DataFrame, shared: Broadcast, k: int, bins: int) -> DataFrame:
+    """(query, bin, n): scores of [low, high) per bin of ``width``, as far down as k reaches.
 
+    ``shared`` holds (ids, queries, low, high, width).
+    """
     def count(batches):
         ids, queries, low, high, width = shared.value
         spread = np.zeros((len(ids), bins), dtype=np.int64)
@@ -112,7 +116,8 @@ def _kth_bin(spread: DataFrame, need: DataFrame) -> list:
 
 
 def _chunk_top(cand: DataFrame, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray,
-               k: int, bins: int) -> DataFrame:
+               k: int, bins: int, path: str) -> None:
+    """Append the results of one chunk of queries to the table at ``path``; its broadcasts end with it."""
     spark = cand.sparkSession
     low, high = -bound, bound + 1  # scores lie in [low, high)
     need = np.full(len(ids), k, dtype=np.int64)
@@ -123,8 +128,9 @@ def _chunk_top(cand: DataFrame, ids: np.ndarray, queries: np.ndarray, bound: np.
         width = np.maximum(1, -((low[at] - high[at]) // bins))
         wanted = spark.createDataFrame(
             [(i, int(n)) for i, n in enumerate(need[at])], "query int, need bigint")
-        spread = _histogram(cand, ids[at], queries[at], low[at], high[at], width, k, bins)
-        found = _kth_bin(spread, wanted)
+        shared = spark.sparkContext.broadcast((ids[at], queries[at], low[at], high[at], width))
+        found = _kth_bin(_histogram(cand, shared, k, bins), wanted)
+        shared.destroy()
         missing = np.ones(len(at), dtype=bool)
         for query, bin_, above in found:
             i = at[query]
@@ -153,9 +159,10 @@ def _chunk_top(cand: DataFrame, ids: np.ndarray, queries: np.ndarray, bound: np.
             names=["query_id", "query", "vec_id", "score"])
 
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return (cand.mapInArrow(select, "query_id bigint, query int, vec_id bigint, score bigint")
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    (cand.mapInArrow(select, "query_id bigint, query int, vec_id bigint, score bigint")
+     .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+     .select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path))
+    shared.destroy()
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bins: int = BINS,
@@ -166,7 +173,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bins: int = BINS,
     vec_id. Rows with the query's own vec_id are its own and no candidates; each repeated
     query row is answered, and repeated candidates count separately. Vectors of
     unlike lengths meet as if the shorter ended in zeros. Queries come to the driver by
-    chunks of about ``chunk`` rows; candidates never do. Scores must fit 64 bits.
+    chunks of about ``chunk`` rows; candidates never do. Each chunk's results are written to one table in the work folder
+    before the next begins. Scores must fit 64 bits.
     """
     shape = vectors.agg(
         F.max(F.size("v")).alias("width"),
@@ -177,7 +185,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bins: int = BINS,
     if not count or shape["width"] is None:
         return vectors.sparkSession.createDataFrame([], schema)
     chunks = -(-count // chunk)
-    out = None
+    path = f"{work_folder(vectors.sparkSession)}/lacuna-top-{uuid.uuid4().hex}"
     for i in range(chunks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == i) if chunks > 1 else queries
         table = part.select("vec_id", "v").toArrow().combine_chunks()
@@ -187,6 +195,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bins: int = BINS,
         rows = _matrix(table.column("v").combine_chunks(), shape["width"])
         bound = np.abs(rows.astype(np.float64)).sum(axis=1) * shape["most"]
         bound = np.minimum(bound, float(1 << 62)).astype(np.int64)
-        result = _chunk_top(vectors, ids, rows, bound, k, bins)
-        out = result if out is None else out.union(result)
-    return out
+        _chunk_top(vectors, ids, rows, bound, k, bins, path)
+    return vectors.sparkSession.read.schema(schema).parquet(path)
