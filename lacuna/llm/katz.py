@@ -13,8 +13,12 @@ live in one bin, which therefore has whatever the recursion needs, but for the c
 predicted word. So batches first ask for counts of their words, each once per batch, and then
 deal their n-grams, with the documents they occur in, to the bins. A history with more
 tokens than a bin should hold is treated as the empty one is: its continuations are counted
-by asking, and its n-grams go by the next longer history, or by none. The bins' tables
-of counts are stored; discounts follow from all of them, weights and probabilities are found bin by bin.
+by asking, and its n-grams go by the next longer history, or by none.
+
+Discounts follow from the counts of all bins. What was seen needs nothing else, so a bin adds it up by document
+and class of count. For the rest it stores tables: the n-grams of histories that somebody
+continues in an unseen way, and totals of one-word histories. Weights and probabilities are found
+from them, table by table, by the recursion above.
 """
 
 from __future__ import annotations
@@ -35,10 +39,12 @@ from lacuna.operators.lineage import cut
 ORDER = 3
 LARGE = 5
 #: Tokens and documents of a batch, and tokens of a bin.
-BATCH_TOKENS, BATCH_DOCS = 1 << 20, 1 << 15
+BATCH_TOKENS, BATCH_DOCS = 1 << 21, 1 << 15
 BIN_TOKENS = 1 << 20
-#: Tasks among which bins are divided, at most.
-TASKS = 8192
+#: Least and most tasks among which bins are divided, and bins that a task takes before there are more tasks.
+LEAST_TASKS, MOST_TASKS, TASK_BINS = 24, 8192, 16
+#: Words with at least this share of training tokens travel as short numbers; at most 1 / FREQUENT are.
+FREQUENT = 2.0 ** -20
 #: Histories with a smaller share of all tokens are never spread; so 1 / SHARE of a length at most are.
 SHARE = 2.0 ** -16
 #: Wide rows that Python gets at a time, and bytes of sums that a task holds.
@@ -137,14 +143,25 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, LARGE + 2), minlength=LARGE + 3)[1:]
 
 
+def _before(values: np.ndarray, lengths: np.ndarray, k: int, start) -> np.ndarray:
+    """The value ``k`` tokens earlier in the text, or ``start``."""
+    out = np.roll(values, k)
+    first = np.cumsum(lengths) - lengths
+    for i in range(k):
+        out[first[lengths > i] + i] = start
+    return out
+
+
+def _longer(history: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """History of ``k`` words from the shorter one and the word before it."""
+    return words.mix(history * _GOLD + word + _U(k))
+
+
 def _histories(word: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
     """Hashes of the 1, 2, .. order - 1 tokens before each token; texts begin with starts."""
-    place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out, history = [], np.zeros(len(word), dtype=_U)
     for k in range(1, order):
-        before = np.roll(word, k)
-        before[place < k] = _START
-        history = words.mix(history * _GOLD + before + _U(k))
+        history = _longer(history, _before(word, lengths, k, _START), k)
         out.append(history)
     return out
 
@@ -183,10 +200,13 @@ def _read(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBa
         lengths = np.array([len(t) for t in texts])
         word = np.concatenate(texts)
         names, codes = np.unique(word, return_inverse=True)
-        often = []
+        often, of = [], np.arange(len(word))
         for history in _histories(word, lengths, order):
-            keys, n = np.unique(history, return_counts=True)
-            often += [keys[n >= size * SHARE], n[n >= size * SHARE]]
+            # only what continues a frequent history can be frequent
+            keys, at, n = np.unique(history[of], return_inverse=True, return_counts=True)
+            enough = n >= size * SHARE
+            often += [keys[enough], n[enough]]
+            of = of[enough[at]]
         out = np.array(held)
         docs = _pack(np.array([x or 0 for x in ids], dtype=np.int64), np.array([x is None for x in ids]), out, lengths)
         row = ((task << 24) + number, size, int(lengths[~out].sum()), docs,
@@ -216,6 +236,36 @@ def _frequent(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Reco
                                               pa.array(n)], names=["k", "history", "n"])
 
 
+class Frequent:
+    """Words that travel as numbers, by falling count; number 0 stands for all others."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((names, -counts))
+        # the start of texts is no word to be predicted, so its count is never asked for
+        self.names = np.concatenate((np.array([0, _START], dtype=_U), names[order]))
+        self.counts = np.concatenate((np.zeros(2, dtype=np.int64), counts[order]))
+        self.order = np.argsort(self.names[1:]) + 1
+        self.sorted = self.names[self.order]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.sorted, hashes)
+        found = self.order[np.minimum(at, len(self.order) - 1)]
+        return np.where(self.names[found] == hashes, found, 0).astype(np.uint32)
+
+    def pack(self, numbers: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        """Two columns: the numbers byte by byte, and the hashes of words without one."""
+        return [np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4)[:, :3].T.copy(), _planes(hashes[numbers == 0])]
+
+    def unpack(self, planes: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, hashes)"""
+        wide = np.zeros((len(planes) // 3, 4), dtype=np.uint8)
+        wide[:, :3] = planes.reshape(3, -1).T
+        numbers = wide.view(np.uint32).ravel()
+        hashes = self.names[numbers]
+        hashes[numbers == 0] = _from_planes(rest)
+        return numbers, hashes
+
+
 class _Batch:
     """A batch with the place of each history among the spread ones."""
 
@@ -226,11 +276,11 @@ class _Batch:
         self.names = _from_steps(names)
         self.codes = codes.reshape(4, -1).T.copy().view(np.uint32).ravel()
         self.word = self.names[self.codes]
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.uint16), self.lengths)
         self.learnt = ~self.held[self.doc]
         self.histories = _histories(self.word, self.lengths, self.order)
         # depth: how many histories of a token, from the shortest on, are spread; chain: which ones
-        self.depth = np.zeros(len(self.word), dtype=np.int64)
+        self.depth = np.zeros(len(self.word), dtype=np.int8)
         self.chain = []
         for k, (keys, history) in enumerate(zip(spread, self.histories)):
             at = np.minimum(np.searchsorted(keys, history), max(0, len(keys) - 1))
@@ -238,31 +288,33 @@ class _Batch:
             self.depth += found
             self.chain.append(np.where(found, at, 0).astype(np.uint32))
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """(keys, rising; their orders; learnt occurrences; per order each token's place among
-        the keys; per order a token for each of its keys).
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """(keys, rising; their orders; learnt occurrences; per order the tokens that ask, the place of each one's
+        key among the keys, and one of the askers, by number, for each key).
 
-        Keys are all words, and the n-grams of spread histories. Tokens of the second and longer orders are those that
-        have such a history.
+        Keys are all words, and the n-grams of spread histories.
         """
-        keys, learnt, levels, places, tokens = [], [], [], [], []
+        keys, learnt, levels, askers, places, ones = [], [], [], [], [], []
         size = 0
         for k in range(self.order):
-            of = np.flatnonzero(self.depth >= k)
-            gram = self.word if k == 0 else _grams(self.histories[k - 1][of], self.word[of])
-            names, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            of = np.flatnonzero(self.depth >= k) if k else np.arange(len(self.word))
+            if k:
+                names, one, at = np.unique(_grams(self.histories[k - 1][of], self.word[of]), return_index=True, return_inverse=True)
+            else:
+                names, one, at = self.names, np.zeros(0, dtype=np.int64), self.codes.astype(np.int64)
             keys.append(names)
             learnt.append(np.bincount(at, weights=self.learnt[of], minlength=len(names)))
             levels.append(np.full(len(names), k, dtype=np.uint8))
+            askers.append(of)
             places.append(at + size)
-            tokens.append(of[first])
+            ones.append(one)
             size += len(names)
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         rank = np.empty(size, dtype=np.int64)
         rank[order] = np.arange(size)
         return (flat[order], np.concatenate(levels)[order], np.concatenate(learnt)[order].astype(np.uint32),
-                [rank[at] for at in places], tokens)
+                askers, [rank[at] for at in places], ones)
 
 
 # -- counting by asking --------------------------------------------------------
@@ -273,22 +325,28 @@ _ASK_DDL = "bin bigint, batch bigint, blob binary"
 
 def _ask(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], bins: int) -> Iterator[pa.RecordBatch]:
     for number, docs, body in _each(batches):
-        keys, levels, learnt, _, _ = _Batch(docs, body, spread).asked()
+        keys, levels, learnt, *_ = _Batch(docs, body, spread).asked()
         bin_ = _bins(keys, bins)
         yield _table([(int(bin_[a]), number, _pack(_steps(keys[a:b]), levels[a:b], learnt[a:b])) for a, b in _runs(bin_)], _ASK)
 
 
-def _answer(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Each batch's keys of a bin with their counts; one batch is told to report a key. At last, with bin -1, classes of counts."""
+def _answer(batches: Iterator[pa.RecordBatch], order: int, frequent: float) -> Iterator[pa.RecordBatch]:
+    """Each batch's keys of a bin with their counts; one batch is told to report a key.
+
+    Bin -2 has words seen at least ``frequent`` times, and bin -1, at last, classes of counts.
+    """
     classes = np.zeros((order, LARGE + 2), dtype=np.int64)
     for bin_, rows in groupby(_each(batches), lambda row: row[0]):
         numbers, blobs = zip(*(row[1:] for row in rows))
         keys, levels, learnt = zip(*(_unpack(blob, np.uint8, np.uint8, np.uint32) for blob in blobs))
         keys = [_from_steps(k) for k in keys]
         ends = np.cumsum([len(k) for k in keys])
-        _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        names, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         count = np.bincount(at, weights=np.concatenate(learnt), minlength=len(first)).astype(np.int64)
         level = np.concatenate(levels)[first]
+        often = (level == 0) & (count >= frequent)
+        if often.any():
+            yield _table([(-2, -1, _pack(names[often], count[often]))], _ASK)
         for k in range(order):
             classes[k] += _classes(count[level == k])
         report = np.zeros(len(at), dtype=bool)
@@ -302,12 +360,18 @@ def _answer(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
 # -- dealing n-grams to the bins of their histories ------------------------------
 
 #: Kinds of rows below a number of spread histories are n-grams with so many of them.
-_DOCS, _SUMS, _CLASS_ROW, _REPORT = 100, 101, 102, 200
+_DOCS, _SUMS, _MORE, _CLASS_ROW, _REPORT = 100, 101, 102, 103, 200
 _DEAL = pa.schema([("part", pa.int32()), ("bin", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
 _DEAL_DDL = "part int, bin bigint, kind int, batch bigint, blob binary"
 
 
-def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unigrams, bins: int, per_part: int) -> Iterator[pa.RecordBatch]:
+def _lengths(flags: np.ndarray) -> np.ndarray:
+    """Lengths of the runs that the flags begin."""
+    return np.diff(np.append(np.flatnonzero(flags), len(flags))).astype(np.uint32)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unigrams, frequent: Frequent, bins: int,
+          per_part: int) -> Iterator[pa.RecordBatch]:
     """A batch's documents, n-grams by bin, and the continuations of spread histories that it reports.
 
     The batch's own row comes first (bin -1), then the answers it got, by bin.
@@ -315,64 +379,99 @@ def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unig
     for number, rows in groupby(_each(batches), lambda row: row[0]):
         _, _, docs, body = next(rows)  # the batch's own
         batch = _Batch(docs, body, spread)
-        order = batch.order
+        order, lengths = batch.order, batch.lengths
         counts, report = zip(*(_unpack(blob, np.uint8, np.bool_) for _, _, blob, _ in rows))
         count = np.concatenate([_from_planes(c) for c in counts])
         report = np.concatenate(report)
-        _, _, _, places, tokens = batch.asked()
-        known = np.zeros((order, len(batch.word)), dtype=_U)  # counts as far as they were asked for
-        for k, at in enumerate(places):
-            known[k, batch.depth >= k] = count[at]
+        _, _, _, askers, places, ones = batch.asked()
+        known = [count[places[0]]]  # counts as far as they were asked for
+        for of, at in zip(askers[1:], places[1:]):
+            known.append(np.zeros(len(batch.word), dtype=_U))
+            known[-1][of] = count[at]
 
         spare = int(words.mix(np.array([number], dtype=_U))[0] % _U(bins))
         here = spare // per_part
         base = np.bincount(batch.doc, weights=uni.base(known[0].astype(np.int64)), minlength=len(batch.ids))
-        out = [(here, spare, _DOCS, number, _pack(batch.ids, batch.missing, batch.held, batch.lengths, base,
+        out = [(here, spare, _DOCS, number, _pack(batch.ids, batch.missing, batch.held, lengths, base,
                                                   np.bincount(batch.doc[known[0] > 0], minlength=len(batch.ids))))]
         for k in range(1, order):
-            told = tokens[k][report[places[k][np.searchsorted(np.flatnonzero(batch.depth >= k), tokens[k])]]]
+            told = askers[k][ones[k][report[places[k][ones[k]]]]]
             if len(told):
                 out.append((here, spare, _REPORT + k, number, _pack(
-                    *(batch.chain[i][told] for i in range(k)), *(known[i, told] for i in range(k + 1)))))
+                    *(batch.chain[i][told] for i in range(k)), *(known[i][told] for i in range(k + 1)))))
+        numbers = np.append(frequent.numbers(batch.names), np.uint32(1))  # the start is number 1
+        named = np.append(batch.names, _START)
+        del count, report, askers, places, ones
         gram = _grams(batch.histories[-1], batch.word)
-        mark = batch.doc.astype(np.uint16) | (batch.held[batch.doc].astype(np.uint16) << np.uint16(15))
+        mark = batch.doc | (batch.held[batch.doc].astype(np.uint16) << np.uint16(15))
         for depth in range(order):
             of = np.flatnonzero(batch.depth == depth)
             if not len(of):
                 continue
-            route = batch.histories[depth][of] if depth < order - 1 else np.zeros(len(of), dtype=_U)
+            local = depth < order - 1
+            route = batch.histories[depth][of] if local else np.zeros(len(of), dtype=_U)
             sort = np.argsort((route & ~_U(0xFFFFFFFF)) | (gram[of] >> _U(32)), kind="stable")
             of, route = of[sort], route[sort]
             new_gram = np.append(True, gram[of][1:] != gram[of][:-1])
             new_row = new_gram | np.append(True, mark[of][1:] != mark[of][:-1])
             at = np.flatnonzero(new_row)  # one row per n-gram and document
-            times = np.diff(np.append(at, len(of))).astype(np.uint32)
+            times = _lengths(new_row)
             first = np.flatnonzero(new_gram[at])  # rows that begin an n-gram
-            width = np.diff(np.append(first, len(at))).astype(np.uint32)
-            one = of[at][first]
-            bin_ = _bins(route[at][first], bins) if depth < order - 1 else np.full(len(one), spare)
-            first = np.append(first, len(at))
+            width = _lengths(new_gram[at])
+            of, route = of[at], route[at][first]
+            one, rows_of = of[first], np.append(first, len(at))
+            # words of the n-gram: the farthest of the route, what is before it, and the last one
+            said = [_before(batch.codes, lengths, k + 1, len(batch.names))[one] for k in range(depth, order - 1)] if local else []
+            last = batch.codes[one]
+            bin_ = _bins(route, bins) if local else np.full(len(one), spare)
             for a, b in _runs(bin_):
-                i, part = slice(first[a], first[b]), one[a:b]
-                columns = [width[a:b], *(batch.chain[k][part] for k in range(depth)),
-                           *(_planes(known[k, part]) for k in range(min(depth + 1, order)))]
-                if depth < order - 1:
-                    columns += [*(_planes(batch.histories[k][part]) for k in range(depth, order - 1)), _planes(batch.word[part])]
-                out.append((int(bin_[a]) // per_part, int(bin_[a]), depth, number, _pack(mark[of[at[i]]], times[i], *columns)))
+                i, part = slice(rows_of[a], rows_of[b]), one[a:b]
+                columns = [mark[of[i]], times[i], width[a:b]]
+                heads = np.append(True, route[a:b][1:] != route[a:b][:-1]) if local else np.ones(b - a, dtype=bool)
+                columns += [_lengths(heads), *(batch.chain[k][part[heads]] for k in range(depth))]
+                columns += [_planes(known[k][part]) for k in range(1, depth + 1)]
+                if local:
+                    columns += frequent.pack(numbers[said[0][a:b][heads]], named[said[0][a:b][heads]])
+                    for codes in said[1:]:
+                        columns += frequent.pack(numbers[codes[a:b]], named[codes[a:b]])
+                    columns += frequent.pack(numbers[last[a:b]], named[last[a:b]])
+                columns.append(_planes(known[0][part][numbers[last[a:b]] == 0] if local else known[0][part]))
+                out.append((int(bin_[a]) // per_part, int(bin_[a]), depth, number, _pack(*columns)))
         yield _table(out, _DEAL)
 
 
-def _dealt_types(depth: int, order: int) -> list:
+def _dealt(blob: bytes, depth: int, order: int, frequent: Frequent) -> list[np.ndarray]:
+    """(mark, times, width, chain.., route, words.., counts..) as dealt, one value per row for the first two and per n-gram for the others."""
     local = order - depth if depth < order - 1 else 0
-    return [np.uint16, np.uint32, np.uint32, *[np.uint32] * depth, *[np.uint8] * (min(depth + 1, order) + local)]
-
-
-def _gather(batches: Iterator[pa.RecordBatch], order: int, per_part: int) -> Iterator[pa.RecordBatch]:
-    """The count table of each bin and depth, one row each, with the documents that its n-grams occur in.
-
-    Rows of other kinds pass; at last come classes of counts.
+    mark, times, width, heads, *rest = _unpack(
+        blob, np.uint16, np.uint32, np.uint32, np.uint32, *[np.uint32] * depth, *[np.uint8] * (depth + 2 * local + 1))
+    chain = [np.repeat(c, heads) for c in rest[:depth]]
+    counts = [_from_planes(c) for c in rest[depth:2 * depth]]
+    rest = rest[2 * depth:]
+    said = []
+    for i in range(local):
+        numbers, hashes = frequent.unpack(rest[2 * i], rest[2 * i + 1])
+        said.append(np.repeat(hashes, heads) if i == 0 else hashes)
+    words_seen = _from_planes(rest[-1]).view(np.int64)
+    if local:
+        all_words = frequent.counts[numbers]
+        all_words[numbers == 0] = words_seen
+        words_seen = all_words
+    return [mark, times, width, *chain, *said, words_seen, *(c.view(np.int64) for c in counts)]
+
+
+def _gather(batches: Iterator[pa.RecordBatch], order: int, uni: Unigrams, frequent: Frequent, per_part: int) -> Iterator[pa.RecordBatch]:
+    """What a bin knows of its n-grams.
+
+    Sums of documents over n-grams that were seen: logarithms of c / c(h), and how many had a count of each class; and
+    one row for each bin and depth with what the others need. Rows of other kinds pass; at last come classes of counts.
     """
     classes = np.zeros((order, LARGE + 2), dtype=np.int64)
+    sums = _Sums(1 + LARGE + 1)
+
+    def rows_of_sums() -> pa.RecordBatch:
+        return _table([(-1, -1, _SUMS, number, blob) for number, blob in sums.flush()], _DEAL)
+
     for (bin_, depth), rows in groupby(_each(batches), lambda row: row[1:3]):
         if depth >= _DOCS:
             for row in rows:
@@ -381,40 +480,120 @@ def _gather(batches: Iterator[pa.RecordBatch], order: int, per_part: int) -> Ite
         numbers, columns = [], []
         for row in rows:
             numbers.append(row[3])
-            columns.append(_unpack(row[4], *_dealt_types(depth, order)))
-        owner = np.repeat(np.arange(len(numbers)), [len(c[0]) for c in columns])
-        mark, times, width, *rest = (np.concatenate(c) if i < 3 + depth else np.concatenate([_from_planes(x) for x in c])
-                                     for i, c in enumerate(zip(*columns)))
-        chain, counts, local = rest[:depth], rest[depth:depth + min(depth + 1, order)], rest[depth + min(depth + 1, order):]
-        del columns, rest
+            columns.append(_dealt(row[4], depth, order, frequent))
+        numbers = np.array(numbers, dtype=np.int64)
+        owner = np.repeat(np.arange(len(numbers), dtype=np.uint32), [len(c[0]) for c in columns])
+        mark, times, width, *rest = map(np.concatenate, zip(*columns))
+        del columns
         of = np.repeat(np.arange(len(width)), width)
-        learnt = np.where(mark >> 15, 0, times)
+        chain, rest = rest[:depth], rest[depth:]
+        if depth == order - 1:
+            yield _table([(bin_ // per_part, bin_, depth, len(numbers), _pack(
+                numbers, owner, mark, times, of.astype(np.uint32), *chain, *rest))], _DEAL)
+            continue
+        *said, word = rest[:order - depth]
+        counts = rest[order - depth:]
+        history = chain[-1].astype(_U) if chain else np.zeros(len(word), dtype=_U)
+        histories = []
+        for k, name in enumerate(said, depth + 1):
+            history = _longer(history, name, k)
+            histories.append(history)
+        _, first, at = np.unique(_grams(history, word), return_index=True, return_inverse=True)
+        of = at[of]  # the same n-gram of several batches becomes one
+        chain, counts, histories, word = ([x[first] for x in chain], [x[first] for x in counts],
+                                          [x[first] for x in histories], word[first])
+        held = (mark >> 15).astype(bool)
+        seen = np.bincount(of, weights=np.where(held, 0, times), minlength=len(first)).astype(np.int64)
         groups, firsts = [], []
-        if local:
-            *histories, word = local
-            _, first, at = np.unique(_grams(histories[-1], word), return_index=True, return_inverse=True)
-            of = at[of]  # the same n-gram of several batches becomes one
-            chain, counts = [c[first] for c in chain], [c[first] for c in counts]
-            histories, word = [h[first] for h in histories], word[first]
-            seen = np.bincount(of, weights=learnt, minlength=len(first))
-            for k, history in enumerate(histories):
-                if k < len(histories) - 1:
-                    _, one, at = np.unique(_grams(history, word), return_index=True, return_inverse=True)
-                    count = np.bincount(at, weights=seen, minlength=len(one)).astype(np.int64)
-                else:
-                    one, at, count = np.arange(len(word)), slice(None), seen.astype(np.int64)
-                classes[depth + 1 + k] += _classes(count)
-                counts.append(count[at].view(_U))
+        for k, history in enumerate(histories):
+            is_first = np.ones(len(word), dtype=bool)
+            count = seen
+            if k < len(histories) - 1:
+                _, one, at = np.unique(_grams(history, word), return_index=True, return_inverse=True)
+                count = np.bincount(at, weights=seen, minlength=len(one)).astype(np.int64)[at]
                 is_first = np.zeros(len(word), dtype=bool)
                 is_first[one] = True
-                firsts.append(is_first)
-                groups.append(np.unique(history, return_inverse=True)[1].astype(np.uint32))
+            classes[depth + 1 + k] += _classes(count[is_first])
+            counts.append(count)
+            firsts.append(is_first)
+            groups.append(np.unique(history, return_inverse=True)[1])
+
+        # documents' sums over what was seen
+        total = np.bincount(groups[-1], weights=seen)[groups[-1]]
+        sure = seen[of] > 0
+        gram = of[sure]
+        value = times[sure] * np.log10(seen[gram] / total[gram])
+        sums.add(numbers, owner[sure], mark[sure] & 0x7FFF, [value], np.minimum(seen[gram], LARGE + 1), times[sure])
+        if sums.nbytes > HELD_BYTES:
+            yield rows_of_sums()
+
+        # tables for what was not
+        asked = ~sure
+        if not asked.any():
+            continue
+        needs = np.zeros(len(word), dtype=bool)
+        needs[of[asked]] = True
+        if order > 2:  # all n-grams of the histories of two or more words, the shortest of them here
+            shortest = groups[1 if depth == 0 else 0]
+            wanted = np.zeros(int(shortest.max()) + 1, dtype=bool)
+            wanted[shortest[needs]] = True
+            needs = wanted[shortest]
+        whole = []
+        if depth == 0:  # one-word histories: occurrences by class, and what is given to the words seen
+            c = np.where(firsts[0], counts[1], 0)
+            names, at = np.unique(groups[0][needs], return_inverse=True)
+            by_class = [np.bincount(groups[0], weights=c * (np.minimum(c, LARGE + 1) == r))[names] for r in range(1, LARGE + 2)]
+            lower = np.bincount(groups[0], weights=(c > 0) * uni.probability(counts[0]))[names]
+            whole = [at.astype(np.uint32), lower, *by_class]
+        later = 1 if depth == 0 else 0
+        place = np.cumsum(needs) - 1
         yield _table([(bin_ // per_part, bin_, depth, len(numbers), _pack(
-            np.array(numbers, dtype=np.int64), owner.astype(np.uint32), mark, times, of.astype(np.uint32),
-            *chain, *counts, *groups, *firsts))], _DEAL)
+            numbers, owner[asked], mark[asked], times[asked], place[of[asked]].astype(np.uint32),
+            *(x[needs] for x in chain), *(x[needs] for x in counts),
+            *(np.unique(g[needs], return_inverse=True)[1].astype(np.uint32) for g in groups[later:]),
+            *(x[needs] for x in firsts[later:]), *whole))], _DEAL)
+    if sums.tables:
+        yield rows_of_sums()
     yield _table([(-1, -1, _CLASS_ROW, -1, _pack(classes))], _DEAL)
 
 
+class _Sums:
+    """Sums of documents by batch."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.tables: dict[int, np.ndarray] = {}
+
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in self.tables.values())
+
+    def add(self, numbers: np.ndarray, owner: np.ndarray, doc: np.ndarray, values: list[np.ndarray],
+            column: np.ndarray | None = None, times: np.ndarray | None = None) -> None:
+        """Add ``values`` to the first columns, and ``times`` to the one that ``column`` tells."""
+        edges = np.searchsorted(owner, np.arange(len(numbers) + 1)).tolist()  # owners rise
+        for number, a, b in zip(numbers.tolist(), edges, edges[1:]):
+            if a == b:
+                continue
+            size = int(doc[a:b].max()) + 1
+            table = self.tables.get(number, np.zeros((0, self.width)))
+            if len(table) < size:
+                table = np.concatenate((table, np.zeros((size - len(table), self.width))))
+            for i, value in enumerate(values):
+                table[:size, i] += np.bincount(doc[a:b], weights=value[a:b], minlength=size)
+            if column is not None:
+                flat = doc[a:b].astype(np.int64) * self.width + column[a:b]
+                table[:size] += np.bincount(flat, weights=times[a:b], minlength=size * self.width).reshape(size, self.width)
+            self.tables[number] = table
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        """(batch, blob): documents with anything, the first column, and the others as whole numbers."""
+        tables, self.tables = self.tables, {}
+        for number, table in tables.items():
+            at = np.flatnonzero(table.any(axis=1))
+            yield number, _pack(at.astype(np.uint16), table[at, 0], table[at, 1:].T.astype(np.uint32))
+
+
 # -- weights and scores --------------------------------------------------------
 
 class Model:
@@ -433,27 +612,33 @@ class Model:
         return self.keep[k][np.clip(counts, 1, LARGE + 1) - 1]
 
     def climb(self, counts: list[np.ndarray], chain: list[np.ndarray], groups: list[np.ndarray] = (),
-              firsts: list[np.ndarray] = ()) -> np.ndarray:
+              firsts: list[np.ndarray] = (), whole: tuple | None = None) -> np.ndarray:
         """Probability of each n-gram's last word, from the empty history up to the longest.
 
-        ``chain`` tells spread histories, ``groups`` the others, which are whole; ``firsts`` marks one row for each
-        n-gram of an order.
+        ``chain`` tells spread histories. The others are known by ``groups``, of which all n-grams are here;
+        ``firsts`` marks one row for each n-gram of an order. Of one-word histories ``whole``
+        tells (group, what goes to seen words without them, occurrences by class).
         """
         p = self.uni.probability(counts[0])
         unknown = np.full(len(p), self.uni.unknown)
+        skipped = len(chain) + 1 + (whole is not None)
         for k in range(1, len(counts)):
             c = counts[k]
             if k <= len(chain):
                 total, weight = self.total[k - 1][chain[k - 1]], self.weight[k - 1][chain[k - 1]]
             else:
-                at, seen = groups[k - 1 - len(chain)], firsts[k - 1 - len(chain)] & (c > 0)
-                size = int(at.max()) + 1
-                least = np.zeros(size)
+                if k == 1 and whole is not None:
+                    at, lower, by_class = whole
+                    total, freed = by_class.sum(axis=0), (1 - self.keep[1]) @ by_class
+                else:
+                    at, seen = groups[k - skipped], firsts[k - skipped] & (c > 0)
+                    total = np.bincount(at, weights=seen * c)
+                    freed = np.bincount(at, weights=seen * c * (1 - self.share(k, c)))
+                    lower = np.bincount(at, weights=seen * p)
+                least = np.zeros(len(total))
                 least[at] = unknown
-                total = np.bincount(at, weights=seen * c, minlength=size)
-                freed = np.bincount(at, weights=seen * c * (1 - self.share(k, c)), minlength=size)
-                weight = self.weights(total, freed, np.bincount(at, weights=seen * p, minlength=size), least)
-                total, weight = total[at], weight[at]
+                weight = self.weights(total, freed, lower, least)[at]
+                total = total[at]
             p = np.where(c > 0, c * self.share(k, c) / np.maximum(total, 1), weight * p)
             unknown = weight * unknown
         return p
@@ -471,8 +656,8 @@ class Model:
             def sums(batches, k=k):
                 model = shared.value
                 for (blob,) in _each(batches):
-                    columns = _unpack(blob, *[np.uint32] * k, *[_U] * (k + 1))
-                    chain, counts = columns[:k], [c.astype(np.int64) for c in columns[k:]]
+                    columns = _unpack(blob, *[np.uint32] * k, *[np.int64] * (k + 1))
+                    chain, counts = columns[:k], columns[k:]
                     p = model.climb(counts[:k], chain[:k - 1])
                     names, at = np.unique(chain[-1], return_inverse=True)
                     parent = np.zeros(len(names), dtype=np.int64)
@@ -499,53 +684,43 @@ _PART_DDL = "batch bigint, kind int, blob binary"
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Log probabilities of each batch's documents, summed over the bins that a task has."""
-    sums: dict[int, np.ndarray] = {}
+    """Log probabilities of each batch's documents over stored n-grams, summed over the bins that a task has."""
+    sums, order = _Sums(1), model.order
 
-    def flush() -> pa.RecordBatch:
-        rows = []
-        for number, table in sums.items():
-            at = np.flatnonzero(table)
-            rows.append((number, _SUMS, _pack(at.astype(np.uint16), table[at])))
-        sums.clear()
-        return _table(rows, _PART)
+    def rows() -> pa.RecordBatch:
+        return _table([(number, _MORE, blob) for number, blob in sums.flush()], _PART)
 
     for depth, blob in _each(batches):
-        local = model.order - 1 - depth
+        local = order - 1 - max(depth, 1)  # levels with groups
+        whole = [np.uint32] + [np.float64] * (LARGE + 2) if depth == 0 else []
         numbers, owner, mark, times, of, *rest = _unpack(
-            blob, np.int64, np.uint32, np.uint16, np.uint32, np.uint32, *[np.uint32] * depth, *[_U] * model.order,
-            *[np.uint32] * local, *[np.bool_] * local)
-        chain, counts = rest[:depth], [c.astype(np.int64) for c in rest[depth:depth + model.order]]
-        groups, firsts = rest[depth + model.order:len(rest) - local], rest[len(rest) - local:]
-        value = np.log10(model.climb(counts, chain, groups, firsts))[of] * times
-        doc = owner.astype(np.int64) * BATCH_DOCS + (mark & 0x7FFF)
-        total = np.bincount(doc, weights=value, minlength=len(numbers) * BATCH_DOCS).reshape(len(numbers), BATCH_DOCS)
-        for number, row in zip(numbers.tolist(), total):
-            row = row[:np.flatnonzero(row).max(initial=-1) + 1]
-            grown = sums.get(number, row[:0])
-            if len(grown) < len(row):
-                grown = np.concatenate((grown, np.zeros(len(row) - len(grown))))
-            grown[:len(row)] += row
-            sums[number] = grown
-        if sum(t.nbytes for t in sums.values()) > HELD_BYTES:
-            yield flush()
-    if sums:
-        yield flush()
+            blob, np.int64, np.uint32, np.uint16, np.uint32, np.uint32, *[np.uint32] * depth, *[np.int64] * order,
+            *[np.uint32] * local, *[np.bool_] * local, *whole)
+        ends = np.cumsum([depth, order, local, local])
+        chain, counts, groups, firsts, whole = (rest[a:b] for a, b in zip([0, *ends], [*ends, len(rest)]))
+        p = model.climb(counts, chain, groups, firsts, (whole[0], whole[1], np.stack(whole[2:])) if whole else None)
+        sums.add(numbers, owner, mark & 0x7FFF, [np.log10(p)[of] * times])
+        if sums.nbytes > HELD_BYTES:
+            yield rows()
+    if sums.tables:
+        yield rows()
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _own_documents(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
-    """Scores of the documents of each batch; its row of documents comes first."""
+def _own_documents(batches: Iterator[pa.RecordBatch], tokens: int, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of each batch; its row of documents comes first. ``keep`` are the longest n-grams' shares."""
     for _, rows in groupby(_each(batches), lambda row: row[0]):
         ids, missing, held, lengths, base, known = _unpack(
             next(rows)[2], np.int64, np.bool_, np.bool_, np.int64, np.float64, np.int64)
         score = np.zeros(len(ids))
-        for _, _, blob in rows:
-            at, value = _unpack(blob, np.uint16, np.float64)
+        for _, kind, blob in rows:
+            at, value, by_class = _unpack(blob, np.uint16, np.float64, np.uint32)
             score[at] += value
+            if kind == _SUMS:
+                score[at] += np.log10(keep) @ by_class.reshape(len(keep), -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=missing), pa.array(held), pa.array(lengths), pa.array(known),
              pa.array(np.full(len(ids), tokens, dtype=np.int64)), pa.array(base), pa.array(score)], schema=_SCORES)
@@ -570,8 +745,8 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
                                                          "body binary, often binary"), words.SLICE)
     size = read.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "learnt"))).first()
     bins = max(12, -(-size["tokens"] // BIN_TOKENS))
-    per_part = -(-bins // TASKS)
-    parts = -(-bins // per_part)
+    parts = min(MOST_TASKS, max(min(bins, LEAST_TASKS), bins // TASK_BINS))
+    per_part = -(-bins // parts)
     least = max(SHARE * size["tokens"], BIN_TOKENS / 2)
     often = (read.select("often").mapInArrow(lambda b: _frequent(b, order), "k int, history bigint, n bigint")
              .groupBy("k", "history").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas())
@@ -581,18 +756,25 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
     asked = (read.select("batch", "docs", "body").mapInArrow(words.tidy(lambda b: _ask(b, known.value, bins)), _ASK_DDL)
              .withColumn("part", F.floor(F.col("bin") / per_part).cast("int"))
              .repartitionById(parts, F.col("part")).sortWithinPartitions("bin", "batch").select("bin", "batch", "blob"))
-    answers = cut(asked.mapInArrow(words.tidy(_answer, order), _ASK_DDL), ROWS)
+    answers = cut(asked.mapInArrow(words.tidy(_answer, order, max(1.0, FREQUENT * size["learnt"])), _ASK_DDL), ROWS)
     classes = np.zeros((order, LARGE + 2), dtype=np.int64)
+    names, counts = [np.zeros(0, dtype=_U)], [np.zeros(0, dtype=np.int64)]
     for row in answers.filter(F.col("bin") < 0).toLocalIterator():
-        classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
+        if row["bin"] == -1:
+            classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
+        else:
+            name, count = _unpack(row["blob"], _U, np.int64)
+            names.append(name)
+            counts.append(count)
     uni = Unigrams(size["learnt"], int(classes[0].sum()), classes[0])
+    told_by = spark.sparkContext.broadcast((uni, Frequent(np.concatenate(names), np.concatenate(counts))))
 
     told = (read.select("batch", F.lit(-1).cast("bigint").alias("bin"), F.col("docs").alias("blob"), "body")
             .unionByName(answers.filter(F.col("bin") >= 0).withColumn("body", F.lit(None).cast("binary")))
-            .repartition(parts, "batch").sortWithinPartitions("batch", "bin").select("batch", "bin", "blob", "body"))
-    dealt = (told.mapInArrow(words.tidy(lambda b: _deal(b, known.value, uni, bins, per_part)), _DEAL_DDL)
+            .repartition(2 * parts, "batch").sortWithinPartitions("batch", "bin").select("batch", "bin", "blob", "body"))
+    dealt = (told.mapInArrow(words.tidy(lambda b: _deal(b, known.value, *told_by.value, bins, per_part)), _DEAL_DDL)
              .repartitionById(parts, F.col("part")).sortWithinPartitions("bin", "kind", "batch"))
-    pieces = cut(dealt.mapInArrow(words.tidy(_gather, order, per_part), _DEAL_DDL), ROWS)
+    pieces = cut(dealt.mapInArrow(words.tidy(lambda b: _gather(b, order, *told_by.value, per_part)), _DEAL_DDL), ROWS)
     for row in pieces.filter(F.col("kind") == _CLASS_ROW).toLocalIterator():
         classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
 
@@ -602,8 +784,9 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
     sums = cut(pieces.filter(F.col("kind") < _DOCS).select("kind", "blob").mapInArrow(
         words.tidy(lambda b: _score(b, shared.value)), _PART_DDL), ROWS)
     tokens = size["learnt"]
-    return (pieces.filter(F.col("kind") == _DOCS).select("batch", "kind", "blob").unionByName(sums)
+    keep = model.keep[-1]
+    return (pieces.filter(F.col("kind").isin(_DOCS, _SUMS)).select("batch", "kind", "blob").unionByName(sums)
             .repartition(parts, "batch").sortWithinPartitions("batch", "kind")
-            .mapInArrow(words.tidy(_own_documents, tokens),
+            .mapInArrow(words.tidy(_own_documents, tokens, keep),
                         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
                         "train_tokens bigint, base_score double, score double"))

@@ -272,11 +272,13 @@ def katz_scores(rows, held, order):
             for (i, _), t, lines in zip(rows, tokens, grams)]
 
 
-@pytest.mark.parametrize("order,bin_tokens", [(3, katz.BIN_TOKENS), (3, 60), (3, 6), (2, 60), (4, 10)])
-def test_katz_equals_brute_force(spark, monkeypatch, order, bin_tokens):
+@pytest.mark.parametrize("order,bin_tokens,frequent", [
+    (3, katz.BIN_TOKENS, katz.FREQUENT), (3, 60, 0.002), (3, 6, 1.0), (2, 60, 0.01), (4, 10, katz.FREQUENT), (4, 200, 0.01), (2, katz.BIN_TOKENS, 0.1)])
+def test_katz_equals_brute_force(spark, monkeypatch, order, bin_tokens, frequent):
     """Bins of few tokens make many histories spread, of one word and of several."""
     monkeypatch.setattr(katz, "BIN_TOKENS", bin_tokens)
-    monkeypatch.setattr(katz, "TASKS", 20)
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
+    monkeypatch.setattr(katz, "LEAST_TASKS", 8)
     rows = [r for r in odd_rows() if r[0] is not None]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
