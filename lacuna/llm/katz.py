@@ -23,6 +23,7 @@ from them, table by table, by the recursion above.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -34,12 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import words
-from lacuna.operators.lineage import cut
+from lacuna.operators.lineage import arrow_rows, cut, work_folder
 
 ORDER = 3
 LARGE = 5
 #: Tokens and documents of a batch, and tokens of a bin.
-BATCH_TOKENS, BATCH_DOCS = 1 << 21, 1 << 15
+BATCH_TOKENS, BATCH_DOCS = 3 << 19, 1 << 15
 BIN_TOKENS = 1 << 20
 #: Least and most tasks among which bins are divided, and bins that a task takes before there are more tasks.
 LEAST_TASKS, MOST_TASKS, TASK_BINS = 24, 8192, 16
@@ -372,15 +373,11 @@ def _lengths(flags: np.ndarray) -> np.ndarray:
 
 def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unigrams, frequent: Frequent, bins: int,
           per_part: int) -> Iterator[pa.RecordBatch]:
-    """A batch's documents, n-grams by bin, and the continuations of spread histories that it reports.
-
-    The batch's own row comes first (bin -1), then the answers it got, by bin.
-    """
-    for number, rows in groupby(_each(batches), lambda row: row[0]):
-        _, _, docs, body = next(rows)  # the batch's own
+    """A batch's documents, n-grams by bin, and the continuations of spread histories that it reports."""
+    for number, docs, body, answers in _each(batches):
         batch = _Batch(docs, body, spread)
         order, lengths = batch.order, batch.lengths
-        counts, report = zip(*(_unpack(blob, np.uint8, np.bool_) for _, _, blob, _ in rows))
+        counts, report = zip(*(_unpack(a["blob"], np.uint8, np.bool_) for a in sorted(answers, key=lambda a: a["bin"])))
         count = np.concatenate([_from_planes(c) for c in counts])
         report = np.concatenate(report)
         _, _, _, askers, places, ones = batch.asked()
@@ -401,7 +398,7 @@ def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unig
                     *(batch.chain[i][told] for i in range(k)), *(known[i][told] for i in range(k + 1)))))
         numbers = np.append(frequent.numbers(batch.names), np.uint32(1))  # the start is number 1
         named = np.append(batch.names, _START)
-        del count, report, askers, places, ones
+        del count, report, askers, places, ones, answers
         gram = _grams(batch.histories[-1], batch.word)
         mark = batch.doc | (batch.held[batch.doc].astype(np.uint16) << np.uint16(15))
         for depth in range(order):
@@ -741,8 +738,13 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    read = cut(rows.mapInArrow(words.tidy(_read, order), "batch bigint, tokens bigint, learnt bigint, docs binary, "
-                                                         "body binary, often binary"), words.SLICE)
+    # bucketed, so that answers come to the batches, and batches stay
+    table = f"lacuna_{uuid.uuid4().hex}"
+    with arrow_rows(spark, words.SLICE):
+        (rows.mapInArrow(words.tidy(_read, order), "batch bigint, tokens bigint, learnt bigint, docs binary, body binary, often binary")
+         .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch")
+         .option("path", f"{work_folder(spark)}/{table}").saveAsTable(table))
+    read = spark.table(table)
     size = read.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "learnt"))).first()
     bins = max(12, -(-size["tokens"] // BIN_TOKENS))
     parts = min(MOST_TASKS, max(min(bins, LEAST_TASKS), bins // TASK_BINS))
@@ -769,12 +771,12 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
     uni = Unigrams(size["learnt"], int(classes[0].sum()), classes[0])
     told_by = spark.sparkContext.broadcast((uni, Frequent(np.concatenate(names), np.concatenate(counts))))
 
-    told = (read.select("batch", F.lit(-1).cast("bigint").alias("bin"), F.col("docs").alias("blob"), "body")
-            .unionByName(answers.filter(F.col("bin") >= 0).withColumn("body", F.lit(None).cast("binary")))
-            .repartition(2 * parts, "batch").sortWithinPartitions("batch", "bin").select("batch", "bin", "blob", "body"))
+    replies = answers.filter(F.col("bin") >= 0).groupBy("batch").agg(F.collect_list(F.struct("bin", "blob")).alias("answers"))
+    told = read.select("batch", "docs", "body").join(replies, "batch").select("batch", "docs", "body", "answers")
     dealt = (told.mapInArrow(words.tidy(lambda b: _deal(b, known.value, *told_by.value, bins, per_part)), _DEAL_DDL)
              .repartitionById(parts, F.col("part")).sortWithinPartitions("bin", "kind", "batch"))
     pieces = cut(dealt.mapInArrow(words.tidy(lambda b: _gather(b, order, *told_by.value, per_part)), _DEAL_DDL), ROWS)
+    spark.sql(f"DROP TABLE {table}")  # from the catalogue; its files are the work folder's
     for row in pieces.filter(F.col("kind") == _CLASS_ROW).toLocalIterator():
         classes += _unpack(row["blob"], np.int64)[0].reshape(classes.shape)
 
