@@ -40,7 +40,7 @@ from lacuna.operators.lineage import arrow_rows, cut, work_folder
 ORDER = 3
 LARGE = 5
 #: Tokens and documents of a batch, and tokens of a bin.
-BATCH_TOKENS, BATCH_DOCS = 3 << 19, 1 << 15
+BATCH_TOKENS, BATCH_DOCS = 5 << 18, 1 << 15
 BIN_TOKENS = 1 << 20
 #: Least and most tasks among which bins are divided, and bins that a task takes before there are more tasks.
 LEAST_TASKS, MOST_TASKS, TASK_BINS = 24, 8192, 16
@@ -94,7 +94,7 @@ class Unigrams:
 
 def _pack(*columns: np.ndarray) -> bytes:
     sizes = np.array([c.nbytes for c in columns], dtype=np.int64)
-    return zstandard.compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]), 1)
+    return zstandard.compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]), 3)
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
@@ -254,8 +254,8 @@ class Frequent:
         return np.where(self.names[found] == hashes, found, 0).astype(np.uint32)
 
     def pack(self, numbers: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        """Two columns: the numbers byte by byte, and the hashes of words without one."""
-        return [np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4)[:, :3].T.copy(), _planes(hashes[numbers == 0])]
+        """Two columns: the numbers byte by byte, and 40 bits of the hashes of words without one."""
+        return [np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4)[:, :3].T.copy(), _planes(hashes[numbers == 0])[:5]]
 
     def unpack(self, planes: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, hashes)"""
@@ -263,7 +263,7 @@ class Frequent:
         wide[:, :3] = planes.reshape(3, -1).T
         numbers = wide.view(np.uint32).ravel()
         hashes = self.names[numbers]
-        hashes[numbers == 0] = _from_planes(rest)
+        hashes[numbers == 0] = _from_planes(np.append(rest, np.zeros(len(rest) // 5, dtype=np.uint8)))
         return numbers, hashes
 
 
@@ -379,11 +379,13 @@ def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unig
         order, lengths = batch.order, batch.lengths
         counts, report = zip(*(_unpack(a["blob"], np.uint8, np.bool_) for a in sorted(answers, key=lambda a: a["bin"])))
         count = np.concatenate([_from_planes(c) for c in counts])
+        if not (count >> _U(32)).any():
+            count = count.astype(np.uint32)
         report = np.concatenate(report)
         _, _, _, askers, places, ones = batch.asked()
         known = [count[places[0]]]  # counts as far as they were asked for
         for of, at in zip(askers[1:], places[1:]):
-            known.append(np.zeros(len(batch.word), dtype=_U))
+            known.append(np.zeros(len(batch.word), dtype=count.dtype))
             known[-1][of] = count[at]
 
         spare = int(words.mix(np.array([number], dtype=_U))[0] % _U(bins))
@@ -395,7 +397,8 @@ def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unig
             told = askers[k][ones[k][report[places[k][ones[k]]]]]
             if len(told):
                 out.append((here, spare, _REPORT + k, number, _pack(
-                    *(batch.chain[i][told] for i in range(k)), *(known[i][told] for i in range(k + 1)))))
+                    *(batch.chain[i][told] for i in range(k)), *(known[i][told].astype(np.int64) for i in range(k + 1)))))
+        yield _table(out, _DEAL)
         numbers = np.append(frequent.numbers(batch.names), np.uint32(1))  # the start is number 1
         named = np.append(batch.names, _START)
         del count, report, askers, places, ones, answers
@@ -421,27 +424,30 @@ def _deal(batches: Iterator[pa.RecordBatch], spread: list[np.ndarray], uni: Unig
             said = [_before(batch.codes, lengths, k + 1, len(batch.names))[one] for k in range(depth, order - 1)] if local else []
             last = batch.codes[one]
             bin_ = _bins(route, bins) if local else np.full(len(one), spare)
+            del sort, new_gram, new_row, at, first
+            out = []
             for a, b in _runs(bin_):
                 i, part = slice(rows_of[a], rows_of[b]), one[a:b]
-                columns = [mark[of[i]], times[i], width[a:b]]
+                columns = [np.ascontiguousarray(mark[of[i]]).view(np.uint8).reshape(-1, 2).T, times[i], width[a:b]]
                 heads = np.append(True, route[a:b][1:] != route[a:b][:-1]) if local else np.ones(b - a, dtype=bool)
                 columns += [_lengths(heads), *(batch.chain[k][part[heads]] for k in range(depth))]
-                columns += [_planes(known[k][part]) for k in range(1, depth + 1)]
+                columns += [_planes(known[k][part].astype(_U)) for k in range(1, depth + 1)]
                 if local:
                     columns += frequent.pack(numbers[said[0][a:b][heads]], named[said[0][a:b][heads]])
                     for codes in said[1:]:
                         columns += frequent.pack(numbers[codes[a:b]], named[codes[a:b]])
                     columns += frequent.pack(numbers[last[a:b]], named[last[a:b]])
-                columns.append(_planes(known[0][part][numbers[last[a:b]] == 0] if local else known[0][part]))
+                columns.append(_planes((known[0][part][numbers[last[a:b]] == 0] if local else known[0][part]).astype(_U)))
                 out.append((int(bin_[a]) // per_part, int(bin_[a]), depth, number, _pack(*columns)))
-        yield _table(out, _DEAL)
+            yield _table(out, _DEAL)
 
 
 def _dealt(blob: bytes, depth: int, order: int, frequent: Frequent) -> list[np.ndarray]:
     """(mark, times, width, chain.., route, words.., counts..) as dealt, one value per row for the first two and per n-gram for the others."""
     local = order - depth if depth < order - 1 else 0
     mark, times, width, heads, *rest = _unpack(
-        blob, np.uint16, np.uint32, np.uint32, np.uint32, *[np.uint32] * depth, *[np.uint8] * (depth + 2 * local + 1))
+        blob, np.uint8, np.uint32, np.uint32, np.uint32, *[np.uint32] * depth, *[np.uint8] * (depth + 2 * local + 1))
+    mark = mark.reshape(2, -1).T.copy().view(np.uint16).ravel()
     chain = [np.repeat(c, heads) for c in rest[:depth]]
     counts = [_from_planes(c) for c in rest[depth:2 * depth]]
     rest = rest[2 * depth:]
@@ -730,8 +736,8 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER) -> Da
     are the lower-cased words of the whole text and one end, so null and empty texts have one token. base_score sums
     log10((c + 1) / (N + V + 1)); score is the model's log10 probability. Repeated rows count and are
     scored each; a null doc_id stays null; without training documents every word is
-    unknown and certain, and both scores are 0. Words and histories compare by 64-bit hashes, within a bin by
-    48 bits of them. Extra columns are ignored. Runs its jobs at once and returns the last step.
+    unknown and certain, and both scores are 0. Words and histories compare by 64-bit hashes, rare words
+    within a bin by 40 bits of them. Extra columns are ignored. Runs its jobs at once and returns the last step.
     """
     if order < 2:
         raise ValueError("the order must be two or more")
