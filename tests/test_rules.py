@@ -10,6 +10,7 @@ from lacuna.functions import text as tx
 from lacuna.operators import explore, frontier, gap, ingest, jobs, labels, logs, usage
 from lacuna.operators.keywords import keyword_list, with_keywords
 from lacuna.plans import analyze as pl
+from lacuna.plans import views
 from lacuna.schemas import PAGE_SCHEMA
 from lacuna.sources.pages import upsert_pages, with_defaults
 from lacuna.sources.query_list import read_queries
@@ -474,3 +475,23 @@ def test_silence_across_buckets(spark):
     rows = spark.createDataFrame([("w", t) for t in times], "worker string, ts timestamp")
     got = logs.silences(rows).orderBy("last_output").collect()
     assert [r["idle_minutes"] for r in got] == [15, 2880]
+
+
+def test_page_store_does_not_move_texts_that_nobody_reads(spark, tmp_path):
+    spark.createDataFrame([(i, f"some text {i}", "en", "web", 11) for i in range(30)],
+                          "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 30, 3)], "vec_id bigint, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = views.page_store(spark, str(tmp_path)).drop("content")
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+            pages._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\n(Input[^\n]*)", plan)
+        assert moved and not any("text#" in line for line in moved)
+        assert pages.count() == 30 and pages.filter("vector is not null").count() == 10
+        assert pages.columns.index("vector") == pages.columns.index("timestamp") + 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
