@@ -96,7 +96,8 @@ def fuzzy_graph(lists: DataFrame, n_neighbors: int) -> DataFrame:
                  F.col("m").alias("out"), zero.alias("back")),
         F.struct(F.col("nbr").alias("i"), F.col("pid").alias("j"),
                  zero.alias("out"), F.col("m").alias("back")))))
-    return both.groupBy("i", "j").agg(F.sum("out").alias("a"), F.sum("back").alias("b")).select(
+    # a point's edges lie together, so tasks of every epoch sum its pulls up before they move
+    return both.repartition("i").groupBy("i", "j").agg(F.sum("out").alias("a"), F.sum("back").alias("b")).select(
         "i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("w"))
 
 
