@@ -10,7 +10,7 @@ from lacuna.functions import text as tx
 from lacuna.operators import explore, frontier, gap, ingest, jobs, labels, logs, usage
 from lacuna.operators.keywords import keyword_list, with_keywords
 from lacuna.plans import analyze as pl
-from lacuna.plans import views
+from lacuna.plans import queries, views
 from lacuna.schemas import PAGE_SCHEMA
 from lacuna.sources.pages import upsert_pages, with_defaults
 from lacuna.sources.query_list import read_queries
@@ -495,3 +495,32 @@ def test_page_store_does_not_move_texts_that_nobody_reads(spark, tmp_path):
         assert pages.columns.index("vector") == pages.columns.index("timestamp") + 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_keywords_are_made_before_vectors_are_joined(spark, tmp_path):
+    """With the joins of large tables, no text moves, and pages without a vector are told apart before."""
+    spark.createDataFrame([(i, f"some words about subject {i}", "en", "web", 22) for i in range(40)] + [(None, "lost", "en", "web", 4)],
+                          "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    # a vector twice, one that is null and one of no document
+    known = [(i, [float(i), 1.0]) for i in range(0, 30, 3)] + [(3, [9.0, 1.0]), (4, None), (99, [1.0, 1.0])]
+    spark.createDataFrame(known, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = views.page_texts(spark, str(tmp_path))
+        near = views.near_vectors(spark, str(tmp_path), texts)
+        assert near.count() < 15  # 10 and perhaps some that share a bucket
+        for part in (texts, near):
+            pages = queries._keyword_pages(spark, str(tmp_path), part).filter("vector is not null").select(
+                "page_id", "title", "vector", "keywords")
+            plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+                pages._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\) Exchange\n(Input[^\n]*)", plan)
+            assert any("keywords#" in line for line in moved) and not any(re.search("(text|content)#", line) for line in moved)
+            assert pages.count() == 11
+        store = views.page_store(spark, str(tmp_path))
+        assert queries._keyword_pages(spark, str(tmp_path)).columns == [*store.columns, "keywords"]
+        assert queries._keyword_pages(spark, str(tmp_path)).count() == 42
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -182,3 +182,43 @@ def test_trustworthiness_equals_brute_force(spark, block_rows):
 def test_curve_constants():
     a, b = layout.curve(0.1)
     assert abs(a - 1.577) < 0.001 and abs(b - 0.895) < 0.001
+
+
+def test_only_points_that_look_for_an_exit_are_held(spark, monkeypatch):
+    """Blocks pass by whole; of the others, a search of the spanning tree moves the asked points alone."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 6))
+    seen, meet = [], knn.meet
+
+    def watched(asked, passing, *rest, **named):
+        if "limits" in asked.columns:
+            limits = [x for r in asked.select("limits").collect() for x in r.limits]
+            seen.append((len(limits), min(limits, default=0.0), passing.agg(F.sum(F.size("pids"))).first()[0]))
+        return meet(asked, passing, *rest, **named)
+
+    monkeypatch.setattr(knn, "meet", watched)
+    _, levels = topics.spanning_levels(knn.collapse(frame(spark, rows)), 3, 32)
+    assert seen and all(least >= 0 and every == 300 for _, least, every in seen)
+    assert min(held for held, _, _ in seen) < 300
+    got = spanning.edges(levels, spark).agg(F.count("w").alias("n"), F.sum("w").alias("w")).first()
+    dist = brute.distance_matrix(rows)
+    core = np.sort(dist, axis=1)[:, 3]
+    reach = np.maximum(dist, np.maximum(core[:, None], core[None]))
+    inside, far, total = np.zeros(300, dtype=bool), reach[0].copy(), 0.0
+    inside[0] = True
+    for _ in range(299):
+        nearest = np.where(inside, np.inf, far).argmin()
+        total += far[nearest]
+        inside[nearest] = True
+        far = np.minimum(far, reach[nearest])
+    assert got["n"] == 299 and abs(got["w"] - total) < 1e-4
+
+
+def test_the_fewer_points_are_held_the_fewer_tiles():
+    assert knn.grid(600_000, 600_000) == (7, 7)
+    assert knn.grid(12 * knn.TILE, 12 * knn.TILE) == (12, 4)
+    assert knn.grid(10_000, 600_000) == (1, knn.CELLS)
+    assert knn.grid(0, 0) == (1, knn.CELLS)
+    for held in (1, 1_000, 100_000, 600_000):
+        tiles, streams = knn.grid(held, 600_000)
+        assert knn.CELLS <= tiles * streams and tiles * 600_000 + streams * held <= 14 * 600_000
