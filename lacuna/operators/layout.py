@@ -26,9 +26,6 @@ START_SPAN = 10.0
 DECAY = 0.9
 TOLERANCE = 0.005
 
-# Points whose ranks are looked up for the trustworthiness, if there are more.
-ASKED = 4096
-
 # Repulsion is measured against this many points, drawn anew every few epochs.
 POOL = 256
 POOL_EPOCHS = 5
@@ -187,44 +184,52 @@ def neighbour_layout(pages: DataFrame, n_neighbors: int = 15, min_dist: float =
 
 
 def _apart(batches):
-    """(pid, nbr, d): cosine distances of given pairs."""
+    """(pid, d): cosine distances of given pairs."""
     for pdf in batches:
         if len(pdf):
             a, b = (knn.unit_rows(np.concatenate(pdf[c].to_numpy()), len(pdf), knn.COSINE) for c in ("v", "w"))
             square = ((a - b) ** 2).sum(axis=1)
-            yield pd.DataFrame({"pid": pdf["pid"], "nbr": pdf["nbr"], "d": square / 2})
-
-
-def _nearer(asked: pd.DataFrame):
-    """(row, n): points nearer to an asked point than the distance in its row."""
-    pids = asked["pid"].unique()
-    at = {p: i for i, p in enumerate(pids)}
-    first = asked.drop_duplicates("pid")
-    units = knn.unit_rows(np.concatenate(first["v"].to_numpy()), len(first), knn.COSINE)
-    limits = [asked.index[asked["pid"] == p].to_numpy() for p in pids]
-    bounds = asked["d"].to_numpy() - knn.SLACK
-
-    def run(batches):
-        total = np.zeros(len(asked), dtype=np.int64)
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                dist = knn.distances(units, knn.unit_rows(row.flat, len(row.pids), knn.COSINE), knn.COSINE)
-                for j, p in enumerate(row.pids):
-                    if p in at:
-                        dist[at[p], j] = np.inf
-                for i, rows in enumerate(limits):
-                    total[rows] += (dist[i][None, :] < bounds[rows][:, None]).sum(axis=1)
-        yield pd.DataFrame({"row": np.arange(len(asked)), "n": total})
-    return run
-
-
-def trustworthiness(pages: DataFrame, placed: DataFrame, k: int = 10, asked: int = ASKED,
+            yield pd.DataFrame({"pid": pdf["pid"], "d": square / 2})
+
+
+class _Nearer:
+    """(key, slot, n): passing points nearer to a held point than each of its distances ``far``."""
+
+    def __init__(self, held):
+        self.keys = np.array([r.block for r in held], dtype=np.int64)
+        self.code, names = pd.factorize(np.array([r.pid for r in held], dtype=object))
+        self.numbers = pd.Index(names)
+        self.held = knn.Held(knn.unit_rows(np.concatenate([r.flat for r in held]), len(held), knn.COSINE))
+        self.sizes = np.array([len(r.far) for r in held])
+        far = np.full((len(held), self.sizes.max()), -np.inf)
+        far[np.arange(far.shape[1]) < self.sizes[:, None]] = np.concatenate([r.far for r in held])
+        self.least = self.held.square[:, None] / 2.0 - (far - knn.SLACK)
+        self.limit = np.sqrt(2.0 * far.max(axis=1))
+        self.count = np.zeros(far.shape, dtype=np.int64)
+
+    def meets(self, row) -> None:
+        code = self.numbers.get_indexer(np.asarray(row.pids, dtype=object))
+        known = np.flatnonzero(code >= 0)
+        for part, product in self.held.dots(knn.unit_rows(row.flat, len(row.pids), knn.COSINE), self.limit):
+            # no point is nearer to itself
+            i, j = np.nonzero(self.code[part][:, None] == code[known])
+            product[i, known[j]] = -np.inf
+            for slot in range(self.count.shape[1]):
+                self.count[part, slot] += (product > self.least[part, slot][:, None]).sum(axis=1)
+
+    def answers(self):
+        for at in range(0, len(self.keys), 1 << 13):
+            i, slot = np.nonzero(np.arange(self.count.shape[1]) < self.sizes[at:at + (1 << 13), None])
+            yield pd.DataFrame({"key": self.keys[at + i], "slot": slot, "n": self.count[at + i, slot]})
+
+
+def trustworthiness(pages: DataFrame, placed: DataFrame, k: int = 10,
                     block_rows: int = knn.BLOCK_ROWS) -> DataFrame:
     """(points, asked, trust): how far neighbours in a layout (page_id, x, y) are neighbours among the vectors.
 
     1 less the mean rank excess of a point's k layout neighbours that are not among its k nearest by cosine distance,
-    scaled so that 0 is the worst layout. Ranks are counted over all points; they are looked up for all points
-    or, if there are more, for the ``asked`` with the smallest hashes of their id. Equal vectors are one point.
+    scaled so that 0 is the worst layout. Every point is asked for the ranks of its layout neighbours, and ranks are
+    counted over all points, by tasks that hold some points while all blocks pass by. Equal vectors are one point.
     """
     points = knn.collapse(pages)
     tree = celltree.build(points, knn.COSINE, block_rows)
@@ -232,20 +237,21 @@ def trustworthiness(pages: DataFrame, placed: DataFrame, k: int = 10, asked: int
     flat = placed.withColumnRenamed("page_id", "pid").join(points.rows.select("pid"), "pid", "left_semi").select(
         "pid", F.lit(1).cast("bigint").alias("weight"), F.array("x", "y").cast("array<float>").alias("vector"))
     shown = celltree.build(knn.Points(cut(flat), None, points.count, True), knn.PLAIN, block_rows)
-    chosen = cut(points.rows.select("pid", "vector").orderBy(F.xxhash64("pid"), "pid").limit(asked))
-    missed = cut(celltree.neighbour_lists(shown, k).select("pid", "nbr").join(chosen.select("pid"), "pid", "left_semi")
-                 .join(near, ["pid", "nbr"], "left_anti"))
-    pairs = (missed.join(chosen.select("pid", F.col("vector").alias("v")), "pid")
+    missed = cut(celltree.neighbour_lists(shown, k).select("pid", "nbr").join(near, ["pid", "nbr"], "left_anti"))
+    pairs = (missed.join(points.rows.select("pid", F.col("vector").alias("v")), "pid")
              .join(points.rows.select(F.col("pid").alias("nbr"), F.col("vector").alias("w")), "nbr"))
-    far = cut(pairs.select("pid", "nbr", "v", "w").mapInPandas(_apart, "pid string, nbr string, d double"))
-    count = chosen.count()
-    # at most asked * k rows; an asked point's vector comes with each
-    wanted = far.join(chosen.select("pid", F.col("vector").alias("v")), "pid").orderBy("pid", "nbr").toPandas()
-    excess = 0
-    if len(wanted):
-        ranks = tree.rows.mapInPandas(_nearer(wanted), "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("n"))
-        # a rank is one more than the number of nearer points
-        excess = ranks.agg(F.sum(F.greatest(F.col("n") + 1 - k, F.lit(0)))).first()[0]
-    worst = count * k * max(1, 2 * points.count - 3 * k - 1) / 2
+    far = cut(pairs.select("pid", "v", "w").mapInPandas(_apart, "pid string, d double"))
+    asked = cut(far.groupBy("pid").agg(F.sort_array(F.collect_list("d")).alias("far"))
+                .join(points.rows.select("pid", "vector"), "pid")
+                .select(F.xxhash64("pid", "vector").alias("block"), "pid", F.col("vector").alias("flat"), "far"))
+    held = asked.count()
+    met = knn.meet(asked, tree.rows.select("block", "pids", "flat"), points.count,
+                   *knn.grid(held, points.count), held=held)
+    counts = cut(met.mapInPandas(knn.searched(_Nearer), "key bigint, slot int, n bigint"), knn.BATCH)
+    # a rank is one more than the number of nearer points
+    ranks = counts.groupBy("key", "slot").agg((F.sum("n") + 1).alias("rank"))
+    excess = ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0)))).first()[0] or 0
+    worst = points.count * k * max(1, 2 * points.count - 3 * k - 1) / 2
     return pages.sparkSession.createDataFrame(
-        [(points.count, count, 1.0 - excess / worst if count else 1.0)], "points bigint, asked bigint, trust double")
+        [(points.count, points.count, 1.0 - excess / worst if points.count else 1.0)],
+        "points bigint, asked bigint, trust double")

@@ -179,6 +179,19 @@ def test_trustworthiness_equals_brute_force(spark, block_rows):
         assert abs(got.trust - brute_trust(rows, xy.astype(float), 7)) < 1e-9
 
 
+def test_trustworthiness_asks_every_point(spark, monkeypatch):
+    """More points than one task's, many of them badly placed: no point's ranks are left out."""
+    monkeypatch.setattr(knn, "LEAST", 1024)
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(4200, 3)).astype(np.float32)
+    xy = np.where(rng.random(4200)[:, None] < 0.3, rng.normal(size=(4200, 2)), rows[:, :2]).astype(np.float32)
+    placed = spark.createDataFrame([(f"{i:05d}", float(x), float(y)) for i, (x, y) in enumerate(xy)],
+                                   "page_id string, x float, y float")
+    got = layout.trustworthiness(frame(spark, rows), placed, k=3, block_rows=256).first()
+    assert (got.points, got.asked) == (4200, 4200)
+    assert abs(got.trust - brute_trust(rows, xy.astype(float), 3)) < 1e-6
+
+
 def test_curve_constants():
     a, b = layout.curve(0.1)
     assert abs(a - 1.577) < 0.001 and abs(b - 0.895) < 0.001
